@@ -6,8 +6,10 @@ from importlib import import_module
 
 #: Query, by the module that holds it.
 NAMES = {
+    "op2_audio_features": "audio",
     "op4_scaled_sketch": "scaled_sketch",
     "op5_simhash_near_dedup": "simhash",
+    "op6_language_id": "langid",
     "op7_feistel_shards": "feistel",
     "op8_line_dedup": "line_dedup",
     "op10_byte_bpe": "bpe",
