@@ -48,12 +48,14 @@ def has_letter(text: str | None) -> bool:
 
 @dataclass
 class Model:
-    """logits: a text's scores are the mean of its subwords' rows; below threshold an answer is rejected."""
+    """logits: a text's scores are the mean of its subwords' rows; noise: the share of answers expected to be wrong at best;
+    below threshold an answer is rejected."""
 
     langs: list[str]
     logits: np.ndarray
     temperature: float
     threshold: float
+    noise: float = 0.0
 
     def scores(self, text: str) -> np.ndarray:
         at = subwords(text)
@@ -63,7 +65,7 @@ class Model:
             total += np.ones(len(part), np.float32) @ self.logits[part]
         z = total / len(at) / self.temperature
         p = np.exp(z - z.max())
-        return p / p.sum()
+        return (1 - self.noise) * p / p.sum() + self.noise / len(p)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """A learned language and its calibrated probability; UNKNOWN and 0 for null and for texts without a letter."""
@@ -114,9 +116,11 @@ def fit(rows: list[tuple[str, str]], seed: int = 7) -> Model:
     s = z / temperature
     p = np.exp(s - s.max(axis=1, keepdims=True))
     p /= p.sum(axis=1, keepdims=True)
+    noise = (int((p.argmax(axis=1) != y).sum()) + 1) / (len(y) + 2)
+    p = (1 - noise) * p + noise / len(langs)
     right = p.max(axis=1)[p.argmax(axis=1) == y]
     threshold = min(float(np.quantile(right, LOST)) if len(right) else 0.0, 0.6)
-    return Model(langs, logits, float(temperature), threshold)
+    return Model(langs, logits, float(temperature), threshold, noise)
 
 
 def train(labelled: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:

@@ -7,6 +7,7 @@ from importlib import import_module
 #: Query, by the module that holds it.
 NAMES = {
     "op2_audio_features": "audio",
+    "op3_backoff_automaton": "lm",
     "op4_scaled_sketch": "scaled_sketch",
     "op5_simhash_near_dedup": "simhash",
     "op6_language_id": "langid",
