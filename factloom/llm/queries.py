@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: Query, by the module that holds it.
 NAMES = {
+    "op1_retrieval_packing": "packing",
     "op2_audio_features": "audio",
     "op3_backoff_automaton": "lm",
     "op4_scaled_sketch": "scaled_sketch",
