@@ -14,6 +14,7 @@ NAMES = {
     "op6_language_id": "langid",
     "op7_feistel_shards": "feistel",
     "op8_line_dedup": "line_dedup",
+    "op9_kneser_ney_quality": "quality",
     "op10_byte_bpe": "bpe",
 }
 
