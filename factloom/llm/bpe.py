@@ -15,9 +15,27 @@ from pyspark.sql import types as T
 
 from factloom.llm.common import CHUNK, documents
 
-#: Chunks of text whose ids a worker remembers; when full it starts anew, which costs time and never changes a result.
-REMEMBERED = 400_000
-_NONE = 1 << 62
+#: Chunks and pieces of text whose ids a worker remembers, in two generations: when the young one is full the old one goes. That
+#: costs time and never changes a result.
+CHUNKS, PIECES = 150_000, 500_000
+
+
+class Memory:
+    """A bounded dictionary that forgets what has not been used for long."""
+
+    def __init__(self, size: int):
+        self.size, self.young, self.old = size, {}, {}
+
+    def get(self, key: str) -> tuple[int, ...] | None:
+        got = self.young.get(key)
+        if got is None and (got := self.old.get(key)) is not None:
+            self.put(key, got)
+        return got
+
+    def put(self, key: str, value: tuple[int, ...]) -> None:
+        if len(self.young) >= self.size:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
 
 
 class Codec:
@@ -28,7 +46,11 @@ class Codec:
         self.bytes = {v: k for k, v in ranks.items()}
         self.decimal = {v: str(v) for v in ranks.values()}
         self.match = regex.compile(pattern)
-        self.known: dict[str, tuple[int, ...]] = {}
+        #: above every rank; and the ranks of all pairs of bytes
+        self.none = max(ranks.values()) + 1
+        self.two = [ranks.get(bytes((a, b)), self.none) for a in range(256) for b in range(256)]
+        self.chunks = Memory(CHUNKS)
+        self.pieces = Memory(PIECES)
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one match of the pattern.
@@ -36,55 +58,46 @@ class Codec:
         Leaf i of the segment tree holds the rank of the pair that begins at byte i, with i below it, so that the root is
         the leftmost pair of least rank. A merge changes the leaves of the two live neighbours and clears one more.
         """
-        ranks = self.ranks
-        whole = ranks.get(piece)
+        get = self.ranks.get
+        whole = get(piece)
         if whole is not None:
             return [whole]
         n = len(piece)
-        size = 1 << (n - 1).bit_length()
-        tree = [_NONE] * (2 * size)
-        get = ranks.get
-        for i in range(n - 1):
-            r = get(piece[i : i + 2])
-            if r is not None:
-                tree[size + i] = r << 32 | i
-        for i in range(size - 1, 0, -1):
-            a, b = tree[2 * i], tree[2 * i + 1]
-            tree[i] = a if a < b else b
-        after, before = list(range(1, n + 2)), list(range(-1, n))
-
-        def put(i: int, value: int) -> None:
-            k = size + i
-            tree[k] = value
-            k >>= 1
-            while k:
-                a, b = tree[2 * k], tree[2 * k + 1]
-                least = a if a < b else b
-                if tree[k] == least:
-                    return
-                tree[k] = least
-                k >>= 1
-
-        def pair(i: int) -> int:
+        none = self.none * n
+        two = self.two
+        leaves = [two[a << 8 | b] * n + i for i, (a, b) in enumerate(zip(piece, piece[1:], strict=False))]
+        leaves += [none] * ((1 << (n - 2).bit_length()) - n + 1)
+        tree = [leaves]
+        while len(leaves) > 1:
+            leaves = list(map(min, leaves[::2], leaves[1::2]))
+            tree.append(leaves)
+        after, before, root = list(range(1, n + 2)), list(range(-1, n + 1)), tree[-1]
+        while root[0] < none:
+            i = root[0] % n
             j = after[i]
-            if j >= n:
-                return _NONE
-            r = get(piece[i : after[j]])
-            return _NONE if r is None else r << 32 | i
-
-        while tree[1] < _NONE:
-            i = tree[1] & 0xFFFFFFFF
-            j = after[i]
-            k = after[j]
-            after[i] = k
-            if k <= n:
-                before[k] = i
-            put(j, _NONE)
-            put(i, pair(i))
+            k = after[i] = after[j]
+            before[k] = i
+            changed = []
+            if j < n - 1:
+                changed.append((j, none))
             if i:
                 p = before[i]
-                put(p, pair(p))
-        out, i = [], 0
+                r = get(piece[p:k])
+                changed.append((p, none if r is None else r * n + p))
+            r = get(piece[i : after[k]]) if k < n else None
+            changed.append((i, none if r is None else r * n + i))
+            for at, value in changed:
+                for level in tree:
+                    if level[at] == value:
+                        break
+                    level[at] = value
+                    if level is root:
+                        break
+                    other = level[at ^ 1]
+                    if other < value:
+                        value = other
+                    at >>= 1
+        ranks, out, i = self.ranks, [], 0
         while i < n:
             out.append(ranks[piece[i : after[i]]])
             i = after[i]
@@ -92,21 +105,29 @@ class Codec:
 
     def chunk(self, text: str) -> tuple[int, ...]:
         ids: list[int] = []
+        pieces = self.pieces
         for m in self.match.findall(text):
-            ids += self.merge(m.encode("utf-8", "surrogatepass"))
+            got = pieces.get(m)
+            if got is None:
+                got = self.merge(m.encode("utf-8", "surrogatepass"))
+                if len(m) <= 64:
+                    pieces.put(m, tuple(got))
+            ids += got
         return tuple(ids)
 
     def encode(self, text: str) -> list[int]:
         """Ids of a whole text. Matches of the pattern never span the edges of its chunks, so chunks are encoded apart."""
-        known, ids = self.known, []
+        chunks, ids = self.chunks, []
+        young = chunks.young
         for c in CHUNK.findall(text):
-            got = known.get(c)
+            got = young.get(c)
             if got is None:
-                got = self.chunk(c)
-                if len(c) <= 64:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    known[c] = got
+                got = chunks.get(c)
+                if got is None:
+                    got = self.chunk(c)
+                    if len(c) <= 64:
+                        chunks.put(c, got)
+                young = chunks.young
             ids += got
         return ids
 
