@@ -1 +1,10 @@
 """Plans of the engine."""
+
+from importlib import import_module
+
+MODULES = ("governance",)
+
+
+def load() -> None:
+    for name in MODULES:
+        import_module(f"factloom.plans.{name}")
