@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("governance",)
+MODULES = ("governance", "measures", "matching")
 
 
 def load() -> None:

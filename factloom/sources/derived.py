@@ -55,7 +55,8 @@ select o_orderkey as unit_id, cast(floor(o_orderkey / 2) as bigint) as dependenc
 union all select o_orderkey, o_orderkey + 1 from {orders} where o_orderkey % 97 = 0""",
     # text blocks with boxes on pages: a line of an order is a block, the order its document
     "blocks": """
-select l_orderkey as document_id, l_orderkey * 10 + l_linenumber as id, l_linenumber as seq, cast(l_partkey % 3 as int) as page_index,
+select l_orderkey as document_id, l_orderkey * 100 + row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as id,
+  row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as seq, cast(l_partkey % 3 as int) as page_index,
   cast(l_partkey % 100 as double) * 5 as x0, cast(l_suppkey % 90 as double) * 8 as y0,
   cast(l_partkey % 100 as double) * 5 + 20 + l_quantity * 4 as x1, cast(l_suppkey % 90 as double) * 8 + 12 as y1,
   case l_linenumber % 4 when 1 then 'heading' when 2 then 'paragraph' when 3 then 'list' else 'table' end as kind,
