@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("governance", "measures", "matching")
+MODULES = ("governance", "measures", "matching", "graphs")
 
 
 def load() -> None:

@@ -52,7 +52,8 @@ from {orders}""",
     # a unit depends on the unit of half its number; some depend on one another
     "edges": """
 select o_orderkey as unit_id, cast(floor(o_orderkey / 2) as bigint) as dependency_id from {orders} where o_orderkey > 1
-union all select o_orderkey, o_orderkey + 1 from {orders} where o_orderkey % 97 = 0""",
+union all select o_orderkey, o_orderkey + 1 from {orders} where o_orderkey % 97 = 0
+union all select o_orderkey + 1, o_orderkey from {orders} where o_orderkey % 97 = 0""",
     # text blocks with boxes on pages: a line of an order is a block, the order its document
     "blocks": """
 select l_orderkey as document_id, l_orderkey * 100 + row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as id,
