@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import zlib
 from functools import lru_cache
 
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factloom.llm.common import CHUNK, documents, written
+from factloom.llm.common import documents, written
 
 WINDOW = 1024
 #: Id that ends a document.
@@ -21,36 +22,55 @@ SHARD_TOKENS = 2_000_000
 K1, B = 1.2, 0.75
 #: A seed asks by this many of its terms, those of most weight; its neighbours are ranked whole.
 TERMS = 16
-#: Chunks of text whose ids a worker remembers.
-REMEMBERED = 400_000
 _ROWS = 256
 
 
+def byte_ranks(spec: dict) -> dict[bytes, int] | None:
+    """Ranks of byte strings of a tokenizer file, where it is plain byte-level BPE whose ids follow the order of its merges; else None.
+
+    For such a file merging the pair of least rank and applying the merges in order are the same.
+    """
+    model, pre = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = model.get("type") == "BPE" and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer")
+    if not plain or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+        return None
+    vocab, special = model["vocab"], {t["content"] for t in spec.get("added_tokens", ())}
+    pairs = [x if isinstance(x, list) else x.split(" ") for x in model["merges"]]
+    made = [vocab["".join(x)] for x in pairs]
+    # a byte that prints stands for itself, the others for the characters from 256 on
+    prints = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+    byte = {chr(b): b for b in prints} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(prints))}
+    if made != sorted(made) or len(set(made)) != len(made) or any(t not in byte and t not in special and vocab[t] < 256 for t in vocab):
+        return None
+    return {bytes(byte[c] for c in t): i for t, i in vocab.items() if t not in special}
+
+
 class Encoder:
-    """Ids of whole texts by a tokenizer file; chunks that byte-level BPE never merges across are encoded once and remembered."""
+    """Ids of whole texts as the tokenizers library gives them for a tokenizer file.
+
+    Where byte_ranks() allows it, tiktoken's merger runs over the file's own merges, which gives the same ids several times faster.
+    Texts that hold a special token, and other kinds of file, go through the library as they are.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text, without special tokens of its own."""
-        cut = [None if any(s in x for s in self.special) else CHUNK.findall(x) for x in texts]
-        known = self.known
-        missing = list({c for chunks in cut if chunks for c in chunks if c not in known})
-        if len(known) + len(missing) > REMEMBERED:
-            known.clear()
-            missing = list({c for chunks in cut if chunks for c in chunks})
-        for i in range(0, len(missing), 4096):
-            part = missing[i : i + 4096]
-            for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[c] = np.array(e.ids, "<u4").tobytes()
-        get = known.__getitem__
-        whole = lambda x: np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes()
-        return [whole(x) if chunks is None else b"".join(map(get, chunks)) for x, chunks in zip(texts, cut, strict=True)]
+        with open(path, encoding="utf-8") as f:
+            ranks = byte_ranks(json.load(f))
+        self.merger = None
+        if ranks is not None:
+            import public_tokenizers
+            import tiktoken
+
+            self.merger = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, text: str) -> np.ndarray:
+        """The ids of a text, without special tokens of the tokenizer's own."""
+        if self.merger is None or any(s in text for s in self.special):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+        return self.merger.encode_to_numpy(text, disallowed_special=()).astype("<u4")
 
 
 @lru_cache(maxsize=2)
@@ -69,14 +89,12 @@ def token_table(docs: DataFrame, path: str) -> DataFrame:
 
     def tokens(batches):
         e = encoder(path)
-        stop = np.array([STOP], "<u4").tobytes()
-        small = e.tokenizer.get_vocab_size() <= 1 << 16
+        kind = "<u2" if e.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        stop = np.array([STOP], kind)
         for b in batches:
             for at in range(0, b.num_rows, _ROWS):
-                texts = [x or "" for x in b.column(1).slice(at, _ROWS).to_pylist()]
-                ids = [x + stop for x in e.encode(texts)]
-                kept = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids] if small else ids
-                yield pa.record_batch([b.column(0).slice(at, _ROWS), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n", "ids"])
+                ids = [np.concatenate((e.encode(x or "").astype(kind), stop)) for x in b.column(1).slice(at, _ROWS).to_pylist()]
+                yield pa.record_batch([b.column(0).slice(at, _ROWS), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], ["doc_id", "n", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tokens, _TOKENS)
 
@@ -183,7 +201,7 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, shard_t
         import public_tokenizers
 
         path = public_tokenizers.path("byte_bpe_50k.json")
-    tokens = written(token_table(docs, path), "tokens")
+    tokens = written(token_table(docs, path), "tokens", "snappy")
     held = tokens.select("n", "ids").mapInArrow(_frequencies, T.StructType([T.StructField("id", T.LongType()), T.StructField("n", T.LongType())])).groupBy("id").agg(F.sum("n").alias("n"))
     # as many rows as the vocabulary has ids, and two
     counts = {r["id"]: r["n"] for r in held.collect()}
