@@ -65,10 +65,10 @@ def merge3(base: DataFrame, current: DataFrame, incoming: DataFrame, keys: list[
     """Three versions of (keys, value) merged by key: a side that alone has changed wins, equal changes are one, others conflict and keep the current.
     A key that a version lacks is absent there, which is not the same as a null value."""
     side = lambda df, s: df.select(*keys, F.struct(F.col("value")).alias(s))
-    rows = side(base, "b").join(side(current, "c"), keys, "full").join(side(incoming, "i"), keys, "full")
+    rows = side(base, "__base").join(side(current, "__cur"), keys, "full").join(side(incoming, "__inc"), keys, "full")
     same = lambda x, y: F.col(x).eqNullSafe(F.col(y))
-    outcome = F.when(same("c", "i"), "same").when(same("b", "i"), "auto_current").when(same("b", "c"), "auto_incoming").otherwise("conflict")
-    kept = F.when(outcome == "auto_incoming", F.col("i")).otherwise(F.col("c"))
+    outcome = F.when(same("__cur", "__inc"), "same").when(same("__base", "__inc"), "auto_current").when(same("__base", "__cur"), "auto_incoming").otherwise("conflict")
+    kept = F.when(outcome == "auto_incoming", F.col("__inc")).otherwise(F.col("__cur"))
     return rows.select(*keys, outcome.alias("outcome"), kept["value"].alias("value"), kept.isNotNull().alias("present"))
 
 

@@ -17,6 +17,8 @@ def nearest_one_to_one(left: DataFrame, right: DataFrame, keys: list[str]) -> Da
     n = len(keys)
 
     def match(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or b.empty:
+            return pd.DataFrame({"id": [], "o_id": [], "cost": []})
         free: dict = {}
         for r in b[[*keys, "oi", "o_id", "ox", "oy"]].sort_values(["oi", "o_id"]).itertuples(index=False, name=None):
             free.setdefault(r[:n], []).append(r[n:])

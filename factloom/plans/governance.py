@@ -8,7 +8,11 @@ from factloom.operators import governance as g
 from factloom.plans.catalog import query
 from factloom.sources.derived import prefix
 
-TODAY = F.to_date(F.lit("2024-12-01"))
+
+def today():
+    return F.to_date(F.lit("2024-12-01"))
+
+
 _S = ("authority_quality", "scope_relevance", "version_currency", "traceability", "access_permission")
 _LOW = " or ".join(f"upper(trim({s})) = 'LOW'" for s in _S)
 _HIGH = " and ".join(f"upper(trim({s})) = 'HIGH'" for s in _S)
@@ -75,7 +79,7 @@ _FINGER = "substr(sha256(concat_ws('|', official_url, retrieval_url, trim(issuer
 def _(t):
     r = t.registry
     history = r.where("n % 2 = 0").select("source_id", F.when(F.col("n") % 4 == 0, g.state_fingerprint()).otherwise("old").alias("fingerprint"), F.expr("date '2024-10-15' + cast(n % 40 as int)").alias("completed_at"))
-    return g.selection_trigger(r, history, TODAY)
+    return g.selection_trigger(r, history, today())
 
 
 @query("s2_3_15_required_gates", _R + f"select source_id, {_GATES} as failed, {_GATES} = '' as accepted from registry")
@@ -126,21 +130,21 @@ def _(t):
 
 @query("s2_5_11_review_queue", _R + f", {_QUEUE} select source_id, code, since, case when since is null then null else days_open end as days_open, case when since is not null and days_open > 30 then 'OVERDUE' else 'OPEN' end as severity from q")
 def _(t):
-    q = g.review_queue(t.registry, TODAY)
+    q = g.review_queue(t.registry, today())
     return q.withColumn("days_open", F.when(F.col("since").isNotNull(), F.col("days_open")))
 
 
 @query("s2_5_11_consolidation", _R + f""", {_QUEUE} select source_id, string_agg(distinct code, ',' order by code) as codes, min(since) as since, max(days_open) as days_open,
  case when bool_or({_SEVERITY} = 'OVERDUE') then 'OVERDUE' else 'OPEN' end as severity, count(*) as n from q group by 1""")
 def _(t):
-    return g.consolidated(g.review_queue(t.registry, TODAY))
+    return g.consolidated(g.review_queue(t.registry, today()))
 
 
 @query("s2_5_10_dashboard", _R + f""", {_QUEUE}, c as (select source_id, max(days_open) as d from q group by 1)
  select 'selection' as section, {SELECTION} as label, count(*) as n from registry group by 2 union all select 'channel', acquisition_channel, count(*) from registry group by 2
  union all (select 'priority', source_id, d from c order by d desc, source_id limit 5)""")
 def _(t):
-    return g.dashboard(t.registry, TODAY)
+    return g.dashboard(t.registry, today())
 
 
 @query("s2_7_7_ranked_url", _R + """, urls as (select p_size_key as issuer, url from (select trim(issuer) as p_size_key, unnest([official_url, retrieval_url, official_url || '.pdf']) as url from registry) where url <> ''),
@@ -162,7 +166,7 @@ def _(t):
 @query("s2_10_14_interval_scheduling", _R + """select issuer, max(last_success_at) as last_success, max(last_success_at) is null or datediff('day', max(last_success_at), date '2024-12-01') > 60 as due from registry group by 1""")
 def _(t):
     last = F.max("last_success_at")
-    return t.registry.groupBy("issuer").agg(last.alias("last_success"), (last.isNull() | (F.datediff(TODAY, last) > 60)).alias("due"))
+    return t.registry.groupBy("issuer").agg(last.alias("last_success"), (last.isNull() | (F.datediff(today(), last) > 60)).alias("due"))
 
 
 @query("s2_6_24_latest_check_time", _R + """select source_id, greatest(last_attempt_at, last_success_at, manual_update_date) as checked from registry""")
