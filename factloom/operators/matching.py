@@ -14,13 +14,13 @@ BUCKETS = 64
 
 def nearest_one_to_one(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Each row of left (id, x0, y0, i), by i and id, takes the unused row of right (o_id, ox, oy, oi) of least cost |dx| + 2 |dy| + 2 |di|."""
-    n = len(keys)
+    n, named = len(keys), [f"__{k}" for k in keys]
 
     def match(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame({"id": [], "o_id": [], "cost": []})
         free: dict = {}
-        for r in b[[*keys, "oi", "o_id", "ox", "oy"]].sort_values(["oi", "o_id"]).itertuples(index=False, name=None):
+        for r in b[[*named, "oi", "o_id", "ox", "oy"]].sort_values(["oi", "o_id"]).itertuples(index=False, name=None):
             free.setdefault(r[:n], []).append(r[n:])
         out = []
         for r in a[[*keys, "i", "id", "x0", "y0"]].sort_values(["i", "id"]).itertuples(index=False, name=None):
@@ -33,8 +33,10 @@ def nearest_one_to_one(left: DataFrame, right: DataFrame, keys: list[str]) -> Da
 
     schema = T.StructType([left.schema["id"], right.schema["o_id"], T.StructField("cost", T.DoubleType())])
     bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).alias("__bucket")
-    a, b = left.select("*", bucket), right.select("*", bucket)
-    return a.groupBy("__bucket").cogroup(b.groupBy("__bucket")).applyInPandas(match, schema)
+    a = left.select(*keys, "i", "id", "x0", "y0", bucket)
+    # the sides may come from one table, so the right one's columns get names of their own
+    b = right.select(*[F.col(k).alias(c) for k, c in zip(keys, named, strict=True)], "oi", "o_id", "ox", "oy", bucket.alias("__place"))
+    return a.groupBy("__bucket").cogroup(b.groupBy("__place")).applyInPandas(match, schema)
 
 
 def largest_matching(edges: list[tuple]) -> dict:
