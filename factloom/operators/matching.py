@@ -72,3 +72,49 @@ def maximum_matching(pairs: DataFrame, keys: list[str]) -> DataFrame:
 
     bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).alias("__bucket")
     return pairs.select("*", bucket).groupBy("__bucket").applyInPandas(match, T.StructType([pairs.schema["left"], pairs.schema["right"]]))
+
+
+def largest_flow(demand: dict, supply: dict, near: dict) -> int:
+    """Most units of demand that supply can meet where each demand reaches its near supplies alone."""
+    left = dict(supply)
+    given: dict = {}
+
+    def push(d, seen: set) -> bool:
+        for s in near.get(d, ()):
+            if s in seen:
+                continue
+            seen.add(s)
+            if left.get(s, 0) > 0:
+                left[s] -= 1
+                given[s, d] = given.get((s, d), 0) + 1
+                return True
+            for other in [o for (t, o), n in given.items() if t == s and n > 0 and o != d]:
+                if push(other, seen):
+                    given[s, other] -= 1
+                    given[s, d] = given.get((s, d), 0) + 1
+                    return True
+        return False
+
+    return sum(push(d, set()) for d, n in demand.items() for _ in range(n))
+
+
+def shortfalls(demand: DataFrame, supply: DataFrame, near: DataFrame, keys: list[str]) -> DataFrame:
+    """Per key: units needed, matched and missing, for demand (d, need), supply (s, have) and reach near (d, s)."""
+    d = demand.groupBy(*keys).agg(F.collect_list(F.struct("d", "need")).alias("ds"))
+    s = supply.groupBy(*keys).agg(F.collect_list(F.struct("s", "have")).alias("ss"))
+    n = near.groupBy(*keys).agg(F.collect_list(F.struct("d", "s")).alias("ns"))
+
+    def flow(batches):
+        for pdf in batches:
+            rows = []
+            for ds, ss, ns in zip(pdf["ds"], pdf["ss"], pdf["ns"], strict=True):
+                need = {x["d"]: int(x["need"]) for x in ds}
+                reach: dict = {}
+                for x in [] if ns is None else ns:
+                    reach.setdefault(x["d"], []).append(x["s"])
+                met = largest_flow(dict(sorted(need.items())), {} if ss is None else {x["s"]: int(x["have"]) for x in ss}, {k: sorted(v) for k, v in reach.items()})
+                rows.append((sum(need.values()), met, sum(need.values()) - met))
+            yield pd.concat([pdf[keys].reset_index(drop=True), pd.DataFrame(rows, columns=["required", "matched", "missing"])], axis=1)
+
+    schema = T.StructType([demand.schema[k] for k in keys] + [T.StructField(x, T.LongType()) for x in ("required", "matched", "missing")])
+    return d.join(s, keys, "left").join(n, keys, "left").mapInPandas(flow, schema)
