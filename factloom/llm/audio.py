@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factloom.llm.common import documents, written
+from factloom.llm.common import documents, small_batches, written
 
 #: Sampling rates in Hz of the media and of the features.
 RATE, TARGET = 16_000, 8_000
@@ -177,6 +177,7 @@ def _encoded(batches):
 
 def media_table(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, media): each whole text as UTF-8, padded and stored as the samples of a WAV file. Null text: empty."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_encoded, _MEDIA)
 
 

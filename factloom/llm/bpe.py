@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factloom.llm.common import CHUNK, documents
+from factloom.llm.common import CHUNK, documents, small_batches
 
 #: Chunks and pieces of text whose ids a worker remembers, in two generations: when the young one is full the old one goes. That
 #: costs time and never changes a result.
@@ -183,6 +183,7 @@ def digests(docs: DataFrame, path: str | None = None, pattern: str | None = None
     counts as empty. Ids are decoded, never the text repeated. Other columns are not read.
     """
     path, pattern = _tables(path, pattern)
+    small_batches(docs.sparkSession)
     schema = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
 
     @F.pandas_udf(schema)

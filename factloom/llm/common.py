@@ -44,6 +44,18 @@ def written(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows and bytes that a Python worker is handed at a time.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1_000, "spark.sql.execution.arrow.maxBytesPerBatch": 16 << 20}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches, for whole texts are long; smaller bounds that are set already stay."""
+    for key, most in BATCH.items():
+        now = str(spark.conf.get(key)).lower().removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     if not df.sparkSession.sparkContext.getCheckpointDir():
         scratch(df.sparkSession)

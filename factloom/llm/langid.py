@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factloom.llm.common import documents, id_crc
+from factloom.llm.common import documents, id_crc, small_batches
 
 BUCKETS, DIM = 1 << 16, 16
 SUBWORDS = (1, 2, 3, 4)
@@ -140,6 +140,7 @@ def train(labelled: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_
 def identified(docs: DataFrame, model: Model, to: str = "lang_id") -> DataFrame:
     """docs and a struct (lang_pred, score, rejected) for the whole column text: rejected where there is nothing to judge
     or the calibrated probability is below the model's threshold. Only text is read; other columns pass through."""
+    small_batches(docs.sparkSession)
     schema = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import zlib
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factloom.llm.common import documents, written
+from factloom.llm.common import documents, small_batches, written
 
 WINDOW = 1024
 #: Id that ends a document.
@@ -53,19 +53,23 @@ class Encoder:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         with open(path, encoding="utf-8") as f:
-            ranks = byte_ranks(json.load(f))
-        self.merger = None
+            spec = json.load(f)
+        self.path, self.special = path, [t["content"] for t in spec.get("added_tokens", ())]
+        self.size = max([len(spec["model"]["vocab"]), *(t["id"] + 1 for t in spec.get("added_tokens", ()))])
+        ranks, self.merger = byte_ranks(spec), None
         if ranks is not None:
             import public_tokenizers
             import tiktoken
 
             self.merger = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    @cached_property
+    def tokenizer(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def encode(self, text: str) -> np.ndarray:
         """The ids of a text, without special tokens of the tokenizer's own."""
         if self.merger is None or any(s in text for s in self.special):
@@ -89,7 +93,7 @@ def token_table(docs: DataFrame, path: str) -> DataFrame:
 
     def tokens(batches):
         e = encoder(path)
-        kind = "<u2" if e.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        kind = "<u2" if e.size <= 1 << 16 else "<u4"
         stop = np.array([STOP], kind)
         for b in batches:
             for at in range(0, b.num_rows, _ROWS):
@@ -201,6 +205,7 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, shard_t
         import public_tokenizers
 
         path = public_tokenizers.path("byte_bpe_50k.json")
+    small_batches(docs.sparkSession)
     tokens = written(token_table(docs, path), "tokens", "snappy")
     held = tokens.select("n", "ids").mapInArrow(_frequencies, T.StructType([T.StructField("id", T.LongType()), T.StructField("n", T.LongType())])).groupBy("id").agg(F.sum("n").alias("n"))
     # as many rows as the vocabulary has ids, and two
