@@ -17,8 +17,9 @@ SUBWORDS = (1, 2, 3, 4)
 #: Bounds of the sample that the model is fitted on: documents in all, and bytes of a document.
 SAMPLE, SAMPLE_BYTES = 4_000, 1 << 16
 EPOCHS, RATE = 6, 0.4
-#: Share of the calibration fold's right answers that rejection may cost.
-LOST = 0.002
+#: Share of the calibration fold's right answers that rejection may cost; and the probability above which none is rejected:
+#: there an answer is more likely right than wrong.
+LOST, SURE = 0.002, 0.5
 UNKNOWN = "und"
 
 #: Bytes that are letters stay; all else separates words. Bytes from 0x80 on are parts of letters or of other marks of UTF-8.
@@ -119,7 +120,7 @@ def fit(rows: list[tuple[str, str]], seed: int = 7) -> Model:
     noise = (int((p.argmax(axis=1) != y).sum()) + 1) / (len(y) + 2)
     p = (1 - noise) * p + noise / len(langs)
     right = p.max(axis=1)[p.argmax(axis=1) == y]
-    threshold = min(float(np.quantile(right, LOST)) if len(right) else 0.0, 0.6)
+    threshold = min(float(np.quantile(right, LOST)) if len(right) else 0.0, SURE)
     return Model(langs, logits, float(temperature), threshold, noise)
 
 

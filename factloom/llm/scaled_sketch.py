@@ -71,7 +71,16 @@ def sketches(docs: DataFrame, width: int = WIDTH, scale: int = SCALE) -> DataFra
     return docs.withColumn("sketch", sketch(F.col("text"), width, scale))
 
 
-def with_next(docs: DataFrame, rows_a_bucket: int = 4096) -> DataFrame:
+def _place(cuts: list[int], value: Column) -> Column:
+    """How many of the sorted cuts are at most value: found among every k-th cut first, then among the k after it."""
+    k = max(1, int(len(cuts) ** 0.5))
+    below = lambda some, x: F.size(F.filter(some, lambda c: c <= x))
+    coarse = below(F.lit(cuts[::k]), value)
+    fine = F.array(*[F.lit(cuts[i : i + k]) for i in range(0, len(cuts), k)])
+    return F.when(coarse == 0, 0).otherwise((coarse - 1) * k + below(F.element_at(fine, coarse), value))
+
+
+def with_next(docs: DataFrame, rows_a_bucket: int = 16_384) -> DataFrame:
     """docs (doc_id, text) with the text that follows each in descending doc_id (next_text), after the last that of the first.
 
     Buckets are ranges of doc_id between quantiles; each is sorted by itself and takes its last row's successor
@@ -83,7 +92,7 @@ def with_next(docs: DataFrame, rows_a_bucket: int = 4096) -> DataFrame:
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // rows_a_bucket))
     cuts = docs.where("doc_id is not null").select("doc_id").approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n) if n > 1 else []
     cuts = sorted({int(c) for c in cuts})
-    place = F.coalesce(F.size(F.filter(F.lit(cuts), lambda c: c <= F.col("doc_id"))), F.lit(0)) if cuts else F.lit(0)
+    place = _place(cuts, F.col("doc_id")) if cuts else F.lit(0)
     dealt = docs.withColumn("bucket", F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(place))
     order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text")]
     inside = dealt.withColumn("next_text", F.lead("text").over(Window.partitionBy("bucket").orderBy(*order)))
