@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.functions.text import safe_ratio
-
 
 def multiset(expected: DataFrame, actual: DataFrame, key: str, token: str) -> DataFrame:
     """Per key: tokens expected, actual and in common, counting repeats."""
@@ -18,8 +16,7 @@ def multiset(expected: DataFrame, actual: DataFrame, key: str, token: str) -> Da
 
 def f1(common: Column, expected: Column, actual: Column) -> Column:
     """1 where both are empty, 0 where nothing is in common."""
-    p, r = safe_ratio(common, actual, 0.0), safe_ratio(common, expected, 0.0)
-    return F.when((expected == 0) & (actual == 0), 1.0).when(p + r == 0, 0.0).otherwise(2 * p * r / (p + r))
+    return F.when((expected == 0) & (actual == 0), 1.0).otherwise(2.0 * common / (expected + actual))
 
 
 def multiset_difference(expected: DataFrame, actual: DataFrame, key: str, token: str) -> DataFrame:
@@ -69,5 +66,5 @@ def stratified_with_fill(rows: DataFrame, positive: Column, key: Column, seed: s
 
 def page(rows: DataFrame, order: list, limit: int = 50, offset: int = 0) -> DataFrame:
     """A page of rows in order, with the number of rows in all."""
-    total = rows.agg(F.count("*").alias("total"))
-    return rows.orderBy(*order).offset(offset).limit(limit).join(F.broadcast(total))
+    total = rows.agg(F.count("*").alias("total")).scalar()
+    return rows.orderBy(*order).offset(offset).limit(limit).withColumn("total", total)

@@ -12,8 +12,14 @@ PLANS: dict[str, Callable[[Tables], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
-def query(name: str, oracle: str | None = None):
-    """Registers a plan over Tables under a name that begins with its number in the operator inventory."""
+def query(name: str, oracle: str | None = None, whole: tuple[str, ...] = ()):
+    """Registers a plan over Tables under a name that begins with its number in the operator inventory.
+
+    whole names columns that DuckDB sums to 128 bits and Spark to 64.
+    """
+    if whole:
+        casts = ", ".join(f"cast({c} as bigint) as {c}" for c in whole)
+        oracle = f"select * replace ({casts}) from ({oracle})"
 
     def register(plan: Callable[[Tables], DataFrame]):
         if name in PLANS:

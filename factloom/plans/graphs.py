@@ -26,7 +26,7 @@ _MARG = """, m as (select document_id % 500 as doc, kind, regexp_replace(text, '
  r as (select doc, kind, template, count(*) as run from i group by doc, kind, template, base), n as (select doc, count(distinct page) as pages from m group by 1)"""
 
 
-@query("s2_6_1_repeating_marginals", _B + _MARG + """ select r.doc, kind, template, max(run) as longest, sum(run) as on_pages from r join n using (doc) group by 1, 2, 3, pages having max(run) >= 3 or sum(run) >= greatest(2, ceil(pages * 0.5))""")
+@query("s2_6_1_repeating_marginals", _B + _MARG + """ select r.doc, kind, template, max(run) as longest, sum(run) as on_pages from r join n using (doc) group by 1, 2, 3, pages having max(run) >= 3 or sum(run) >= greatest(2, ceil(pages * 0.5))""", whole=("on_pages",))
 def _(t):
     m = t.blocks.select((F.col("document_id") % 500).alias("doc"), "kind", F.regexp_replace("text", r"\d+", "{n}").alias("template"), (F.col("document_id") % 40).alias("page"))
     r = o.islands(m, ["doc", "kind", "template"], "page").groupBy("doc", "kind", "template").agg(F.max("n").alias("longest"), F.sum("n").alias("on_pages"))
@@ -35,7 +35,7 @@ def _(t):
 
 
 @query("s2_6_4_fragment_runs", _B + """, k as (select *, case when lag(kind) over w = kind and lag(page_index) over w = page_index then 0 else 1 end as new from blocks window w as (partition by document_id order by seq))
- , r as (select *, sum(new) over (partition by document_id order by seq) as run from k) select document_id, run, string_agg(text, ' ' order by seq) as text, count(*) as n from r group by 1, 2""")
+ , r as (select *, sum(new) over (partition by document_id order by seq) as run from k) select document_id, run, string_agg(text, ' ' order by seq) as text, count(*) as n from r group by 1, 2""", whole=("run",))
 def _(t):
     w = Window.partitionBy("document_id").orderBy("seq")
     breaks = ~((F.lag("kind").over(w) == F.col("kind")) & (F.lag("page_index").over(w) == F.col("page_index")))
@@ -117,7 +117,7 @@ def _(t):
     return o.greedy_intervals(_spans(t), "document_id")
 
 
-@query("s2_6_18_row_offsets", _B + "select id, coalesce(sum(level) over (partition by document_id order by seq rows between unbounded preceding and 1 preceding), 0) as first_row from blocks where kind = 'table'")
+@query("s2_6_18_row_offsets", _B + "select id, coalesce(sum(level) over (partition by document_id order by seq rows between unbounded preceding and 1 preceding), 0) as first_row from blocks where kind = 'table'", whole=("first_row",))
 def _(t):
     w = Window.partitionBy("document_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     return t.blocks.where("kind = 'table'").select("id", F.coalesce(F.sum("level").over(w), F.lit(0)).alias("first_row"))

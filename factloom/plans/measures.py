@@ -20,12 +20,12 @@ def _(t):
     return t.units.groupBy("status").agg(F.count("*").alias("n"))
 
 
-@query("s2_5_2_chapter_coverage", _U + "select chapter, count(*) as units, sum(content_ok) as content_ok, sum(requirement_ok) as requirement_ok, min(ordinal) as first from units group by 1")
+@query("s2_5_2_chapter_coverage", _U + "select chapter, count(*) as units, sum(content_ok) as content_ok, sum(requirement_ok) as requirement_ok, min(ordinal) as first from units group by 1", whole=("content_ok", "requirement_ok",))
 def _(t):
     return t.units.groupBy("chapter").agg(F.count("*").alias("units"), F.sum("content_ok").alias("content_ok"), F.sum("requirement_ok").alias("requirement_ok"), F.min("ordinal").alias("first"))
 
 
-@query("s2_5_3_conditional_sum", "select o_custkey as document_id, sum(case when n > 1 then n else 1 end) as published from (select o_orderkey, any_value(o_custkey) as o_custkey, count(l_orderkey) as n from orders left join lineitem on o_orderkey = l_orderkey group by 1) group by 1")
+@query("s2_5_3_conditional_sum", "select o_custkey as document_id, sum(case when n > 1 then n else 1 end) as published from (select o_orderkey, any_value(o_custkey) as o_custkey, count(l_orderkey) as n from orders left join lineitem on o_orderkey = l_orderkey group by 1) group by 1", whole=("published",))
 def _(t):
     items = t.lineitem.groupBy("l_orderkey").agg(F.count("*").alias("n"))
     rows = t.orders.join(items, F.col("o_orderkey") == F.col("l_orderkey"), "left").withColumn("n", F.coalesce("n", F.lit(0)))
@@ -67,7 +67,7 @@ def _sides(t):
 
 
 @query("s2_5_13_multiset_f1", _MULTI + """, s as (select k, sum(e) as expected, sum(a) as actual, sum(least(e, a)) as common from f group by 1)
- select k, expected, actual, common, case when expected = 0 and actual = 0 then 1.0 when common = 0 then 0.0 else 2.0 * common / (expected + actual) end as f1 from s""")
+ select k, expected, actual, common, case when expected = 0 and actual = 0 then 1.0 when common = 0 then 0.0 else 2.0 * common / (expected + actual) end as f1 from s""", whole=("expected", "actual", "common",))
 def _(t):
     s = m.multiset(*_sides(t), "k", "w")
     return s.withColumn("f1", m.f1(F.col("common"), F.col("expected"), F.col("actual")))
@@ -132,7 +132,7 @@ def _(t):
     return m.gated(v.select(F.expr("stack(3, 'quality', quality, 'toxic', toxic, 'score', score) as (metric, value)")), _GATES)
 
 
-@query("s2_5_18_micro_aggregate", _J + "select lang, sum(quality) as hits, count(*) as n, sum(quality) / nullif(sum(quality + toxic), 0) as precision from judged group by 1")
+@query("s2_5_18_micro_aggregate", _J + "select lang, sum(quality) as hits, count(*) as n, sum(quality) / nullif(sum(quality + toxic), 0) as precision from judged group by 1", whole=("hits",))
 def _(t):
     return t.judged.groupBy("lang").agg(F.sum("quality").alias("hits"), F.count("*").alias("n"), F.try_divide(F.sum("quality"), F.sum(F.col("quality") + F.col("toxic"))).alias("precision"))
 
@@ -191,7 +191,7 @@ def _(t):
 
 
 @query("s2_5_27_spreadsheet_aggregates", """select p_brand, sum(p_size) as sum_size, max(p_retailprice) as max_price, count(nullif(p_name, '')) as counta, count(*) filter (where lower(p_type) like '%small%') as countif,
- count(*) filter (where p_size > 25 and lower(p_type) like '%brass') as countifs, coalesce(max(p_retailprice) filter (where p_size < 10), 0) as maxifs from part group by 1""")
+ count(*) filter (where p_size > 25 and lower(p_type) like '%brass') as countifs, coalesce(max(p_retailprice) filter (where p_size < 10), 0) as maxifs from part group by 1""", whole=("sum_size",))
 def _(t):
     like = lambda c, pattern: F.lower(c).rlike("^" + pattern.replace("*", ".*").replace("?", ".") + "$")
     return t.part.groupBy("p_brand").agg(

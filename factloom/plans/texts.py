@@ -277,7 +277,7 @@ def joined_text(a: str, b: str) -> str:
 
 
 @query("s2_6_12_line_clusters", _B + """, s as (select *, max(y1) over (partition by document_id, page_index order by y0, id rows between unbounded preceding and 1 preceding) as reach from blocks), g as (select *, sum(case when reach is null or y0 > reach then 1 else 0 end) over (partition by document_id, page_index order by y0, id rows unbounded preceding) as line from s)
- select document_id, page_index, line, count(*) as words, min(x0) as x0, max(x1) as x1 from g group by 1, 2, 3""")
+ select document_id, page_index, line, count(*) as words, min(x0) as x0, max(x1) as x1 from g group by 1, 2, 3""", whole=("line",))
 def _(t):
     w = Window.partitionBy("document_id", "page_index").orderBy("y0", "id")
     reach = F.max("y1").over(w.rowsBetween(Window.unboundedPreceding, -1))
