@@ -22,14 +22,13 @@ def closure(edges: DataFrame, limit: int = 64) -> DataFrame:
     Each round extends the pairs found last by one edge and keeps what is new; it ends when nothing is, and fails beyond limit rounds.
     """
     e = _cut(edges.select("src", "dst").distinct())
-    found = _cut(e.select(F.col("src").alias("node"), F.col("dst").alias("reached"), F.lit(1).alias("depth")))
-    frontier = found
+    frontier = found = e.select(F.col("src").alias("node"), F.col("dst").alias("reached"), F.lit(1).alias("depth"))
     for depth in range(2, limit + 2):
         step = frontier.join(e, F.col("reached") == F.col("src")).select("node", F.col("dst").alias("reached")).distinct()
         new = _cut(step.join(found, ["node", "reached"], "left_anti").withColumn("depth", F.lit(depth)))
         if new.isEmpty():
             return found
-        found, frontier = _cut(found.unionByName(new)), new
+        found, frontier = found.unionByName(new), new
     raise ValueError(f"paths of more than {limit} steps")
 
 

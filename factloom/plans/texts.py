@@ -137,48 +137,48 @@ def _(t):
 # ---- sentences
 
 
-def _analysed(t):
-    return t.blocks.select("id", "text", sem.analysed(F.col("text")).alias("a"))
+def _part(t, name):
+    return t.blocks.select("id", sem.part(name, F.col("text")).alias("a"))
 
 
 @query("s2_9_6_language_cues", _B + """, c as (select id, 2.0 * len(regexp_extract_all(lower(text), '\\b(shall|must|should|unless)\\b')) + 1.0 * len(regexp_extract_all(lower(text), '\\bmay\\b')) + 0.75 * len(regexp_extract_all(lower(text), '\\b(not|no|if|when|where|after|except)\\b')) + 0.25 * len(regexp_extract_all(lower(text), '\\b(the|and|or)\\b')) as en from blocks)
  select id, en::double as english, en < 2 as ambiguous from c""")
 def _(t):
-    return _analysed(t).select("id", F.col("a.language.english").alias("english"), F.col("a.language.ambiguous").alias("ambiguous"))
+    return _part(t, "language").select("id", "a.english", "a.ambiguous")
 
 
 @query("s2_9_7_modality_spans", _B + """, m as (select id, text, regexp_extract(text, '(shall not|must|may|should)', 1) as w from blocks) select id, cast(strpos(text, w) - 1 as int) as start, cast(strpos(text, w) - 1 + length(w) as int) as "end",
  case w when 'shall not' then 'prohibition' when 'must' then 'obligation' when 'may' then 'permission' else 'recommendation' end as kind from m where w <> ''""")
 def _(t):
-    return _analysed(t).select("id", F.explode("a.modalities").alias("m")).select("id", "m.start", "m.end", "m.kind")
+    return _part(t, "modalities").select("id", F.explode("a").alias("m")).select("id", "m.start", "m.end", "m.kind")
 
 
 @query("s2_9_8_negation_spans", _B + "select id, cast(strpos(text, ' not ') as int) as start, cast(strpos(text, ' not ') + 3 as int) as \"end\", cast(length(text) - 1 as int) as scope_end from blocks where contains(text, ' not ')")
 def _(t):
-    return _analysed(t).select("id", F.explode("a.negations").alias("m")).select("id", "m.start", "m.end", "m.scope_end")
+    return _part(t, "negations").select("id", F.explode("a").alias("m")).select("id", "m.start", "m.end", "m.scope_end")
 
 
 @query("s2_9_9_conditions", "select p_partkey, 'condition' as kind, 'if ' || lower(p_brand) || ' is ready' as text from part union all select p_partkey, 'exception', 'unless size exceeds ' || p_size from part where p_partkey % 2 = 0")
 def _(t):
     extra = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit(", unless size exceeds "), F.col("p_size").cast("string"))).otherwise(F.lit(""))
     s = F.concat(F.lit("The operator must act if "), F.lower("p_brand"), F.lit(" is ready"), extra, F.lit("."))
-    return t.part.select("p_partkey", F.explode(sem.analysed(s)["contexts"]).alias("c")).select("p_partkey", "c.kind", "c.text")
+    return t.part.select("p_partkey", F.explode(sem.part("contexts", s)).alias("c")).select("p_partkey", "c.kind", "c.text")
 
 
 @query("s2_9_10_thresholds", _B + """select id, 'gte' as operator, cast(regexp_extract(text, 'at least (\\d+)', 1) as double) as value, 'kg' as unit from blocks union all select id, 'lte', cast(regexp_extract(text, 'within (\\d+)', 1) as double), 'days' from blocks""")
 def _(t):
-    return _analysed(t).select("id", F.explode("a.thresholds").alias("m")).select("id", "m.operator", "m.value", "m.unit")
+    return _part(t, "thresholds").select("id", F.explode("a").alias("m")).select("id", "m.operator", "m.value", "m.unit")
 
 
 @query("s2_9_13_semantic_bundle", _B + "select id, 2 as thresholds, case when text like '%will%' then 0 else 1 end as modalities, case when text like '%not%' then 1 else 0 end as negations from blocks")
 def _(t):
-    return _analysed(t).select("id", *[F.size(f"a.{k}").alias(k) for k in ("thresholds", "modalities", "negations")])
+    return t.blocks.select("id", sem.analysed(F.col("text")).alias("a")).select("id", *[F.size(f"a.{k}").alias(k) for k in ("thresholds", "modalities", "negations")])
 
 
 @query("s2_9_14_clause_lists", "select p_partkey, m as mark, case m when 'a' then lower(p_brand) when 'b' then lower(p_type) else 'size ' || p_size end as text from (select *, unnest(['a', 'b', 'c']) as m from part)")
 def _(t):
     s = F.concat(F.lit("The file must hold: (a) "), F.lower("p_brand"), F.lit("; (b) "), F.lower("p_type"), F.lit("; (c) size "), F.col("p_size").cast("string"))
-    return t.part.select("p_partkey", F.explode(sem.analysed(s)["clauses"]).alias("c")).select("p_partkey", "c.mark", "c.text")
+    return t.part.select("p_partkey", F.explode(sem.part("clauses", s)).alias("c")).select("p_partkey", "c.mark", "c.text")
 
 
 @query("s2_9_3_token_scan", _B + ", k as (select id, unnest(regexp_extract_all(lower(text), '[0-9]+|[a-z]+')) as token from blocks) select token, count(*) as n from k group by 1")
