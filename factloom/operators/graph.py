@@ -5,15 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def _cut(df: DataFrame) -> DataFrame:
-    """df with its lineage ended in the session's checkpoint folder."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        import tempfile
-
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="factloom-"))
-    return df.checkpoint(eager=True)
+from factloom.sources.scratch import cut
 
 
 def closure(edges: DataFrame, limit: int = 64) -> DataFrame:
@@ -21,11 +13,11 @@ def closure(edges: DataFrame, limit: int = 64) -> DataFrame:
 
     Each round extends the pairs found last by one edge and keeps what is new; it ends when nothing is, and fails beyond limit rounds.
     """
-    e = _cut(edges.select("src", "dst").distinct())
+    e = cut(edges.select("src", "dst").distinct())
     frontier = found = e.select(F.col("src").alias("node"), F.col("dst").alias("reached"), F.lit(1).alias("depth"))
     for depth in range(2, limit + 2):
         step = frontier.join(e, F.col("reached") == F.col("src")).select("node", F.col("dst").alias("reached")).distinct()
-        new = _cut(step.join(found, ["node", "reached"], "left_anti").withColumn("depth", F.lit(depth)))
+        new = cut(step.join(found, ["node", "reached"], "left_anti").withColumn("depth", F.lit(depth)))
         if new.isEmpty():
             return found
         found, frontier = found.unionByName(new), new
@@ -41,18 +33,18 @@ def ready(nodes: DataFrame, edges: DataFrame, accepted: Column) -> DataFrame:
     e = edges.select("src", "dst").distinct()
     missing = e.join(n.select(F.col("id").alias("dst")), "dst", "left_anti").select(F.col("src").alias("id"))
     blocked0 = n.where("not ok").select("id").unionByName(missing).distinct()
-    open_ = _cut(n.join(blocked0, "id", "left_anti").select("id"))
+    open_ = cut(n.join(blocked0, "id", "left_anti").select("id"))
     done = None
     while True:
         needs = e.join(open_.select(F.col("id").alias("src")), "src", "left_semi")
         if done is not None:
             needs = needs.join(done.select(F.col("id").alias("dst")), "dst", "left_anti")
         waiting = needs.select(F.col("src").alias("id")).distinct()
-        new = _cut(open_.join(waiting, "id", "left_anti"))
+        new = cut(open_.join(waiting, "id", "left_anti"))
         if new.isEmpty():
             return done if done is not None else open_.limit(0)
-        done = _cut(new if done is None else done.unionByName(new))
-        open_ = _cut(open_.join(new, "id", "left_anti"))
+        done = cut(new if done is None else done.unionByName(new))
+        open_ = cut(open_.join(new, "id", "left_anti"))
 
 
 def heads(edges: DataFrame, nodes: DataFrame) -> DataFrame:

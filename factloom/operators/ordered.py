@@ -5,14 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.sources.scratch import cut
+
 
 def ranked(rows: DataFrame, order: list[Column], to: str) -> DataFrame:
-    """Rows with their place from 1 in one order over the whole table: ranges are sorted apart and shifted by the counts before them."""
+    """Rows with their place from 1 in one order over the whole table: ranges are sorted apart and shifted by the counts before them.
+
+    The ranges are written to the checkpoint folder once, since bounds that are sampled anew could differ.
+    """
     cols = [f"__o{i}" for i in range(len(order))]
     keyed = rows.withColumns(dict(zip(cols, order, strict=True)))
-    sorted_ = keyed.repartitionByRange(*cols).sortWithinPartitions(*cols).withColumn("__p", F.spark_partition_id())
-    inside = sorted_.withColumn("__n", F.row_number().over(Window.partitionBy("__p").orderBy(*cols)))
-    counts = sorted_.groupBy("__p").agg(F.count("*").alias("__c"))
+    ranges = cut(keyed.repartitionByRange(*cols).withColumn("__p", F.spark_partition_id()))
+    inside = ranges.withColumn("__n", F.row_number().over(Window.partitionBy("__p").orderBy(*cols)))
+    counts = ranges.groupBy("__p").agg(F.count("*").alias("__c"))
     before = counts.withColumn("__b", F.coalesce(F.sum("__c").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("__p", "__b")
     return inside.join(F.broadcast(before), "__p").withColumn(to, F.col("__b") + F.col("__n")).drop("__p", "__n", "__b", *cols)
 

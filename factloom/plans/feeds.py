@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -12,6 +10,7 @@ from factloom.functions import rules
 from factloom.operators import ledger as l
 from factloom.plans.catalog import query
 from factloom.sources.derived import prefix
+from factloom.sources.scratch import fresh
 from factloom.streaming import feeds
 
 _L, _U, _B, _R, _J = prefix("log"), prefix("units"), prefix("blocks"), prefix("registry"), prefix("judged")
@@ -203,14 +202,22 @@ def _(t):
     return t.registry.select("source_id", c.alias("choice"))
 
 
-@query("s2_10_8_job_machine")
+_MOVES = "case f.state when '' then wanted = 'queued' when 'queued' then wanted = 'running' when 'running' then wanted in ('done', 'failed') when 'failed' then wanted = 'queued' and f.retries < 3 else wanted = 'queued' end"
+
+
+@query("s2_10_8_job_machine", _L + f""", e as (select item, state as wanted, row_number() over (partition by item order by seq) as n from log), j as (
+ with recursive f as (select distinct item, 0::bigint as n, '' as state, 0::bigint as retries, 0::bigint as refused from e union all
+  select f.item, e.n, case when {_MOVES} then wanted else f.state end, f.retries + case when {_MOVES} and f.state = 'failed' then 1 else 0 end, f.refused + case when {_MOVES} then 0 else 1 end
+  from f join e on e.item = f.item and e.n = f.n + 1) select * from f)
+ select item, arg_max(state, n) as state, max(retries) as retries, max(refused) as refused from j group by 1""")
 def _(t):
-    """The state of each job after its events in order, kept by a stateful stream; a machine with refusals, so no SQL."""
+    """The state of each job after its events in order, kept by a stateful stream."""
     path = f"{t.sf_dir}/events.parquet"
     events = t.spark.readStream.schema(t.events.schema).parquet(path if _is_folder(t, path) else f"{t.sf_dir}/event[s].parquet")
     state = F.when(F.col("event_id") % 4 == 0, "queued").when(F.col("event_id") % 4 == 1, "running").when(F.col("event_id") % 4 == 2, "done").otherwise("failed")
     stream = feeds.job_states(events.select(F.col("user_id").alias("item"), F.col("event_id").alias("seq"), state.alias("wanted")))
-    return feeds.run_once(stream, f"jobs_{uuid.uuid4().hex}")
+    states = feeds.run_once(stream, fresh(t.spark))
+    return states.groupBy("item").agg(F.max_by(F.struct("state", "retries", "refused"), "batch").alias("s")).select("item", "s.*")
 
 
 def _is_folder(t, path: str) -> bool:

@@ -111,9 +111,11 @@ def _spans(t):
     return t.blocks.select("document_id", F.col("x0").cast("long").alias("start"), F.col("x1").cast("long").alias("end"))
 
 
-@query("s2_6_17_greedy_intervals")
+@query("s2_6_17_greedy_intervals", _B + """, s as (select document_id, cast(x0 as bigint) as a, cast(x1 as bigint) as b from blocks), n as (select *, row_number() over (partition by document_id order by a, a - b, b) as n from s), kept as (
+ with recursive f as (select document_id, n, a, b, b as reach, true as kept from n where n = 1 union all
+  select n.document_id, n.n, n.a, n.b, case when n.a >= f.reach then n.b else f.reach end, n.a >= f.reach from f join n on n.document_id = f.document_id and n.n = f.n + 1) select * from f)
+ select document_id, a as start, b as "end" from kept where kept""")
 def _(t):
-    """Sequential choice: each span depends on those kept before, so a fold and no SQL."""
     return o.greedy_intervals(_spans(t), "document_id")
 
 

@@ -266,9 +266,14 @@ def _(t):
     return t.documents.select("doc_id", F.md5(x.squeezed(F.col("text")).cast("binary")).alias("squeezed"))
 
 
-@query("s2_9_2_typography")
+_ASCII = "***" + '"' * 5 + "''" * 3 + "---"
+_PLAIN = rf"""trim(regexp_replace(regexp_replace(regexp_replace(translate('“a” – b>=c • ' || text, '•◦▪“”„«»‘’‚–—−', '{_ASCII}'),
+ '(\w)-\n(\w)', '\1\2', 'g'), '\s*(<=|>=|=|<|>)\s*', ' \1 ', 'g'), '\s+', ' ', 'g'))"""
+
+
+@query("s2_9_2_typography", f"select doc_id, md5({_PLAIN}) as plain from documents")
 def _(t):
-    return t.documents.select("doc_id", x.plain_typography(F.concat(F.lit("“a” – b>=c • "), F.substring("text", 1, 1_000_000))).alias("plain"))
+    return t.documents.select("doc_id", F.md5(x.plain_typography(F.concat(F.lit("“a” – b>=c • "), "text")).cast("binary")).alias("plain"))
 
 
 _TOKENS = _B + ", t as (select id, generate_subscripts(string_split(text, ' '), 1) - 1 as pos, unnest(string_split(text, ' ')) as raw from blocks), k as (select id, pos, lower(regexp_replace(raw, '[.,]$', '')) as token from t)"

@@ -153,9 +153,17 @@ def test_job_machine():
     assert feeds.advance("failed", 3, 0, ["queued"]) == ("failed", 3, 1)
 
 
-def test_stream_counts(spark, sf_dir):
+def test_stream_counts(spark, sf_dir, tmp_path):
     path = f"{sf_dir}/event[s].parquet"
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     stream = feeds.counted(feeds.event_stream(spark, path, schema).withColumn("ts", F.col("ts").cast("timestamp")))
-    got = feeds.run_once(stream, "counted_events", "complete")
-    assert got.agg(F.sum("n")).first()[0] == spark.read.parquet(f"{sf_dir}/events.parquet").count()
+    got = feeds.run_once(stream, str(tmp_path), "complete")
+    last = got.agg(F.max("batch")).first()[0]
+    assert got.where(F.col("batch") == last).agg(F.sum("n")).first()[0] == spark.read.parquet(f"{sf_dir}/events.parquet").count()
+
+
+def test_stream_projection(spark, tmp_path):
+    spark.createDataFrame([(1, 1, "queued"), (1, 2, "running"), (2, 3, "queued")], "item long, seq long, state string").write.parquet(f"{tmp_path}/in")
+    events = feeds.event_stream(spark, f"{tmp_path}/in", spark.read.parquet(f"{tmp_path}/in").schema)
+    feeds.projected(events, f"{tmp_path}/out", f"{tmp_path}/state").start().awaitTermination()
+    assert rows(spark.read.parquet(f"{tmp_path}/out"), "item", "seq", "state") == [(1, 2, "running"), (2, 3, "queued")]
