@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import zlib
+from collections.abc import Iterator
 from functools import cached_property, lru_cache
 
 import numpy as np
@@ -20,8 +21,10 @@ STOP = 0
 #: Tokens of a shard of the index, in the mean.
 SHARD_TOKENS = 2_000_000
 K1, B = 1.2, 0.75
-#: A seed asks by this many of its terms, those of most weight; its neighbours are ranked whole.
-TERMS = 16
+#: Terms that more than one document in DENSE of a shard holds are scored as rows of a matrix, the others by postings.
+DENSE = 8
+#: Neighbours that are ranked at first; the others follow when these are used.
+FIRST = 64
 _ROWS = 256
 
 
@@ -135,25 +138,41 @@ class Index:
         term, tf = np.concatenate(terms), np.concatenate(counts)
         length = np.array([len(x) - 1 for x in docs])
         weight = (idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[owner] / max(mean, 1)))).astype(np.float32)
-        self.n, starts = len(docs), np.concatenate(([0], np.cumsum(sizes)))
-        self.asks = []
-        for i in range(len(docs)):
-            w = weight[starts[i] : starts[i + 1]]
-            best = np.argpartition(-w, TERMS)[:TERMS] if len(w) > TERMS else np.arange(len(w))
-            self.asks.append(terms[i][best])
+        self.n, self.starts, self.terms = len(docs), np.concatenate(([0], np.cumsum(sizes))), term
         order = np.argsort(term, kind="stable")
         self.doc, self.weight = owner[order], weight[order]
         self.edges = np.searchsorted(term[order], np.arange(len(idf) + 1))
-
-    def neighbours(self, seed: int, used: np.ndarray) -> np.ndarray:
-        """The unused documents that share a term asked for, best first."""
-        score = np.zeros(self.n, np.float32)
-        for t in self.asks[seed].tolist():
+        often = np.nonzero(np.diff(self.edges) * DENSE > self.n)[0]
+        self.row = np.full(len(idf), -1)
+        self.row[often] = np.arange(len(often))
+        self.matrix = np.zeros((len(often), self.n), np.float32)
+        for i, t in enumerate(often):
+            self.matrix[i, self.doc[self.edges[t] : self.edges[t + 1]]] = self.weight[self.edges[t] : self.edges[t + 1]]
+
+    def scores(self, seed: int) -> np.ndarray:
+        """BM25 of every document for all different terms of the seed."""
+        asked = self.terms[self.starts[seed] : self.starts[seed + 1]]
+        rows = self.row[asked]
+        often = np.zeros(len(self.matrix), np.float32)
+        often[rows[rows >= 0]] = 1
+        score = often @ self.matrix
+        for t in asked[rows < 0].tolist():
             a, b = self.edges[t], self.edges[t + 1]
             score[self.doc[a:b]] += self.weight[a:b]
+        return score
+
+    def neighbours(self, seed: int, used: np.ndarray) -> Iterator[int]:
+        """The unused documents that share a term with the seed, best first."""
+        score = self.scores(seed)
         score[used] = 0
         some = np.nonzero(score)[0]
-        return some[np.argsort(-score[some], kind="stable")]
+        value = score[some]
+        if len(some) > FIRST:
+            # all that are as good as the last of the first, so that ties keep their order
+            top = value >= np.partition(value, len(value) - FIRST)[len(value) - FIRST]
+            yield from some[top][np.argsort(-value[top], kind="stable")].tolist()
+            some, value = some[~top], value[~top]
+        yield from some[np.argsort(-value, kind="stable")].tolist()
 
 
 def fill(docs: list[np.ndarray], index: Index, window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
@@ -184,7 +203,7 @@ def fill(docs: list[np.ndarray], index: Index, window: int = WINDOW) -> list[tup
             if offset == window:
                 sequence, offset = sequence + 1, 0
         if (near is None or sequence != first) and left:
-            near = iter(index.neighbours(k, used).tolist())
+            near = index.neighbours(k, used)
     return pieces
 
 
@@ -196,8 +215,8 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, shard_t
     """Pieces of documents (doc_id, text) in sequences of at most window tokens: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset,
     and with ids the piece's ids as little-endian unsigned 32-bit integers.
 
-    The inverted index is sharded by documents, with document frequencies of the whole corpus; each shard retrieves and fills by itself and leaves one
-    sequence unfilled at most. A null or empty text is one token, the end; very long texts run over many sequences;
+    The inverted index is sharded by documents, with document frequencies of the whole corpus.
+    Each shard retrieves by all terms of a seed and fills by itself, and leaves one sequence unfilled at most; neighbours in other shards are not met. A null or empty text is one token, the end; very long texts run over many sequences;
     ties in score go to the smaller place in the shard, which is by doc_id and ids; repeated rows are packed as often as they
     occur; an empty table gives no rows. Columns other than doc_id and text are not read.
     """
