@@ -25,6 +25,10 @@ K1, B = 1.2, 0.75
 DENSE = 8
 #: Neighbours that are ranked at first; the others follow when these are used.
 FIRST = 64
+#: Widths of the projected documents, of which a bounded sample sets the borders of the shards.
+WIDTH, SAMPLE = 256, 1 << 16
+#: Borders cut the sample into at least so many leaves for a shard.
+LEAVES = 4
 _ROWS = 256
 
 
@@ -175,6 +179,79 @@ class Index:
         yield from some[np.argsort(-value, kind="stable")].tolist()
 
 
+@lru_cache(maxsize=1)
+def _signs(size: int) -> np.ndarray:
+    return np.random.default_rng(7).integers(0, 2, (size, WIDTH), np.int8) * np.int8(2) - np.int8(1)
+
+
+def projected(ids: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """The document's terms, by their weight, as a unit vector of WIDTH random sums; zero without terms."""
+    t, c = np.unique(ids[:-1], return_counts=True)
+    v = ((1 + np.log(c)) * idf[t]).astype(np.float32) @ _signs(len(idf))[t].astype(np.float32)
+    return v / max(float(np.sqrt(v @ v)), 1e-9)
+
+
+class Borders:
+    """A tree of halvings that leaves documents of like content in one shard.
+
+    Each node parts the sample by the line between two means. Leaves lie in the order of the tree, and consecutive ones share a shard, by their share
+    of the sample's tokens; a leaf that is larger than a shard is dealt to several by a hash.
+    """
+
+    def __init__(self, x: np.ndarray, tokens: np.ndarray, shards: int):
+        self.shards, self.nodes, self.leaves = shards, [], []
+        self.way = np.zeros((0, WIDTH), np.float32)
+        ways: list[np.ndarray] = []
+        total, done = max(float(tokens.sum()), 1.0), 0.0
+        rnd = np.random.default_rng(3)
+        # (rows, node to hang on, side)
+        stack: list[tuple[np.ndarray, int, int]] = [(np.arange(len(x)), -1, 0)]
+        while stack:
+            rows, over, side = stack.pop()
+            parted = self._parted(x[rows].astype(np.float32), rnd) if tokens[rows].sum() * shards * LEAVES > total else None
+            if parted is None:
+                share = float(tokens[rows].sum()) / total
+                me = ~len(self.leaves)
+                self.leaves.append((done, share))
+                done += share
+            else:
+                way, at, right = parted
+                me = len(self.nodes)
+                ways.append(way)
+                self.nodes.append([at, 0, 0])
+                stack += [(rows[right], me, 2), (rows[~right], me, 1)]
+            if over >= 0:
+                self.nodes[over][side] = me
+        if ways:
+            self.way = np.array(ways, np.float32)
+
+    @staticmethod
+    def _parted(x: np.ndarray, rnd) -> tuple[np.ndarray, float, np.ndarray] | None:
+        if len(x) < 2:
+            return None
+        a = x[rnd.integers(len(x))]
+        a, b = x[np.argmin(x @ a)], a
+        for _ in range(8):
+            right = x @ (a - b) > (a @ a - b @ b) / 2
+            if right.all() or not right.any():
+                return None
+            a, b = x[right].mean(axis=0), x[~right].mean(axis=0)
+        way = a - b
+        along = x @ way
+        at = float(np.clip((a @ a - b @ b) / 2, *np.quantile(along, (0.1, 0.9))))
+        right = along > at
+        return None if right.all() or not right.any() else (way, at, right)
+
+    def shard(self, v: np.ndarray, part: float) -> int:
+        """The shard of a projected document; part, from 0 to 1, is its place in a leaf that several shards hold."""
+        node = 0 if self.nodes else -1
+        while node >= 0:
+            at, low, high = self.nodes[node]
+            node = high if float(self.way[node] @ v) > at else low
+        start, share = self.leaves[~node]
+        return min(int((start + share * (part if share * self.shards > 1 else 0.5)) * self.shards), self.shards - 1)
+
+
 def fill(docs: list[np.ndarray], index: Index, window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
     """Pieces (document, start, length, sequence, offset). A document that overflows its window goes on in the next and is its seed:
     the window takes the best neighbours of its seed in turn, or the next unused document where no neighbour is left."""
@@ -211,11 +288,41 @@ _PIECES = T.StructType([*(T.StructField(n, T.LongType()) for n in ("doc_id", "st
 _PIECES_ARROW = pa.schema([*((n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")), ("ids", pa.binary())])
 
 
+def _dealt(tokens: DataFrame, shared, shards: int, n_docs: int) -> DataFrame:
+    """tokens and the shard of each document, by its content."""
+    if shards == 1:
+        return tokens.withColumn("shard", F.lit(0).cast("long"))
+    place = F.xxhash64("doc_id", F.crc32("ids"))
+    cut = T.StructType([T.StructField("n", T.LongType()), T.StructField("place", T.LongType()), T.StructField("v", T.BinaryType())])
+
+    def sampled(batches):
+        idf, _ = shared.value
+        for b in batches:
+            v = [projected(_ids(raw.as_py(), n), idf).astype("<f2").tobytes() for n, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True)]
+            yield pa.record_batch([b.column(0), b.column(2), pa.array(v, pa.binary())], ["n", "place", "v"])
+
+    # as many rows as SAMPLE in the mean, of 512 bytes each
+    want = min(n_docs, SAMPLE, 32 * LEAVES * shards + 1024)
+    drawn = tokens.select("n", "ids", place.alias("place")).where(F.pmod(F.xxhash64("place"), F.lit(1 << 20)) < -(-want * (1 << 20) // n_docs))
+    sample = drawn.mapInArrow(sampled, cut).toArrow().sort_by([("place", "ascending"), ("n", "ascending")])
+    x = np.frombuffer(b"".join(sample.column("v").to_pylist()), "<f2").reshape(-1, WIDTH)
+    borders = tokens.sparkSession.sparkContext.broadcast(Borders(x, sample.column("n").to_numpy(), shards))
+
+    def sharded(batches):
+        (idf, _), tree = shared.value, borders.value
+        for b in batches:
+            parts = (b.column(3).to_numpy() / 2.0**64 + 0.5).tolist()
+            k = [tree.shard(projected(_ids(raw.as_py(), n), idf), p) for n, raw, p in zip(b.column(1).to_pylist(), b.column(2), parts, strict=True)]
+            yield pa.record_batch([*b.columns[:3], pa.array(k, pa.int64())], ["doc_id", "n", "ids", "shard"])
+
+    return tokens.select("doc_id", "n", "ids", place.alias("place")).mapInArrow(sharded, T.StructType([*_TOKENS, T.StructField("shard", T.LongType())]))
+
+
 def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, shard_tokens: int = SHARD_TOKENS, ids: bool = False) -> DataFrame:
     """Pieces of documents (doc_id, text) in sequences of at most window tokens: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset,
     and with ids the piece's ids as little-endian unsigned 32-bit integers.
 
-    The inverted index is sharded by documents, with document frequencies of the whole corpus.
+    The inverted index is sharded by content, with document frequencies of the whole corpus: documents of like terms share a shard, exact copies too.
     Each shard retrieves by all terms of a seed and fills by itself, and leaves one sequence unfilled at most; neighbours in other shards are not met. A null or empty text is one token, the end; very long texts run over many sequences;
     ties in score go to the smaller place in the shard, which is by doc_id and ids; repeated rows are packed as often as they
     occur; an empty table gives no rows. Columns other than doc_id and text are not read.
@@ -248,8 +355,7 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, shard_t
                 out[name].append(value)
         return pa.table([pa.array(out[f.name], f.type) for f in _PIECES_ARROW], schema=_PIECES_ARROW)
 
-    dealt = tokens.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.crc32("ids")), F.lit(shards)))
-    pieces = dealt.groupBy("shard").applyInArrow(packed, _PIECES)
+    pieces = _dealt(tokens, shared, shards, n_docs).groupBy("shard").applyInArrow(packed, _PIECES)
     return pieces if ids else pieces.drop("ids")
 
 
