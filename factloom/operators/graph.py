@@ -24,6 +24,17 @@ def closure(edges: DataFrame, limit: int = 64) -> DataFrame:
     raise ValueError(f"paths of more than {limit} steps")
 
 
+def reach(seeds: DataFrame, edges: DataFrame) -> DataFrame:
+    """The seeds (id) and every node (id) that paths over edges (src, dst) in either direction lead to from them."""
+    both = cut(edges.select("src", "dst").union(edges.select("dst", "src")).distinct())
+    found = new = cut(seeds.select("id").distinct())
+    while not new.isEmpty():
+        step = new.join(both, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct()
+        new = cut(step.join(found, "id", "left_anti"))
+        found = cut(found.unionByName(new))
+    return found
+
+
 def ready(nodes: DataFrame, edges: DataFrame, accepted: Column) -> DataFrame:
     """Nodes (id) that are accepted and whose dependencies (src depends on dst) are all ready; a cycle or a missing dependency blocks.
 

@@ -283,6 +283,20 @@ def _(t):
     return both.where("a % 1009 = 5").select(F.col("b").alias("id")).union(t.units.where("id % 1009 = 5").select("id")).distinct()
 
 
+@query("s2_8_20_impact_closure", _TREE + """, both_ways as (select src as a, dst as b from tree union select dst, src from tree), base as (select id, status, id as place from units),
+ cur as (select id, case when id % 2003 = 5 then 'changed' else status end as status, case when id % 2003 = 7 then id + 1 else id end as place from units), inc as (select id, case when id % 2003 = 9 then 'changed' else status end as status, id as place from units where id % 2003 <> 11),
+ seeds as (select id from base join cur using (id) left join inc using (id) where base.status is distinct from cur.status or base.status is distinct from inc.status or base.place is distinct from cur.place or base.place is distinct from inc.place)
+ select id from (with recursive d(id) as (select id from seeds union select b from d join both_ways on a = d.id) select id from d)""")
+def _(t):
+    """The units that either of two versions has changed, moved or dropped, and all that dependencies join to them in any number of steps."""
+    base = t.units.select("id", F.struct("status", F.col("id").alias("place")).alias("value"))
+    state = lambda k: F.when(F.col("id") % 2003 == k, "changed").otherwise(F.col("status")).alias("status")
+    cur = t.units.select("id", F.struct(state(5), F.when(F.col("id") % 2003 == 7, F.col("id") + 1).otherwise(F.col("id")).alias("place")).alias("value"))
+    inc = t.units.where("id % 2003 <> 11").select("id", F.struct(state(9), F.col("id").alias("place")).alias("value"))
+    changed = g.leaf_changes(base, cur, ["id"]).select("id").union(g.leaf_changes(base, inc, ["id"]).select("id"))
+    return g.reach(changed, _tree(t))
+
+
 @query("s2_8_23_adjacent_merge", _B + ", w as (select document_id, string_agg(text, '' order by seq) as whole, count(*) as parts from blocks group by 1) select document_id, parts, length(whole) as chars, sha256(whole) as digest from w")
 def _(t):
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda s: s["text"]), "")
