@@ -316,6 +316,19 @@ def _(t):
     return a.join(t.blocks.where("kind <> 'table'").select(F.col("id").alias("target")), "target", "left_anti").select("id", "target")
 
 
+@query("s2_8_28_closed_references", _TREE + """, c as (with recursive r(node, reached) as (select src, dst from tree union select r.node, tree.dst from r join tree on r.reached = tree.src) select node, reached from r),
+ m as (select src as node, src as x from tree union select node, reached from c), e as (select node, bool_or(x % 5 <> dst % 5) as stale from m join tree on m.x = tree.src group by 1),
+ f as (select node, count(*) as refs, sha256(string_agg(cast(reached as varchar), ',' order by reached)) as fingerprint from c group by 1) select node, refs, fingerprint from f join e using (node) where not stale""")
+def _(t):
+    """Units with all that they refer to in any number of steps and its fingerprint; one stale reference on the way rejects the unit."""
+    tree = _tree(t)
+    closed = g.closure(tree).select("node", "reached")
+    at = closed.union(tree.select("src", "src")).distinct()
+    stale = at.join(tree, F.col("reached") == F.col("src")).where(F.col("src") % 5 != F.col("dst") % 5).select("node").distinct()
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list("reached")), lambda x: x.cast("string")), ",")
+    return closed.join(stale, "node", "left_anti").groupBy("node").agg(F.count("*").alias("refs"), F.sha2(whole, 256).alias("fingerprint"))
+
+
 @query("s2_8_29_approval_currency", _B + "select id, sha256(text) = sha256(case when id % 10 = 0 then 'edited' else text end) as current from blocks where kind = 'paragraph'")
 def _(t):
     p = t.blocks.where("kind = 'paragraph'")
