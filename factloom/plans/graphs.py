@@ -224,6 +224,14 @@ def _(t):
     return g.heads(tree, tree.select(F.col("src").alias("id")).union(tree.select("dst")).distinct())
 
 
+@query("s2_8_14_ancestor_depths", _TREE + ", closed as (with recursive c(node, reached, depth) as (select src, dst, 1 from tree union select c.node, tree.dst, c.depth + 1 from c join tree on c.reached = tree.src where c.depth < 40) select node, reached, min(depth) as depth from c group by 1, 2) select node, reached as ancestor, depth, node not in (select dst from tree) as tip from closed")
+def _(t):
+    """Every ancestor of a node with its least distance, and whether the node is a tip."""
+    tree = _tree(t)
+    parents = tree.select(F.col("dst").alias("node")).distinct().withColumn("held", F.lit(True))
+    return g.closure(tree).join(parents, "node", "left").select("node", F.col("reached").alias("ancestor"), "depth", F.col("held").isNull().alias("tip"))
+
+
 _V = """, base as (select p_partkey as k, 'size' as path, cast(p_size as varchar) as value from part where p_partkey % 7 <> 0 union all select p_partkey, 'brand', p_brand from part),
  cur as (select k, path, case when k % 4 = 0 then value || 'c' when k % 12 = 3 then value || 'x' else value end as value from base where k % 11 <> 0),
  inc as (select k, path, case when k % 6 = 0 then value || 'i' when k % 12 = 3 then value || 'x' else value end as value from base where k % 13 <> 0 union all select p_partkey, 'size', 'new' from part where p_partkey % 7 = 0)"""
