@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,16 +25,30 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
+    """A new folder below the shared one, which spark.checkpoint.dir names or the session has set as its checkpoint folder.
+
+    A local master may do without: its folder is then below the warehouse. A cluster may not, for a folder of one machine loses rows without a word.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = tempfile.mkdtemp(prefix="factloom-")
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/factloom-{uuid.uuid4().hex}"
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as make it differ from all columns of df, whatever their case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def written(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     """df as a table in the shared folder: its lineage ends there, so a lost executor costs a read."""
     spark = df.sparkSession
@@ -67,23 +80,37 @@ def id_crc(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
 
 
+#: A key that more than one in HUBS rows hold is met by broadcast; there are at most HUBS of them.
+HUBS = 1_000
+
+
+def joined_by_size(rows: DataFrame, one: DataFrame, on: list[str], total: int) -> DataFrame:
+    """rows joined to one, which has one row for each key (on) and, as n, how many of the total rows hold it; n is dropped.
+
+    Keys of more than one in HUBS rows are broadcast, so that no task gets all rows of a hot key; the others are shuffled.
+    """
+    hot = F.col("n") * HUBS > total
+    few = F.broadcast(one.where(hot).drop("n"))
+    return rows.join(few, on).unionByName(rows.join(few, on, "left_anti").join(one.where(~hot).drop("n"), on))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of (u, v): one row (node, root) per node, root the smallest node of its component.
 
     Alternates the large-star and small-star steps until the edges no longer change; each round is O(edges)
-    and the number of rounds is logarithmic. Self-loops and repeated edges are allowed; no edges, no rows.
+    and the number of rounds is logarithmic. The hubs of large components are met by broadcast. Self-loops and repeated edges are allowed; no edges, no rows.
     """
     e = checkpointed(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    state = None
+    state, total = None, 2 * e.count()
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        small_low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(small_low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("p")).select("p.*")
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = joined_by_size(both.where("v > u"), low, ["u"], total).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        small_low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = joined_by_size(large, small_low, ["u"], total).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("p")).select("p.*")
         e = checkpointed(small.where("u <> v").distinct())
         now = tuple(e.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == state:
             break
-        state = now
+        state, total = now, 2 * now[0]
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
