@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import documents
+from factloom.llm.common import documents, free, joined_by_size, written
 
 #: A line on this many sites or more is boilerplate.
 SITES = 10
@@ -16,35 +16,43 @@ ERRORS = 5
 
 
 def line_key(line: Column) -> Column:
-    """128 bits of the trimmed line, as text."""
-    return F.md5(F.trim(line).cast("binary"))
+    """128 bits of the trimmed line."""
+    return F.unhex(F.md5(F.trim(line).cast("binary")))
 
 
 def lines(docs: DataFrame, site: str = "source") -> DataFrame:
-    """(site, key, doc_id) of each line of docs that is not blank."""
+    """(site, key, doc_id) of each different line of docs that is not blank."""
     split = docs.select(F.col(site).alias("site"), "doc_id", F.explode(F.array_distinct(F.split(F.coalesce("text", F.lit("")), "\n", -1))).alias("line"))
     return split.where(F.trim("line") != "").select("site", "doc_id", line_key(F.col("line")).alias("key"))
 
 
-def spread(docs: DataFrame, site: str = "source", lg_k: int = LG_K) -> DataFrame:
-    """A mergeable sketch of the sites of each line: (key, sketch, n), n the documents' mentions. Sketches of parts of a corpus merge by hll_union_agg."""
-    return lines(docs, site).groupBy("key").agg(F.hll_sketch_agg("site", F.lit(lg_k)).alias("sketch"), F.count("*").alias("n"), F.min("doc_id").alias("first"))
+def repeated(docs: DataFrame, sites: int = SITES, site: str = "source") -> DataFrame:
+    """(site, key, doc_id, first) of the lines that documents mention at least sites times, first being the smallest doc_id; a line of fewer
+    mentions has fewer sites. Written once, for what follows reads it again; the texts are split here alone."""
+    mentions = written(lines(docs, site), "lines")
+    held = written(mentions.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where(F.col("n") >= sites), "held")
+    return written(joined_by_size(mentions, held, ["key"], mentions.count()), "repeated")
 
 
-def boilerplate(docs: DataFrame, sites: int = SITES, site: str = "source", lg_k: int = LG_K) -> DataFrame:
-    """(key, sites, first) of the lines on at least sites distinct sites; first is the smallest doc_id that holds the line.
+def spread(mentions: DataFrame, lg_k: int = LG_K) -> DataFrame:
+    """A mergeable sketch of the sites of each line of mentions (site, key): (key, sketch). Sketches of parts of a corpus merge by hll_union_agg."""
+    return mentions.groupBy("key").agg(F.hll_sketch_agg("site", F.lit(lg_k)).alias("sketch"))
+
+
+def boilerplate(mentions: DataFrame, sites: int = SITES, lg_k: int = LG_K) -> DataFrame:
+    """(key, sites, first, n) of the lines of repeated() on at least sites distinct sites; n is how many documents mention the line.
 
     The estimate decides alone where it is more than ERRORS standard errors off the threshold; the rest get an exact distinct
-    count over their own lines. Lines with fewer mentions than the threshold cannot reach it and are dropped before.
+    count over their own lines, of which each site counts once before the shuffle.
     """
     margin = ERRORS * 1.04 / 2 ** (lg_k / 2)
     low, high = sites * (1 - margin), sites * (1 + margin) + 1
-    est = spread(docs, site, lg_k).where(F.col("n") >= sites).select("key", "first", F.hll_sketch_estimate("sketch").alias("est"))
-    sure = est.where(F.col("est") > high).select("key", F.col("est").alias("sites"), "first")
-    near = est.where((F.col("est") >= low) & (F.col("est") <= high)).select("key", "first")
-    exact = lines(docs, site).join(near.select("key"), "key", "left_semi").where("site is not null").groupBy("key", "site").agg(F.lit(1)).groupBy("key").agg(F.count("*").alias("sites"))
-    counted = exact.where(F.col("sites") >= sites).join(near, "key").select("key", "sites", "first")
-    return sure.unionByName(counted)
+    est = mentions.groupBy("key").agg(F.hll_sketch_agg("site", F.lit(lg_k)).alias("sketch"), F.count("*").alias("n"), F.min("first").alias("first"))
+    est = written(est.select("key", F.hll_sketch_estimate("sketch").alias("sites"), "first", "n"), "spread")
+    near = est.where((F.col("sites") >= low) & (F.col("sites") <= high)).drop("sites")
+    each = mentions.where("site is not null").groupBy("key", "site").agg(F.lit(1).alias("one"))
+    counted = each.join(near.select("key"), "key", "left_semi").groupBy("key").agg(F.count("*").alias("sites")).where(F.col("sites") >= sites).join(near, "key")
+    return est.where(F.col("sites") > high).unionByName(counted)
 
 
 def without_boilerplate(docs: DataFrame, sites: int = SITES, site: str = "source", counts: bool = False) -> DataFrame:
@@ -52,33 +60,33 @@ def without_boilerplate(docs: DataFrame, sites: int = SITES, site: str = "source
 
     So no line leaves the corpus, and of many copies of a document one stays whole. Lines are compared trimmed, blank lines are never cut,
     n_chars, where docs has it, is recomputed for changed texts. A null text stays null; a null site counts for no site;
-    rows with the same doc_id are treated alike; a null doc_id is never the first unless all are. Other columns pass
-    through. With counts, columns n_lines and n_removed are added. An empty table gives no rows.
+    rows with the same doc_id are treated alike, so repeated rows are; a null doc_id is never the first unless all are. A very long text is split like
+    any other. Other columns pass through, whatever their names. With counts, columns n_lines and n_removed are added. An empty table gives no rows.
     """
-    found = boilerplate(docs, sites, site)
-    mine = lines(docs, site).select("doc_id", "key").join(found.select("key", "first"), "key")
-    cut = mine.groupBy("doc_id").agg(F.collect_set("key").alias("__cut"), F.collect_set(F.when(F.col("first") == F.col("doc_id"), F.col("key"))).alias("__keep")).withColumnRenamed("doc_id", "__of")
-    rows = docs.join(cut, docs["doc_id"].eqNullSafe(cut["__of"]), "left")
+    mentions = repeated(docs, sites, site)
+    found = written(boilerplate(mentions, sites).select("key", "first", "n"), "boilerplate")
+    # what is cut has its first document from the mentions already
+    mine = joined_by_size(mentions, found.select("key", "n"), ["key"], mentions.count())
+    of, cut, keep, keys, left = free(docs, "of", "cut", "keep", "keys", "left")
+    held = mine.groupBy(F.col("doc_id").alias(of)).agg(F.collect_set("key").alias(cut), F.collect_set(F.when(F.col("first") == F.col("doc_id"), F.col("key"))).alias(keep))
+    rows = docs.join(held, docs["doc_id"].eqNullSafe(held[of]), "left")
     parts = F.split("text", "\n", -1)
-    keys = F.transform(parts, line_key)
-    pairs = F.arrays_zip(parts.alias("line"), keys.alias("key"))
+    pairs = F.arrays_zip(parts.alias("line"), F.col(keys).alias("key"))
 
     def stays(p: Column, i: Column) -> Column:
-        key = p["key"]
-        first_here = F.array_position(F.col("__keys"), key) == i + 1
-        return ~F.array_contains("__cut", key) | (F.array_contains("__keep", key) & first_here)
-
-    rows = rows.withColumn("__keys", F.when(F.col("__cut").isNotNull(), keys))
-    left = F.transform(F.filter(pairs, stays), lambda p: p["line"])
-    rows = rows.withColumn("__left", F.when(F.col("__cut").isNotNull(), left))
-    text = F.when(F.col("__left").isNotNull(), F.array_join("__left", "\n")).otherwise(F.col("text"))
+        first_here = F.array_position(F.col(keys), p["key"]) == i + 1
+        return ~F.array_contains(cut, p["key"]) | (F.array_contains(keep, p["key"]) & first_here)
+
+    rows = rows.withColumn(keys, F.when(F.col(cut).isNotNull(), F.transform(parts, line_key)))
+    rows = rows.withColumn(left, F.when(F.col(cut).isNotNull(), F.transform(F.filter(pairs, stays), lambda p: p["line"])))
+    text = F.when(F.col(left).isNotNull(), F.array_join(left, "\n")).otherwise(F.col("text"))
     out = {"text": text}
     if counts:
         total = F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).cast("long")
-        out |= {"n_lines": total, "n_removed": F.when(F.col("__left").isNotNull(), total - F.size("__left")).otherwise(F.lit(0)).cast("long")}
+        out |= {"n_lines": total, "n_removed": F.when(F.col(left).isNotNull(), total - F.size(left)).otherwise(F.lit(0)).cast("long")}
     if "n_chars" in docs.columns:
-        out["n_chars"] = F.when(F.col("__left").isNotNull(), F.char_length(text).cast("long")).otherwise(F.col("n_chars").cast("long"))
-    return rows.withColumns(out).select(*docs.columns, *(["n_lines", "n_removed"] if counts else []))
+        out["n_chars"] = F.when(F.col(left).isNotNull(), F.char_length(text).cast("long")).otherwise(F.col("n_chars").cast("long"))
+    return rows.withColumns(out).select(*[F.col(f"`{c}`") for c in dict.fromkeys([*docs.columns, *(["n_lines", "n_removed"] if counts else [])])])
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
