@@ -180,7 +180,8 @@ def digests(docs: DataFrame, path: str | None = None, pattern: str | None = None
     """One row (doc_id, n_tokens, ids_sha256, decoded_sha256) per row of docs (doc_id, text), encoded and decoded in one pass.
 
     ids_sha256 is the SHA-256 of the decimal ids joined by commas, decoded_sha256 that of the decoded bytes; null text
-    counts as empty. Ids are decoded, never the text repeated. Other columns are not read.
+    and empty text have no ids. Ids are decoded, never the text repeated; very long texts are encoded whole; ties and repeated
+    rows get the same digests; an empty table gives no rows. Other columns are not read.
     """
     path, pattern = _tables(path, pattern)
     small_batches(docs.sparkSession)

@@ -126,7 +126,11 @@ def fit(rows: list[tuple[str, str]], seed: int = 7) -> Model:
 
 def train(labelled: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """A model from (doc_id, text, lang): from at most sample rows, about as many of each language, by a hash of text and id; rows without
-    text or lang, and texts of more than sample_bytes, are not among them. No rows give a model that answers UNKNOWN."""
+    text or lang, and texts of more than sample_bytes, are not among them.
+
+    Rows that tie in the hash are taken by text; repeated rows count as often as they are drawn; empty texts and those without a letter teach nothing; an empty
+    table, or one without languages, gives a model that answers UNKNOWN. Other columns are not read.
+    """
     rows = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.octet_length("text") <= sample_bytes)).select("doc_id", "text", "lang")
     counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(sample).collect()
     if not counts:
@@ -139,8 +143,12 @@ def train(labelled: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_
 
 
 def identified(docs: DataFrame, model: Model, to: str = "lang_id") -> DataFrame:
-    """docs and a struct (lang_pred, score, rejected) for the whole column text: rejected where there is nothing to judge
-    or the calibrated probability is below the model's threshold. Only text is read; other columns pass through."""
+    """docs and a struct (lang_pred, score, rejected) for the whole column text, in a column named to, which replaces one of that name: rejected where there
+    is nothing to judge or the calibrated probability is below the model's threshold.
+
+    Null and empty texts and those without a letter are UNKNOWN with a score of 0; very long texts are judged whole; of languages that tie the first by name
+    is given; repeated rows get the same answer; an empty table gives no rows. Only text is read; other columns pass through.
+    """
     small_batches(docs.sparkSession)
     schema = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)
