@@ -18,8 +18,8 @@ ROWS = [
     (1, None, None, None, None), (2, "", "en", "a", 0), (3, " \n\t", "en", "b", 3), (4, "one", "en", None, 3), (4, "one", "en", None, 3), (None, "no id here at all", "en", "c", 17),
     (5, LONG, "en", "a", len(LONG)), (6, "漢字 🙂 é", None, "b", 6), (7, "***", "de", "c", 3), (8, "x" * 5000, "fr", "a", 5000), (9, "line\nline\n\nline", "en", "a", 15), (None, None, None, None, None),
 ]
-#: Names that operators could use inside.
-EXTRA = ("h", "fp", "k", "key", "n", "u", "v", "ids", "words", "batch", "shard", "bucket", "site", "line", "root", "node", "size", "sketch", "quality", "score", "learned", "row_no", "first", "variant", "media")
+#: Names that operators use inside or could.
+EXTRA = ("h", "fp", "k", "key", "n", "u", "v", "ids", "words", "batch", "shard", "bucket", "site", "line", "root", "node", "size", "sketch", "quality", "score", "learned", "row_no", "first", "variant", "media", "held", "before", "at", "of", "cut", "keep", "left", "mine", "its_id", "its_hash", "told", "measured", "__hash", "__cut", "__keep", "__of", "__keys", "__left", "__quality", "__toxic", "__lang", "__kept", "__bucket", "keys", "__n", "tokens", "text_hash", "component_id", "n_rows", "low", "place", "h", "lot", "s", "d", "first_doc")
 
 
 @pytest.fixture(scope="module")
@@ -28,7 +28,7 @@ def tables(spark, tmp_path_factory):
     for name, rows in (("edge", ROWS), ("none", [])):
         d = str(tmp_path_factory.mktemp(name))
         docs = spark.createDataFrame(rows, SCHEMA)
-        for x in EXTRA:
+        for x in dict.fromkeys(EXTRA):
             docs = docs.withColumn(x, F.lit("clash"))
         docs.write.parquet(f"{d}/documents.parquet")
         spark.createDataFrame([(4, 1, 0), (5, 1, 0), (9, 0, None), (None, 1, 0)] if rows else [], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
@@ -56,9 +56,10 @@ def test_stages_on_edges(table, spark, tables):
     docs = spark.read.parquet(f"{tables[table]}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, tables[table])
+        got = out.collect()
         if name != corpus_pipeline.STAGES[-1][0]:
             assert out.columns == docs.columns
-        out.collect()
+            assert all(r[x] == "clash" for r in got for x in EXTRA)
 
 
 def test_pipeline_runs(spark, tables):

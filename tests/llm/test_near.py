@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from collections import defaultdict
 from itertools import combinations
 
 import pytest
@@ -12,9 +13,34 @@ from factloom.llm import near
 from tests.llm.test_brute import _components
 
 
+def _shingles(x):
+    w = x.lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
 def _jaccard(a, b):
-    a, b = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.split(), b.split()))
-    return len(a & b) / len(a | b)
+    a, b = _shingles(a), _shingles(b)
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
+def roots_of(texts):
+    """The smallest id that links of a Jaccard similarity of 0.8 or more reach, by comparing all pairs that share a shingle."""
+    sets, held = {i: _shingles(x) for i, x in texts.items()}, defaultdict(list)
+    for i, s in sorted(sets.items()):
+        for x in s or {()}:
+            held[x].append(i)
+    parent = {i: i for i in texts}
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, j in {p for ids in held.values() for p in combinations(ids, 2)}:
+        if sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+            a, b = find(i), find(j)
+            parent[max(a, b)] = min(a, b)
+    return {i: find(i) for i in texts}
 
 
 def _edited(rnd, words, edits):

@@ -9,7 +9,7 @@ import numpy as np
 import corpus_pipeline as cp
 from factloom.llm import langid, line_dedup, quality
 from factloom.llm.common import documents, labels, written
-from tests.llm.test_brute import _components, _fingerprint
+from tests.llm.test_near import roots_of
 
 
 def plain_lines(rows):
@@ -59,7 +59,7 @@ def test_stages(spark, sf_dir):
     assert all(r["n_chars"] == len(r["text"]) for r in got.values())
 
     distinct = step("near_duplicates", lines)
-    found = _components({i: _fingerprint(r["text"]) for i, r in got.items()})
+    found = roots_of({i: r["text"] for i, r in got.items()})
     kept = {r["doc_id"]: r for r in distinct.collect()}
     assert set(kept) == set(found.values()) and all(kept[i] == got[i] for i in kept)
 
