@@ -9,33 +9,51 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import langid, line_dedup, near, packing, quality
-from factloom.llm.common import documents, labels, written
+from factloom.llm import langid, line_dedup, packing, quality, simhash
+from factloom.llm.common import documents, free, labels, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the model, fitted on the labelled ones, can tell; texts without a letter go."""
+    """Documents whose language the model, fitted on the labelled ones, can tell; null and empty texts and those without a letter go.
+
+    Very long texts are judged whole, repeated rows and ties alike; other columns pass through, whatever their names; no rows, no rows.
+    """
     model = langid.train(docs)
-    return langid.identified(docs, model, "__lang").where(~F.col("__lang.rejected")).select(*docs.columns)
+    (told,) = free(docs, "told")
+    return langid.identified(docs, model, told).where(~F.col(f"{told}.rejected")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that trusted text does not find surprising for their language."""
+    """Documents that trusted text does not find surprising for their language.
+
+    A null lang has the threshold of all, a null or empty text nothing against it; very long texts are judged whole, repeated rows and ties alike; other
+    columns pass through, whatever their names; without labels all rows stay; no rows, no rows.
+    """
     return quality.keep_good(docs, labels(spark, sf_dir))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines that many sites repeat."""
+    """All documents, without lines that many sites repeat, but for the copy in the smallest doc_id.
+
+    Null texts stay null, null sites count for none; very long texts are split like others, rows of one doc_id treated alike; other columns pass through,
+    n_chars is that of the new text; no rows, no rows.
+    """
     return line_dedup.without_boilerplate(docs)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: texts whose five-word shingles have a Jaccard similarity of 0.8 or more, linked in turn."""
-    return near.keep_one(docs)
+    """One document of each group of near duplicates: texts whose five-word shingles have a Jaccard similarity of 0.8 or more, linked in turn.
+
+    Null and empty texts are one group; very long texts are compared whole; of ties and repeated rows one stays; other columns pass through; no rows, no rows.
+    """
+    return simhash.keep_one(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' ids in sequences with their lexical neighbours."""
+    """The documents' ids in sequences with their lexical neighbours.
+
+    A null or empty text is its end alone; very long texts run over many sequences; repeated rows are packed as often; other columns are not read; no rows, no rows.
+    """
     return packing.pack(docs, ids=True)
 
 
