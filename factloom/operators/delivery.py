@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import io
+import zipfile
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def triples(rows: DataFrame, subject: str, predicates: dict[str, Column]) -> DataFrame:
@@ -46,8 +51,69 @@ def verified(files: DataFrame, manifest: DataFrame, key: str) -> DataFrame:
     return f.join(m, key, "full").select(key, F.when(F.col("have").isNull(), "missing").when(F.col("want").isNull(), "unlisted").when(F.col("have") == F.col("want"), "ok").otherwise("changed").alias("verdict"))
 
 
-def routed(head: Column, name: Column) -> Column:
-    """The kind of a file by its first bytes, and by its suffix where they say nothing."""
-    starts = lambda *marks: F.substring(head, 1, len(marks)) == F.lit(bytes(marks))
+#: Suffixes and the formats they stand for.
+SUFFIXES = {"pdf": "pdf", "html": "html", "htm": "html", "xhtml": "html", "xlsx": "xlsx", "xlsm": "xlsx", "xls": "ole", "docx": "docx"}
+
+
+@F.pandas_udf(T.StringType())
+def _archive(content: pd.Series) -> pd.Series:
+    """What an archive holds, by its members: xlsx, docx, or zip."""
+
+    def kind(raw) -> str | None:
+        try:
+            with zipfile.ZipFile(io.BytesIO(bytes(raw))) as z:
+                names = set(z.namelist())
+        except (zipfile.BadZipFile, TypeError):
+            return None
+        return "xlsx" if "xl/workbook.xml" in names else "docx" if "word/document.xml" in names else "zip"
+
+    return pd.Series([kind(x) for x in content], dtype=object)
+
+
+def format_of(name: Column, declared: Column, content: Column) -> Column:
+    """The format of a file: that of its first bytes, and of its members where it is an archive. mismatch:X where the format declared for it, or else that of its name, is
+    X and its bytes are of another; unsupported:X where no reader takes it."""
+    starts = lambda mark: F.substring(content, 1, len(mark)) == F.lit(mark)
+    head = F.lower(F.substring(content, 1, 512).cast("string"))
+    sniffed = F.when(starts(b"%PDF"), "pdf").when(starts(b"PK"), _archive(F.when(starts(b"PK"), content))).when(starts(bytes.fromhex("d0cf11e0")), "ole").when(head.rlike(r"^\s*(<!doctype html|<html)"), "html")
     suffix = F.lower(F.regexp_extract(name, r"\.([A-Za-z0-9]+)$", 1))
-    return F.when(starts(0x25, 0x50, 0x44, 0x46), "pdf").when(starts(0x50, 0x4B, 3, 4), "xlsx").when(starts(0xD0, 0xCF, 0x11, 0xE0), "ole").when(F.lower(F.substring(head.cast("string"), 1, 200)).rlike(r"^\s*(<!doctype html|<html)"), "html").otherwise(suffix)
+    known = F.element_at(F.create_map(*[F.lit(v) for kv in SUFFIXES.items() for v in kv]), suffix)
+    want = F.coalesce(F.lower(declared), known)
+    return F.when(sniffed.isNull() | (sniffed == "zip"), F.concat(F.lit("unsupported:"), F.coalesce(sniffed, suffix))).when(want.isNotNull() & (want != sniffed), F.concat(F.lit("mismatch:"), want)).otherwise(sniffed)
+
+
+def _sorted(column: Column, kind: T.DataType) -> Column:
+    """A struct, and those inside it, with fields in the order of their names."""
+    if not isinstance(kind, T.StructType):
+        return column
+    return F.struct(*[_sorted(column[f.name], f.dataType).alias(f.name) for f in sorted(kind, key=lambda f: f.name)])
+
+
+def indexed(rows: DataFrame, path: str, record: str) -> DataFrame:
+    """(path, json, bytes, sha256): each record as compact JSON with sorted keys, and its entry in the artifact index."""
+    text = F.to_json(_sorted(F.col(record), rows.schema[record].dataType))
+    return rows.select(path, text.alias("json")).select(path, "json", F.octet_length("json").cast("long").alias("bytes"), F.sha2("json", 256).alias("sha256"))
+
+
+def write_package(rows: DataFrame, key: str, body: str, root: str, actor: str = "export") -> None:
+    """Payload, manifest and history below root, the history last: a package without it is not whole."""
+    rows.write.parquet(f"{root}/payload")
+    with_manifest(rows, key, F.col(body)).write.parquet(f"{root}/manifest")
+    files = rows.sparkSession.read.parquet(f"{root}/manifest")
+    files.agg(F.count("*").alias("files"), F.lit(actor).alias("actor")).write.json(f"{root}/history")
+
+
+def read_package(spark: SparkSession, root: str, schema: str, key: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Payload, manifest (key, bytes, sha256) and history of a package."""
+    kind = schema.split(f"{key} ")[1].split(",")[0]
+    return spark.read.schema(schema).parquet(f"{root}/payload"), spark.read.schema(f"{key} {kind}, bytes bigint, sha256 string").parquet(f"{root}/manifest"), spark.read.schema("files bigint, actor string").json(f"{root}/history")
+
+
+def publish(status: DataFrame, root: str, revision: int) -> None:
+    """One status row under its revision; Spark's commit makes it appear whole or not at all."""
+    status.write.json(f"{root}/revision={revision}")
+
+
+def published(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame:
+    """The newest status row with its revision."""
+    return spark.read.schema(T.StructType([*schema, T.StructField("revision", T.IntegerType())])).json(root).orderBy(F.desc("revision")).limit(1)

@@ -8,54 +8,65 @@ from pyspark.sql import functions as F
 from factloom.sources.scratch import cut
 
 
-def closure(edges: DataFrame, limit: int = 64) -> DataFrame:
-    """All (node, reached, depth) over edges (src, dst), depth the least number of steps from 1. Cycles are allowed.
+def closure(edges: DataFrame) -> DataFrame:
+    """All (node, reached, depth) over edges (src, dst), depth the least number of steps from 1. Cycles are allowed, and paths of any length.
 
-    Each round extends the pairs found last by one edge and keeps what is new; it ends when nothing is, and fails beyond limit rounds.
+    Each round doubles the paths: pairs that are exactly as far apart as the rounds so far reach are extended by all pairs found, so the rounds are
+    logarithmic in the longest path and only pairs that are new are written.
     """
-    e = cut(edges.select("src", "dst").distinct())
-    frontier = found = e.select(F.col("src").alias("node"), F.col("dst").alias("reached"), F.lit(1).alias("depth"))
-    for depth in range(2, limit + 2):
-        step = frontier.join(e, F.col("reached") == F.col("src")).select("node", F.col("dst").alias("reached")).distinct()
-        new = cut(step.join(found, ["node", "reached"], "left_anti").withColumn("depth", F.lit(depth)))
+    found = cut(edges.select(F.col("src").alias("node"), F.col("dst").alias("reached")).distinct().withColumn("depth", F.lit(1)))
+    far = 1
+    while True:
+        front = found.where(F.col("depth") == far).select("node", F.col("reached").alias("middle"))
+        rest = found.select(F.col("node").alias("middle"), F.col("reached"), "depth")
+        step = front.join(rest, "middle").groupBy("node", "reached").agg((F.min("depth") + far).alias("depth"))
+        new = cut(step.join(found, ["node", "reached"], "left_anti").select("node", "reached", "depth"))
         if new.isEmpty():
             return found
-        found, frontier = found.unionByName(new), new
-    raise ValueError(f"paths of more than {limit} steps")
+        found, far = found.unionByName(new), 2 * far
+
 
+def reach(seeds: DataFrame, edges: DataFrame, ways: str = "both") -> DataFrame:
+    """The seeds (id) and every node (id) that paths over edges (src, dst) lead to from them: forwards ("out"), backwards ("in") or both ways.
 
-def reach(seeds: DataFrame, edges: DataFrame) -> DataFrame:
-    """The seeds (id) and every node (id) that paths over edges (src, dst) in either direction lead to from them."""
-    both = cut(edges.select("src", "dst").union(edges.select("dst", "src")).distinct())
+    A search from the seeds: each round extends the nodes found last by one edge, so only edges at those are read on.
+    """
+    there, back = edges.select("src", "dst"), edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    steps = cut({"out": there, "in": back, "both": there.unionByName(back)}[ways].distinct())
     found = new = cut(seeds.select("id").distinct())
-    while not new.isEmpty():
-        step = new.join(both, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct()
+    while True:
+        step = new.join(steps, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct()
         new = cut(step.join(found, "id", "left_anti"))
-        found = cut(found.unionByName(new))
-    return found
+        if new.isEmpty():
+            return found
+        found = found.unionByName(new)
+
+
+def cyclic(edges: DataFrame) -> DataFrame:
+    """Nodes (id) that lie on a cycle of edges (src, dst): nodes without a way in or out are peeled off round by round, and only what is left, cycles and
+    what joins them, is closed."""
+    left = cut(edges.select("src", "dst").distinct())
+    size = left.count()
+    while size:
+        left = cut(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+        now = left.count()
+        if now == size:
+            break
+        size = now
+    return closure(left).where("node = reached").select(F.col("node").alias("id"))
 
 
 def ready(nodes: DataFrame, edges: DataFrame, accepted: Column) -> DataFrame:
     """Nodes (id) that are accepted and whose dependencies (src depends on dst) are all ready; a cycle or a missing dependency blocks.
 
-    Blocking spreads from the nodes that are not accepted and those in or before a cycle: rounds mark whoever depends only on ready ones.
+    Nodes that are blocked are found, not those that are ready: what is not accepted, misses a dependency or is on a cycle blocks all that depends on it
+    in any number of steps.
     """
     n = nodes.select("id", accepted.alias("ok"))
     e = edges.select("src", "dst").distinct()
     missing = e.join(n.select(F.col("id").alias("dst")), "dst", "left_anti").select(F.col("src").alias("id"))
-    blocked0 = n.where("not ok").select("id").unionByName(missing).distinct()
-    open_ = cut(n.join(blocked0, "id", "left_anti").select("id"))
-    done = None
-    while True:
-        needs = e.join(open_.select(F.col("id").alias("src")), "src", "left_semi")
-        if done is not None:
-            needs = needs.join(done.select(F.col("id").alias("dst")), "dst", "left_anti")
-        waiting = needs.select(F.col("src").alias("id")).distinct()
-        new = cut(open_.join(waiting, "id", "left_anti"))
-        if new.isEmpty():
-            return done if done is not None else open_.limit(0)
-        done = cut(new if done is None else done.unionByName(new))
-        open_ = cut(open_.join(new, "id", "left_anti"))
+    bad = n.where("not coalesce(ok, false)").select("id").unionByName(missing).unionByName(cyclic(e))
+    return n.select("id").join(reach(bad, e, "in"), "id", "left_anti")
 
 
 def heads(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from factloom.sources.scratch import cut
 
@@ -47,32 +49,53 @@ def heading_paths(blocks: DataFrame, document: str, order: str, levels: int) ->
     return out.withColumn("path", F.array_join(path, "/")).drop(*[f"__h{k}" for k in range(1, levels + 1)])
 
 
-def packed_chunks(blocks: DataFrame, document: str, order: str, size: Column, limit: int) -> DataFrame:
-    """Blocks with the number of their chunk: a chunk closes before the block that would take it over limit. One fold per document."""
-    items = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("id").alias("id"), size.alias("n"))))
-    start = F.struct(F.lit(0).alias("chunk"), F.lit(0).cast("long").alias("held"), F.array().cast("array<struct<id:bigint,chunk:int,n:bigint>>").alias("out"))
+def packed_chunks(blocks: DataFrame, document: str, order: str, size: Column, limit: int, starts: Column | None = None, alone: Column | None = None) -> DataFrame:
+    """(document, order, size, chunk): blocks with the number of their chunk, from 0. A chunk closes before the block that would take it over limit and before
+    one that starts a chunk; one that stands alone closes it on both sides.
 
-    def step(s: Column, x: Column) -> Column:
-        full = (s["held"] > 0) & (s["held"] + x["n"] > limit)
-        chunk = F.when(full, s["chunk"] + 1).otherwise(s["chunk"])
-        held = F.when(full, x["n"]).otherwise(s["held"] + x["n"]).cast("long")
-        return F.struct(chunk.alias("chunk"), held.alias("held"), F.concat(s["out"], F.array(F.struct(x["id"].cast("long").alias("id"), chunk.cast("int").alias("chunk"), x["n"].cast("long").alias("n")))).alias("out"))
-
-    grouped = blocks.groupBy(document).agg(F.aggregate(items, start, step, lambda s: s["out"]).alias("out"))
-    return grouped.select(document, F.inline("out"))
+    What a chunk holds is known only from those before it, so each document is folded once, by a running sum.
+    """
+    no = F.lit(False)
+    rows = blocks.select(document, F.struct(F.col(order).alias("o"), size.cast("long").alias("n"), (no if starts is None else starts).alias("starts"), (no if alone is None else alone).alias("alone")).alias("b"))
+    place, kind = rows.schema["b"].dataType["o"].dataType, rows.schema[document]
+
+    def numbered(batches):
+        for pdf in batches:
+            out: dict[str, list] = {document: [], order: [], "size": [], "chunk": []}
+            for doc, items in zip(pdf[document], pdf["items"], strict=True):
+                chunk, held, open_ = 0, 0, False
+                for b in items:
+                    if open_ and (b["starts"] or b["alone"] or held + b["n"] > limit):
+                        chunk, held = chunk + 1, 0
+                    for name, value in zip(out, (doc, b["o"], b["n"], chunk), strict=True):
+                        out[name].append(value)
+                    held, open_ = held + b["n"], True
+                    if b["alone"]:
+                        held = limit + 1
+            yield pd.DataFrame(out)
+
+    grouped = rows.groupBy(document).agg(F.array_sort(F.collect_list("b")).alias("items"))
+    return grouped.mapInPandas(numbered, T.StructType([kind, T.StructField(order, place), T.StructField("size", T.LongType()), T.StructField("chunk", T.IntegerType())]))
 
 
 def greedy_intervals(spans: DataFrame, key: str) -> DataFrame:
     """Per key the spans (start, end) kept when taken by start and then by length, longest first, each unless it overlaps one kept before."""
-    items = F.array_sort(F.collect_list(F.struct(F.col("start").alias("s"), (-(F.col("end") - F.col("start"))).alias("l"), F.col("end").alias("e"))))
-    begin = F.struct(F.lit(-1).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        free = x["s"] >= a["at"]
-        kept = F.concat(a["out"], F.array(F.struct(x["s"].cast("long").alias("start"), x["e"].cast("long").alias("end"))))
-        return F.struct(F.when(free, x["e"]).otherwise(a["at"]).cast("long").alias("at"), F.when(free, kept).otherwise(a["out"]).alias("out"))
-
-    return spans.groupBy(key).agg(F.aggregate(items, begin, step, lambda a: a["out"]).alias("out")).select(key, F.inline("out"))
+    items = F.array_sort(F.collect_list(F.struct(F.col("start").cast("long").alias("s"), (-(F.col("end") - F.col("start"))).cast("long").alias("l"), F.col("end").cast("long").alias("e"))))
+
+    def kept(batches):
+        for pdf in batches:
+            out: dict[str, list] = {key: [], "start": [], "end": []}
+            for k, spans_of in zip(pdf[key], pdf["items"], strict=True):
+                reach = None
+                for x in spans_of:
+                    if reach is None or x["s"] >= reach:
+                        reach = x["e"]
+                        for name, value in zip(out, (k, x["s"], x["e"]), strict=True):
+                            out[name].append(value)
+            yield pd.DataFrame(out)
+
+    grouped = spans.groupBy(key).agg(items.alias("items"))
+    return grouped.mapInPandas(kept, T.StructType([spans.schema[key], T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
 
 def merged_spans(spans: DataFrame, key: str) -> DataFrame:

@@ -100,12 +100,6 @@ def _(t):
     return t.documents.select("doc_id", F.when(usable, F.when(F.col("lang") == "de", "native_with_visual_fallback").otherwise("native")).otherwise("ocr").alias("route"))
 
 
-@query("s2_3_12_classification", _B + "select id, case when text like '%shall not%' then 'prohibition' when regexp_matches(text, '\\b(must|shall)\\b') then 'requirement' when text like '%should%' then 'recommendation' when text like '%may%' then 'context' else 'undetermined' end as class from blocks")
-def _(t):
-    x = F.col("text")
-    return t.blocks.select("id", F.when(x.contains("shall not"), "prohibition").when(x.rlike(r"\b(must|shall)\b"), "requirement").when(x.contains("should"), "recommendation").when(x.contains("may"), "context").otherwise("undetermined").alias("class"))
-
-
 @query("s2_3_13_review_routing", _J + "select doc_id, case when toxic = 1 then 'strong' when score < case lang when 'en' then 0.8 when 'de' then 0.6 else 0.7 end then 'independent' else 'source' end as depth from judged")
 def _(t):
     threshold = F.coalesce(F.element_at(F.create_map(F.lit("en"), F.lit(0.8), F.lit("de"), F.lit(0.6)), F.col("lang")), F.lit(0.7))
@@ -235,13 +229,6 @@ def _(t):
     return l.content_changes(t.log, "item", ["seq"], "kind").select("seq", "change")
 
 
-@query("s2_10_11_stage_signatures", "select p_partkey, sha256(sha256(p_name) || '|' || p_brand) as signature, p_partkey % 6 = 0 as confirmed, sha256(sha256(p_name) || '|' || p_brand) = sha256(sha256(case when p_partkey % 4 = 0 then 'old' else p_name end) || '|' || p_brand) as complete from part")
-def _(t):
-    now = l.chained([F.col("p_name"), F.col("p_brand")])[-1]
-    saved = l.chained([F.when(F.col("p_partkey") % 4 == 0, "old").otherwise(F.col("p_name")), F.col("p_brand")])[-1]
-    return t.part.select("p_partkey", now.alias("signature"), (F.col("p_partkey") % 6 == 0).alias("confirmed"), (now == saved).alias("complete"))
-
-
 @query("s2_10_12_citation_impact", _R + "select l_orderkey, l_linenumber, l_suppkey, l_partkey, case when r.source_id is null then 'removed' when r.snapshot_status = 'MISSING' then 'unavailable' when r.content_change = 'CHANGED' then 'changed' end as impact from lineitem left join registry r on r.n = l_partkey where r.source_id is null or r.snapshot_status = 'MISSING' or r.content_change = 'CHANGED'")
 def _(t):
     impact = F.when(F.col("source_id").isNull(), "removed").when(F.col("snapshot_status") == "MISSING", "unavailable").when(F.col("content_change") == "CHANGED", "changed")
@@ -255,16 +242,6 @@ def _(t):
     return pairs.groupBy("origin", "p.kind").agg(F.countDistinct("p.v").alias("n"))
 
 
-@query("s2_10_15_policy_ledger", _L + "select kind, arg_max(value, seq) as value, max(seq) as revision from log group by 1")
-def _(t):
-    return t.log.groupBy("kind").agg(F.max_by("value", "seq").alias("value"), F.max("seq").alias("revision"))
-
-
-@query("s2_10_16_verification_staleness", _B + "select id, md5(text) <> md5(case when id % 9 = 0 then 'v1' else text end) as stale from blocks")
-def _(t):
-    return t.blocks.select("id", (F.md5(F.col("text").cast("binary")) != F.md5(F.when(F.col("id") % 9 == 0, "v1").otherwise(F.col("text")).cast("binary"))).alias("stale"))
-
-
 @query("s2_10_18_failure_retention", _L + "select item, list_sort(list_distinct(list(kind) filter (where state = 'failed')))::varchar as failed from log group by 1 having count(*) filter (where state = 'failed') > 0")
 def _(t):
     rows = t.log.groupBy("item").agg(F.array_join(F.array_sort(F.collect_set(F.when(F.col("state") == "failed", F.col("kind")))), ", ").alias("f")).where("f <> ''")
@@ -297,23 +274,3 @@ def _(t):
     return t.registry.select("source_id", c.alias("outcome"))
 
 
-@query("s2_11_1_providers", "select doc_id, case when doc_id % 50 = 0 then 'DEGRADED' else 'OK' end as status from documents")
-def _(t):
-    """Runs a provider over rows; an error of the provider marks the row and never ends the job."""
-
-    def provider(pdf: pd.DataFrame) -> list[str]:
-        return ["bad" if k % 50 == 0 else "ok" for k in pdf["doc_id"]]
-
-    def guarded(batches):
-        for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "status": ["OK" if x == "ok" else "DEGRADED" for x in provider(pdf)]})
-
-    return t.documents.select("doc_id").mapInPandas(guarded, "doc_id long, status string")
-
-
-@query("s2_11_5_independent_verifiers", "select 0::bigint as differences")
-def _(t):
-    """Two ways to the same counts, compared as multisets."""
-    one = t.lineitem.groupBy("l_orderkey").agg(F.count("*").alias("n"))
-    two = t.lineitem.select("l_orderkey", F.count("*").over(Window.partitionBy("l_orderkey")).alias("n")).distinct()
-    return one.exceptAll(two).unionByName(two.exceptAll(one)).agg(F.count("*").alias("differences"))

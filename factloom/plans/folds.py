@@ -17,37 +17,6 @@ from factloom.sources.derived import prefix
 _B, _U, _R, _L, _UE = prefix("blocks"), prefix("units"), prefix("registry"), prefix("log"), prefix("units", "edges")
 
 
-@query("s2_1_2_row_cursor", "select p_partkey, 'name=' || p_name || ';size=' || p_size as row from part where p_partkey is not null")
-def _(t):
-    cells = F.map_from_arrays(F.array(F.lit("name"), F.lit("size")), F.array("p_name", F.col("p_size").cast("string")))
-    joined = F.array_join(F.transform(F.map_entries(cells), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
-    return t.part.where("p_partkey is not null").select("p_partkey", joined.alias("row"))
-
-
-@query("s2_1_7_legacy_template", "select page_id, len(regexp_extract_all(html, '<p>')) as paragraphs, case when contains(html, '<div class=\"ad\"') then 'unrepresented_body_text' else 'complete' end as coverage from pages")
-def _(t):
-    return t.pages.select("page_id", F.regexp_count("html", F.lit("<p>")).cast("long").alias("paragraphs"), F.when(F.col("html").contains('<div class="ad"'), "unrepresented_body_text").otherwise("complete").alias("coverage"))
-
-
-@query("s2_1_14_word_boxes", _B + "select id, cast(x0 as bigint) as x0, cast(y0 as bigint) as y0, cast(x1 as bigint) as x1, cast(y1 as bigint) as y1 from blocks")
-def _(t):
-    """Word boxes read from the XML that a layout tool writes."""
-    xml = F.format_string('<word xMin="%.1f" yMin="%.1f" xMax="%.1f" yMax="%.1f">w</word>', "x0", "y0", "x1", "y1")
-    rows = t.blocks.select("id", F.from_xml(xml, "_xMin double, _yMin double, _xMax double, _yMax double, _VALUE string").alias("w"))
-    return rows.select("id", *[F.col(f"w._{a}").cast("long").alias(b) for a, b in (("xMin", "x0"), ("yMin", "y0"), ("xMax", "x1"), ("yMax", "y1"))])
-
-
-@query("s2_1_22_handoff", _R + ", i as (select n, count(*) as issues from (select p_partkey as n from part where p_size > 40 union all select l_partkey from lineitem where l_returnflag = 'R') group by 1) select source_id, source_status = 'CURRENT' as current, coalesce(issues, 0) as open_issues from registry left join i using (n)")
-def _(t):
-    issues = t.part.where("p_size > 40").select(F.col("p_partkey").alias("n")).unionAll(t.lineitem.where("l_returnflag = 'R'").select("l_partkey")).groupBy("n").agg(F.count("*").alias("issues"))
-    return t.registry.join(issues, "n", "left").select("source_id", (F.col("source_status") == "CURRENT").alias("current"), F.coalesce("issues", F.lit(0)).alias("open_issues"))
-
-
-@query("s2_1_23_words_to_lines", _B + "select document_id, page_index, level as line, min(x0) as x0, min(y0) as y0, max(x1) as x1, max(y1) as y1, count(*) as words from blocks group by 1, 2, 3")
-def _(t):
-    return t.blocks.groupBy("document_id", "page_index", F.col("level").alias("line")).agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.count("*").alias("words"))
-
-
 @query("s2_1_24_material_parse")
 def _(t):
     """Visible text atoms of pages as blocks with scope and evidence; a parser, so no SQL."""
@@ -179,20 +148,13 @@ def _(t):
     return trees.mapInPandas(flat, "owner int, relation string, target string, path string, low int, high int")
 
 
-@query("s2_8_22_closed_input_set", _UE + ", tree as (select distinct unit_id as src, dependency_id as dst from edges where unit_id % 7 < 6), s as (with recursive c(id) as (select id from units where id % 501 = 3 union select tree.dst from c join tree on tree.src = c.id) select id from c) select s.id, coalesce(u.status = 'accepted', false) as confirmed from s left join units u using (id)")
+@query("s2_8_22_closed_input_set", _UE + ", tree as (select distinct unit_id as src, dependency_id as dst from edges), s as (with recursive c(id) as (select id from units where id % 501 = 3 union select tree.dst from c join tree on tree.src = c.id) select id from c) select s.id, coalesce(u.status = 'accepted', false) as confirmed from s left join units u using (id)")
 def _(t):
-    tree = t.edges.where("unit_id % 7 < 6").select(F.col("unit_id").alias("src"), F.col("dependency_id").alias("dst")).distinct()
-    scope = t.units.where("id % 501 = 3").select("id")
-    whole = scope.union(g.closure(tree).join(scope, F.col("node") == F.col("id"), "left_semi").select("reached")).distinct()
+    tree = t.edges.select(F.col("unit_id").alias("src"), F.col("dependency_id").alias("dst")).distinct()
+    whole = g.reach(t.units.where("id % 501 = 3").select("id"), tree, "out")
     return whole.join(t.units.select("id", "status"), "id", "left").select("id", F.coalesce(F.col("status") == "accepted", F.lit(False)).alias("confirmed"))
 
 
-@query("s2_8_26_snapshot_capture", "select kind, count(*) as nodes, sha256(string_agg(id, ',' order by id)) as digest from (select 'region' as kind, cast(r_regionkey as varchar) as id from region union all select 'nation', cast(n_nationkey as varchar) from nation union all select 'supplier', cast(s_suppkey as varchar) from supplier) group by 1")
-def _(t):
-    rows = t.region.select(F.lit("region").alias("kind"), F.col("r_regionkey").cast("string").alias("id")).unionByName(t.nation.select(F.lit("nation").alias("kind"), F.col("n_nationkey").cast("string").alias("id"))).unionByName(t.supplier.select(F.lit("supplier").alias("kind"), F.col("s_suppkey").cast("string").alias("id")))
-    return rows.groupBy("kind").agg(F.count("*").alias("nodes"), F.sha2(F.array_join(F.array_sort(F.collect_list("id")), ","), 256).alias("digest"))
-
-
 @query("s2_8_27_collaboration_preview", "with b as (select p_partkey as k, p_brand as v from part), c as (select k, case when k % 4 = 0 then v || 'c' else v end as v from b), i as (select k, case when k % 6 = 0 then v || 'i' else v end as v from b), j as (select k, case when c.v = i.v then 'same' when b.v = i.v then 'auto_current' when b.v = c.v then 'auto_incoming' else 'conflict' end as outcome, c.v as cv, i.v as iv from b join c using (k) join i using (k)) select k, outcome, case when outcome = 'auto_incoming' or (outcome = 'conflict' and k % 24 = 0) then iv else cv end as value, outcome <> 'conflict' or k % 24 = 0 as resolved from j")
 def _(t):
     base = t.part.select(F.col("p_partkey").alias("k"), F.col("p_brand").alias("value"))
@@ -203,9 +165,9 @@ def _(t):
     return decided.select("k", "outcome", F.when(F.col("chosen"), F.col("iv")).otherwise(F.col("value")).alias("value"), ((F.col("outcome") != "conflict") | F.col("chosen")).alias("resolved"))
 
 
-@query("s2_8_28_context_closure", _UE + ", tree as (select distinct unit_id as src, dependency_id as dst from edges where unit_id % 7 < 6) select src, dst, sha256(src || ':' || dst) as fingerprint, src % 5 <> dst % 5 as stale from tree where src % 2 = 0")
+@query("s2_8_28_context_closure", _UE + ", tree as (select distinct unit_id as src, dependency_id as dst from edges) select src, dst, sha256(src || ':' || dst) as fingerprint, src % 5 <> dst % 5 as stale from tree")
 def _(t):
-    tree = t.edges.where("unit_id % 7 < 6 and unit_id % 2 = 0").select(F.col("unit_id").alias("src"), F.col("dependency_id").alias("dst")).distinct()
+    tree = t.edges.select(F.col("unit_id").alias("src"), F.col("dependency_id").alias("dst")).distinct()
     return tree.select("src", "dst", F.sha2(F.concat_ws(":", F.col("src").cast("string"), F.col("dst").cast("string")), 256).alias("fingerprint"), (F.col("src") % 5 != F.col("dst") % 5).alias("stale"))
 
 
@@ -234,12 +196,3 @@ def _(t):
     return t.blocks.join(d, "document_id").select("id", c.alias("outcome"))
 
 
-@query("s2_11_2_processor_contract", "select doc_id, doc_id as echo, 'unavailable' as answer, true as needs_person from documents")
-def _(t):
-    """A processor's answers must echo what they answer; those that do not are refused."""
-
-    def processor(batches):
-        for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "echo": pdf["doc_id"], "answer": "unavailable"})
-
-    return t.documents.select("doc_id").mapInPandas(processor, "doc_id long, echo long, answer string").where("echo = doc_id").withColumn("needs_person", F.lit(True))

@@ -174,11 +174,6 @@ def _(t):
     return t.registry.select("source_id", F.greatest("last_attempt_at", "last_success_at", "manual_update_date").alias("checked"))
 
 
-@query("s2_1_1_registry_scan", _R + "select source_id, content_hash, sha256(source_id || '|' || content_hash) as row_hash from registry where source_id is not null")
-def _(t):
-    return t.registry.where("source_id is not null").select("source_id", "content_hash", F.sha2(F.concat_ws("|", "source_id", "content_hash"), 256).alias("row_hash"))
-
-
 @query("s2_9_21_title_classifier", _R + """select source_id, case when lower(document_type) like '%manual%' then 'instruction' when lower(document_type) like '%regulation%' then 'law' when lower(document_type) like '%standard%' then 'norm' else 'other' end as family from registry""")
 def _(t):
     d = F.lower("document_type")

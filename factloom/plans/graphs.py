@@ -12,11 +12,11 @@ from factloom.sources.derived import prefix
 
 _U, _B, _L, _R = prefix("units"), prefix("blocks"), prefix("log"), prefix("registry")
 _UE = prefix("units", "edges")
-_TREE = _UE + ", tree as (select distinct unit_id as src, dependency_id as dst from edges where unit_id % 7 < 6)"
+_TREE = _UE + ", tree as (select distinct unit_id as src, dependency_id as dst from edges)"
 
 
 def _tree(t):
-    return t.edges.where("unit_id % 7 < 6").select(F.col("unit_id").alias("src"), F.col("dependency_id").alias("dst")).distinct()
+    return t.edges.select(F.col("unit_id").alias("src"), F.col("dependency_id").alias("dst")).distinct()
 
 
 # ---- ordered
@@ -26,14 +26,6 @@ _MARG = """, m as (select document_id % 500 as doc, kind, regexp_replace(text, '
  r as (select doc, kind, template, count(*) as run from i group by doc, kind, template, base), n as (select doc, count(distinct page) as pages from m group by 1)"""
 
 
-@query("s2_6_1_repeating_marginals", _B + _MARG + """ select r.doc, kind, template, max(run) as longest, sum(run) as on_pages from r join n using (doc) group by 1, 2, 3, pages having max(run) >= 3 or sum(run) >= greatest(2, ceil(pages * 0.5))""", whole=("on_pages",))
-def _(t):
-    m = t.blocks.select((F.col("document_id") % 500).alias("doc"), "kind", F.regexp_replace("text", r"\d+", "{n}").alias("template"), (F.col("document_id") % 40).alias("page"))
-    r = o.islands(m, ["doc", "kind", "template"], "page").groupBy("doc", "kind", "template").agg(F.max("n").alias("longest"), F.sum("n").alias("on_pages"))
-    n = m.groupBy("doc").agg(F.countDistinct("page").alias("pages"))
-    return r.join(n, "doc").where((F.col("longest") >= 3) | (F.col("on_pages") >= F.greatest(F.lit(2), F.ceil(F.col("pages") * 0.5)))).drop("pages")
-
-
 @query("s2_6_4_fragment_runs", _B + """, k as (select *, case when lag(kind) over w = kind and lag(page_index) over w = page_index then 0 else 1 end as new from blocks window w as (partition by document_id order by seq))
  , r as (select *, sum(new) over (partition by document_id order by seq) as run from k) select document_id, run, string_agg(text, ' ' order by seq) as text, count(*) as n from r group by 1, 2""", whole=("run",))
 def _(t):
@@ -72,18 +64,6 @@ def _(t):
     return t.blocks.select("id", F.row_number().over(Window.partitionBy("document_id", "page_index").orderBy("y0", "x0", "id")).alias("place"))
 
 
-@query("s2_6_10_two_lanes", _B + """, l as (select document_id, seq, id, case when x0 < 250 then 0 else 1 end as lane from blocks), s as (select *, case when lag(lane) over (partition by document_id order by seq) <> lane then 1 else 0 end as switch from l),
- d as (select document_id, sum(switch) as switches, count(*) filter (where lane = 0) as a, count(*) filter (where lane = 1) as b from s group by 1)
- select id, row_number() over (partition by s.document_id order by case when switches >= 2 and least(a, b) >= 2 then lane else 0 end, seq) as place from s join d using (document_id)""")
-def _(t):
-    w = Window.partitionBy("document_id").orderBy("seq")
-    whole = Window.partitionBy("document_id")
-    s = t.blocks.withColumn("lane", F.when(F.col("x0") < 250, 0).otherwise(1)).withColumn("switch", F.when(F.lag("lane").over(w) != F.col("lane"), 1).otherwise(0))
-    two = (F.sum("switch").over(whole) >= 2) & (F.least(F.count_if(F.col("lane") == 0).over(whole), F.count_if(F.col("lane") == 1).over(whole)) >= 2)
-    s = s.withColumn("slot", F.when(two, F.col("lane")).otherwise(0))
-    return s.select("id", F.row_number().over(Window.partitionBy("document_id").orderBy("slot", "seq")).alias("place"))
-
-
 @query("s2_6_13_fractional_order", _B + "select id, coalesce((seq + lag(seq) over w) / 2, seq - 1)::double as key from blocks where seq % 2 = 0 or seq = 1 window w as (partition by document_id order by seq)")
 def _(t):
     w = Window.partitionBy("document_id").orderBy("seq")
@@ -132,12 +112,6 @@ def _(t):
     return t.blocks.select("id", F.when(p & (F.lead("kind").over(w) == "list"), "subheading").when(p & (F.lag("kind").over(w) == "table"), "caption").otherwise(F.col("kind")).alias("kind"))
 
 
-@query("s2_6_20_footnote_promotion", _B + "select id from (select id, y0, level, lag(level) over (partition by document_id, page_index order by y0, id) as before from blocks) where y0 >= 0.69 * 720 and level = before + 1")
-def _(t):
-    w = Window.partitionBy("document_id", "page_index").orderBy("y0", "id")
-    return t.blocks.withColumn("before", F.lag("level").over(w)).where("y0 >= 0.69 * 720 and level = before + 1").select("id")
-
-
 @query("s2_6_21_edge_duplicates", _B + "select id from blocks a where kind <> 'table' and not exists (select 1 from blocks b where b.document_id = a.document_id and b.page_index = a.page_index and b.kind = 'table' and a.x1 <= b.x1 and a.x0 >= b.x0)")
 def _(t):
     tables = t.blocks.where("kind = 'table'").alias("b")
@@ -158,14 +132,6 @@ def _(t):
     return o.residual_spans(t.blocks.select("document_id", F.lit(800).alias("length")).distinct(), _spans(t), "document_id")
 
 
-@query("s2_2_3_chunking", _B + """, recursive_base as (select document_id, seq, id, length(text) as n from blocks), r as (
- with recursive f as (select document_id, seq, id, n, 0 as chunk, n as held from recursive_base where seq = 1 union all
-  select b.document_id, b.seq, b.id, b.n, case when f.held + b.n > 180 then f.chunk + 1 else f.chunk end, case when f.held + b.n > 180 then b.n else f.held + b.n end from f join recursive_base b on b.document_id = f.document_id and b.seq = f.seq + 1) select * from f)
- select document_id, id, chunk, n from r""")
-def _(t):
-    return o.packed_chunks(t.blocks, "document_id", "seq", F.length("text"), 180)
-
-
 # ---- graphs
 
 
@@ -177,8 +143,8 @@ def _(t):
 @query("s2_8_8_bidirectional_load", _TREE + """, down as (with recursive d(id) as (select 37::bigint union select tree.src from d join tree on tree.dst = d.id) select id from d), up as (with recursive a(id) as (select 37::bigint union select tree.dst from a join tree on tree.src = a.id) select id from a)
  select id from down union select id from up""")
 def _(t):
-    c = g.closure(_tree(t))
-    return c.where("reached = 37").select(F.col("node").alias("id")).union(c.where("node = 37").select("reached")).union(t.spark.sql("select 37L")).distinct()
+    tree, seed = _tree(t), t.spark.sql("select 37L as id")
+    return g.reach(seed, tree, "in").union(g.reach(seed, tree, "out")).distinct()
 
 
 @query("s2_8_9_dependency_gate", _TREE + """, bad as (select id from units where status <> 'accepted' union select src from tree where dst not in (select id from units)), cyc as (select a.src as id from tree a join tree b on a.dst = b.src and b.dst = a.src),
@@ -190,7 +156,7 @@ def _(t):
 @query("s2_8_10_cycles", _TREE + ", c as (select distinct a.src as node from tree a join tree b on a.dst = b.src and b.dst = a.src), missing as (select distinct src from tree where dst not in (select id from units)) select node, 'cycle' as problem from c union all select src, 'missing' from missing")
 def _(t):
     tree = _tree(t)
-    cyclic = g.closure(tree).where("node = reached").select("node", F.lit("cycle").alias("problem"))
+    cyclic = g.cyclic(tree).select(F.col("id").alias("node"), F.lit("cycle").alias("problem"))
     missing = tree.join(t.units.select(F.col("id").alias("dst")), "dst", "left_anti").select(F.col("src").alias("node")).distinct()
     return cyclic.unionByName(missing.withColumn("problem", F.lit("missing")))
 
@@ -203,19 +169,7 @@ def _(t):
 
 @query("s2_8_12_impact", _TREE + ", impacted as (with recursive d(id) as (select id from units where id % 1009 = 5 union select tree.src from d join tree on tree.dst = d.id) select id from d) select id from impacted")
 def _(t):
-    changed = t.units.where("id % 1009 = 5").select("id")
-    hit = g.closure(_tree(t)).join(changed, F.col("reached") == F.col("id"), "left_semi").select(F.col("node").alias("id"))
-    return changed.union(hit).distinct()
-
-
-@query("s2_8_13_version_dag", _TREE + ", n as (select distinct src as id from tree union select distinct dst from tree) select (select count(*) from n) as nodes, (select count(*) from n where id not in (select dst from tree)) as heads, (select count(*) from tree where dst not in (select id from units)) as missing")
-def _(t):
-    tree = _tree(t)
-    nodes = tree.select(F.col("src").alias("id")).union(tree.select("dst")).distinct()
-    count = lambda df, name: df.agg(F.count("*").alias(name))
-    missing = tree.join(t.units.select(F.col("id").alias("dst")), "dst", "left_anti")
-    rows = count(nodes, "nodes").select(F.lit("nodes").alias("k"), F.col("nodes").alias("v")).union(count(g.heads(tree, nodes), "h").select(F.lit("heads"), "h")).union(count(missing, "m").select(F.lit("missing"), "m"))
-    return rows.groupBy().pivot("k", ["nodes", "heads", "missing"]).agg(F.first("v"))
+    return g.reach(t.units.where("id % 1009 = 5").select("id"), _tree(t), "in")
 
 
 @query("s2_8_14_ancestor_distance", _TREE + ", n as (select src as id from tree union select dst from tree) select id from n where id not in (select dst from tree)")
@@ -284,11 +238,9 @@ def _(t):
     return t.edges.join(t.units, F.col("dependency_id") == F.col("id"), "left_anti").select("unit_id", "dependency_id")
 
 
-@query("s2_8_20_review_impact", _TREE + ", both_ways as (select src as a, dst as b from tree union select dst, src from tree) select distinct b as id from both_ways where a % 1009 = 5 union select id from units where id % 1009 = 5")
+@query("s2_8_20_review_impact", _TREE + ", both_ways as (select src as a, dst as b from tree union select dst, src from tree) select id from (with recursive d(id) as (select id from units where id % 1009 = 5 union select b from d join both_ways on a = d.id) select id from d)")
 def _(t):
-    tree = _tree(t)
-    both = tree.select(F.col("src").alias("a"), F.col("dst").alias("b")).union(tree.select("dst", "src"))
-    return both.where("a % 1009 = 5").select(F.col("b").alias("id")).union(t.units.where("id % 1009 = 5").select("id")).distinct()
+    return g.reach(t.units.where("id % 1009 = 5").select("id"), _tree(t))
 
 
 @query("s2_8_20_impact_closure", _TREE + """, both_ways as (select src as a, dst as b from tree union select dst, src from tree), base as (select id, status, id as place from units),
@@ -337,13 +289,6 @@ def _(t):
     return closed.join(stale, "node", "left_anti").groupBy("node").agg(F.count("*").alias("refs"), F.sha2(whole, 256).alias("fingerprint"))
 
 
-@query("s2_8_29_approval_currency", _B + "select id, sha256(text) = sha256(case when id % 10 = 0 then 'edited' else text end) as current from blocks where kind = 'paragraph'")
-def _(t):
-    p = t.blocks.where("kind = 'paragraph'")
-    saved = p.select("id", F.sha2(F.when(F.col("id") % 10 == 0, "edited").otherwise(F.col("text")), 256).alias("saved"))
-    return p.select("id", F.sha2("text", 256).alias("now")).join(saved, "id").select("id", (F.col("now") == F.col("saved")).alias("current"))
-
-
 @query("s2_8_30_copy_verify", "select 'lost' as side, count(*) as n from (select n_nationkey, n_name from nation except all select n_nationkey, n_name from nation where n_nationkey % 10 <> 0) union all select 'added', count(*) from (select n_nationkey, n_name from nation where n_nationkey % 10 <> 0 except all select n_nationkey, n_name from nation)")
 def _(t):
     a = t.nation.select("n_nationkey", "n_name")

@@ -303,11 +303,6 @@ def _(t):
     return rows.select("id", x.comparator(F.col("phrase")).alias("comparator"), x.number(F.col("num")).alias("value"))
 
 
-@query("s2_9_12_date_windows", _B + "select id, cast(regexp_extract(text, 'within (\\d+) days', 1) as int) as days from blocks where regexp_matches(text, 'within (\\d+) days')")
-def _(t):
-    return t.blocks.select("id", F.explode(F.regexp_extract_all("text", F.lit(r"within (\d+) days"), 1)).alias("days")).select("id", F.col("days").cast("int").alias("days"))
-
-
 @query("s2_9_20_url_parts", "select page_id, regexp_extract(url, '^[a-z]+://([^/]+)', 1) as host, rtrim(url, '.,;)') as url, lower(regexp_extract(url, '\\.([A-Za-z0-9]+)$', 1)) as suffix from pages")
 def _(t):
     return t.pages.select("page_id", F.parse_url("url", F.lit("HOST")).alias("host"), F.rtrim("url", F.lit(".,;)")).alias("url"), F.lower(F.regexp_extract("url", r"\.([A-Za-z0-9]+)$", 1)).alias("suffix"))

@@ -17,17 +17,6 @@ from factloom.sources.derived import prefix
 _B, _R, _U = prefix("blocks"), prefix("registry"), prefix("units")
 
 
-@query("s2_1_5_format_router", "select page_id, 'html' as kind from pages")
-def _(t):
-    return t.pages.select("page_id", d.routed(F.col("html").cast("binary"), F.col("url")).alias("kind"))
-
-
-@query("s2_1_4_hash_checked_read", "select page_id, sha256(html) as sha256 from pages where sha256(html) = sha256(case when page_id % 5 = 0 then url else html end)")
-def _(t):
-    want = F.sha2(F.when(F.col("page_id") % 5 == 0, F.col("url")).otherwise(F.col("html")), 256)
-    return t.pages.select("page_id", F.sha2("html", 256).alias("sha256"), want.alias("want")).where("sha256 = want").drop("want")
-
-
 @query("s2_1_6_html_nodes")
 def _(t):
     """Elements of pages with paths and sections; a parser, so no SQL."""
@@ -47,12 +36,6 @@ def _(t):
     return first
 
 
-@query("s2_1_8_profile_selection", "select page_id, case when contains(html, '<article') and not contains(html, '<table') then 'article' when contains(html, '<table') then 'table' else 'none' end as profile from pages")
-def _(t):
-    a, b = F.col("html").contains("<article"), F.col("html").contains("<table")
-    return t.pages.select("page_id", F.when(a & ~b, "article").when(b, "table").otherwise("none").alias("profile"))
-
-
 @query("s2_1_9_table_geometry")
 def _(t):
     """Cells of a table laid out beside those that reach down from the rows above; an occupancy grid per table, so no SQL."""
@@ -71,51 +54,6 @@ def _(t):
     return tables.mapInPandas(laid, "document_id long, id long, row int, column int, down int, across int")
 
 
-@query("s2_1_10_html_references", "select page_id, len(list_distinct(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1))) as targets from pages where contains(html, 'href=')")
-def _(t):
-    found = F.array_distinct(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1))
-    return t.pages.where(F.col("html").contains("href=")).select("page_id", F.size(found).cast("long").alias("targets"))
-
-
-@query("s2_1_11_xlsx_cells", "select n_name as path, 'Sheet' as sheet, c as coordinate, v as value, f as formula, case when f is null then 'literal' else 'missing' end as cache_status from (select n_name, unnest(['A1', 'B1', 'A2']) as c, unnest([n_name, cast(n_regionkey as varchar), null]) as v, unnest([null, null, 'B1+1']) as f from nation)")
-def _(t):
-    """Cells of workbooks that are written and read back here: one per nation."""
-
-    def write(batches):
-        for pdf in batches:
-            pdf["content"] = [xlsx.workbook({"Sheet": [[a, str(b)], ["=B1+1"]]}) for a, b in zip(pdf["path"], pdf["k"], strict=True)]
-            yield pdf[["path", "content"]]
-
-    files = t.nation.select(F.col("n_name").alias("path"), F.col("n_regionkey").alias("k")).mapInPandas(write, "path string, content binary")
-    return xlsx.shredded(files).select("path", "sheet", "coordinate", "value", "formula", "cache_status")
-
-
-@query("s2_1_12_merge_overlaps", _B + "select a.id as a, b.id as b from blocks a join blocks b on a.document_id = b.document_id and a.id < b.id and a.seq <= b.seq + b.level - 1 and b.seq <= a.seq + a.level - 1 where a.kind = 'table' and b.kind = 'table'")
-def _(t):
-    s = t.blocks.where("kind = 'table'").select("document_id", "id", F.explode(F.sequence("seq", F.col("seq") + F.col("level") - 1)).alias("slot"))
-    a, b = s.alias("a"), s.alias("b")
-    on = (F.col("a.document_id") == F.col("b.document_id")) & (F.col("a.slot") == F.col("b.slot")) & (F.col("a.id") < F.col("b.id"))
-    return a.join(b, on).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
-
-
-@query("s2_1_17_position_catalog", _B + "select document_id, kind, floor((row_number() over (partition by document_id, kind order by seq) - 1) / 2)::bigint as bucket, id from blocks")
-def _(t):
-    n = F.row_number().over(Window.partitionBy("document_id", "kind").orderBy("seq"))
-    return t.blocks.select("document_id", "kind", F.floor((n - 1) / 2).alias("bucket"), "id")
-
-
-@query("s2_1_18_windowed_reader", _B + "select document_id, id from blocks where seq between 2 and 3 and level <= 2")
-def _(t):
-    return t.blocks.where("seq between 2 and 3 and level <= 2").select("document_id", "id")
-
-
-@query("s2_1_19_drop_folder_intake", "select page_id, sha256(html) as hash, regexp_extract(html, '<html lang=\"([a-z]+)\"', 1) as lang from pages where sha256(html) not in (select sha256(html) from pages where page_id % 3 = 0)")
-def _(t):
-    known = t.pages.where("page_id % 3 = 0").select(F.sha2("html", 256).alias("hash"))
-    rows = t.pages.select("page_id", F.sha2("html", 256).alias("hash"), F.regexp_extract("html", '<html lang="([a-z]+)"', 1).alias("lang"))
-    return rows.join(known, "hash", "left_anti").select("page_id", "hash", "lang")
-
-
 @query("s2_1_20_content_validation", "select page_id, case when length(html) < 500 then 'size' when not starts_with(html, '<!DOCTYPE html') then 'signature' when contains(lower(regexp_extract(html, '<title>([^<]*)', 1)), 'of the') then 'blocked_title' else 'ok' end as verdict from pages")
 def _(t):
     title = F.lower(F.regexp_extract("html", "<title>([^<]*)", 1))
@@ -202,30 +140,12 @@ def _(t):
     return t.part.select("p_partkey", fix(broken, witness).alias("text"))
 
 
-@query("s2_9_15_statements", _B + "select id, regexp_extract(text, '^(\\w+) ', 1) as entity, regexp_extract(text, '(must|shall not|may|should)', 1) as modality, 'ship' as action, substr(sha256(text), 1, 16) as statement_id from blocks where regexp_matches(text, '(must|shall not|may|should)')")
-def _(t):
-    found = F.regexp_extract("text", "(must|shall not|may|should)", 1)
-    rows = t.blocks.select("id", F.regexp_extract("text", r"^(\w+) ", 1).alias("entity"), found.alias("modality"), F.regexp_extract("text", r"(?:must|shall not|may|should) (\w+)", 1).alias("action"), F.substring(F.sha2("text", 256), 1, 16).alias("statement_id"))
-    return rows.where("modality <> ''")
-
-
-@query("s2_9_18_applicability_signals", _B + "select id, contains(text, 'kg') as mass, regexp_matches(text, '[1-9]0 days') as deadline, contains(text, 'Carrier') as carrier from blocks")
-def _(t):
-    return t.blocks.select("id", F.col("text").contains("kg").alias("mass"), F.col("text").rlike("[1-9]0 days").alias("deadline"), F.col("text").contains("Carrier").alias("carrier"))
-
-
 @query("s2_9_19_record_mapping", _B + "select document_id, count(*) filter (where kind = 'paragraph') as mapped, count(*) filter (where kind <> 'paragraph') as residual, count(*) - count(distinct text) > 0 as repeated from blocks group by 1")
 def _(t):
     p = F.col("kind") == "paragraph"
     return t.blocks.groupBy("document_id").agg(F.count_if(p).alias("mapped"), F.count_if(~p).alias("residual"), (F.count("*") - F.countDistinct("text") > 0).alias("repeated"))
 
 
-@query("s2_9_22_code_language", "select p_partkey, case when p_partkey % 3 = 0 then 'python' when p_partkey % 3 = 1 then 'sql' else 'unknown' end as language from part")
-def _(t):
-    code = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("def f():\n  return '"), "p_brand", F.lit("'"))).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("SELECT * FROM "), "p_type")).otherwise(F.col("p_name"))
-    return t.part.select("p_partkey", F.when(code.rlike(r"^\s*(def|import|class)\b"), "python").when(code.rlike(r"(?i)^\s*select\b.*\bfrom\b"), "sql").otherwise("unknown").alias("language"))
-
-
 @query("s2_9_32_word_diff", "select p_partkey, p_name <> p_type as changed, len(list_filter(string_split(p_name, ' '), lambda w: not list_contains(string_split(p_type, ' '), w))) as removed, len(list_filter(string_split(p_type, ' '), lambda w: not list_contains(string_split(p_name, ' '), w))) as added from part")
 def _(t):
     a, b = F.split("p_name", " "), F.split("p_type", " ")
@@ -288,11 +208,6 @@ def _(t):
 # ---- exports
 
 
-@query("s2_2_1_canonical_json", "select p_partkey, '{\"brand\":\"' || p_brand || '\",\"key\":' || p_partkey || ',\"size\":' || p_size || '}' as json from part")
-def _(t):
-    return t.part.select("p_partkey", F.to_json(F.struct(F.col("p_brand").alias("brand"), F.col("p_partkey").alias("key"), F.col("p_size").alias("size"))).alias("json"))
-
-
 @query("s2_2_2_jsonl_export", _B + "select id, '{\"id\":' || id || ',\"kind\":\"' || kind || '\",\"text\":\"' || text || '\"}' as line from blocks")
 def _(t):
     return t.blocks.select("id", F.to_json(F.struct("id", "kind", "text")).alias("line"))
@@ -317,22 +232,3 @@ def _(t):
     return _facts(t)
 
 
-@query("s2_2_7_shapes", _TRIPLES + " select k.s, k.p from (select distinct s, unnest(['modality', 'sourceSegment', 'sourcePage']) as p from f) k where not exists (select 1 from f where f.s = k.s and f.p = k.p)")
-def _(t):
-    return d.shape_violations(_facts(t), ["modality", "sourceSegment", "sourcePage"])
-
-
-@query("s2_2_8_requirement_workbook", _B + "select document_id, kind as sheet, count(*) as rows, max(length(text)) as widest, sum(ceil(length(text) / 40.0))::bigint as chunks from blocks group by 1, 2")
-def _(t):
-    n = F.length("text")
-    return t.blocks.groupBy("document_id", F.col("kind").alias("sheet")).agg(F.count("*").alias("rows"), F.max(n).cast("long").alias("widest"), F.sum(F.ceil(n / 40.0)).alias("chunks"))
-
-
-@query("s2_2_11_package_write", "select page_id, octet_length(encode(html)) as bytes, sha256(html) as sha256 from pages")
-def _(t):
-    return d.with_manifest(t.pages, "page_id", F.col("html"))
-
-
-@query("s2_2_12_status_publish", _R + "select count(*) as sources, count(*) filter (where source_status = 'CURRENT') as current, max(last_success_at) as latest from registry")
-def _(t):
-    return t.registry.agg(F.count("*").alias("sources"), F.count_if(F.col("source_status") == "CURRENT").alias("current"), F.max("last_success_at").alias("latest"))

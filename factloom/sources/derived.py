@@ -49,9 +49,9 @@ select o_orderkey as id, o_custkey as document_id, o_orderkey as ordinal, o_orde
   case o_orderstatus when 'F' then 'accepted' when 'O' then 'pending' else 'rejected' end as status,
   cast(o_custkey % 40 as int) as page_index, o_totalprice as price, o_orderdate as at
 from {orders}""",
-    # a unit depends on the unit of half its number; some depend on one another
+    # a unit depends on the unit of half its number, but for the roots, one in seven; some depend on one another
     "edges": """
-select o_orderkey as unit_id, cast(floor(o_orderkey / 2) as bigint) as dependency_id from {orders} where o_orderkey > 1
+select o_orderkey as unit_id, cast(floor(o_orderkey / 2) as bigint) as dependency_id from {orders} where o_orderkey > 1 and o_orderkey % 7 < 6
 union all select o_orderkey, o_orderkey + 1 from {orders} where o_orderkey % 97 = 0
 union all select o_orderkey + 1, o_orderkey from {orders} where o_orderkey % 97 = 0""",
     # text blocks with boxes on pages: a line of an order is a block, the order its document
@@ -65,6 +65,44 @@ select l_orderkey as document_id, l_orderkey * 100 + row_number() over (partitio
   concat('Carrier ', case l_partkey % 5 when 0 then 'must' when 1 then 'shall not' when 2 then 'may' when 3 then 'should' else 'will' end,
     ' ship at least ', cast(cast(l_quantity as int) as string), ' kg within ', cast(l_linenumber * 10 as string), ' days.') as text
 from {lineitem}""",
+    # pages of statutes in the chapter template, of registers and of articles: one for each part
+    "statutes": """
+select p_partkey as page_id, concat('<html><head><title>', p_name, '</title></head><body>',
+  case when p_partkey % 5 <> 4 then concat('<table class="meta"><tr><th>Title</th><td>', p_name, '</td></tr><tr><th>Size</th><td>', cast(p_size as string), '</td></tr></table>') else '' end,
+  case when p_partkey % 5 < 2 then concat('<div class="chapter wide"><h2>Chapter ', cast(p_size as string), '</h2><p class="paragraph">Keep ', p_type, ' as <a data-id="law-', cast(p_partkey as string),
+    '" href="/l">law</a> and <a data-id="reg-', cast(p_size as string), '">rule</a> say.</p><ol><li>one<ol><li>', p_type, '</li></ol></li><li>two</li></ol></div>') else '' end,
+  case when p_partkey % 5 = 2 or p_partkey % 25 = 1 then concat('<article><h1>', p_brand, '</h1></article>') else '' end,
+  case when p_partkey % 4 = 0 then concat('<p>loose ', p_type, '</p>') else '' end,
+  '<script>var a = 1;</script><div class="footnote" id="fn', cast(p_size as string), '">Note ', p_brand, '</div></body></html>') as html
+from {part}""",
+    # sentences of sources, with the kind and title of the unit that holds each
+    "sentences": """
+select p_partkey as id,
+  case when p_partkey % 13 = 0 then 'coverage' when p_partkey % 17 = 0 then 'source_table_assembly' when p_partkey % 11 = 0 then 'standard_indicator' when p_partkey % 7 = 0 then 'source_heading' else 'paragraph' end as kind,
+  case when p_partkey % 19 = 0 then 'Rationale' else p_name end as title,
+  case p_partkey % 12
+    when 0 then concat('The ', p_name, ' operator shall not release water unless the pressure exceeds ', cast(p_size as string), ' bar by 12 March 2024, see section 4.2.')
+    when 1 then concat('Operators must inspect each ', lower(p_type), ' unit within ', cast(p_size as string), ' days if the alarm sounds.')
+    when 2 then concat('These requirements do not apply to farms of less than ', cast(p_size as string), ' tonnes.')
+    when 3 then concat('Rationale: ', p_name, ' feed keeps the water clean.')
+    when 4 then 'For questions about feed, please contact help@example.org.'
+    when 5 then '"Shall" denotes an obligation.'
+    when 6 then concat('Smith, J. A. 2019. On ', p_name, ' feed. Journal of Feed ', cast(p_size as string), ' (3), 45-67. https://doi.example/', cast(p_partkey as string))
+    when 7 then p_name
+    when 8 then concat('Samples should be taken every ', cast(p_size as string), ' months and during the first 2 years.')
+    when 9 then concat('The limit is 5 mg per year in any ', cast(p_size as string), ' month period and is read annually.')
+    when 10 then concat('Staff may use the ', lower(p_type), ' line.')
+    else concat('Rationale: ', p_name, chr(10), '1.2.3 The operator must act.') end as body
+from {part}""",
+    # snippets of code and formulas
+    "codes": """
+select p_partkey as id, case p_partkey % 7
+    when 0 then concat('def f():', chr(10), '  return "', p_brand, '"') when 1 then concat('{"name": "', p_name, '"}') when 2 then concat('cd /srv', chr(10), 'grep ', p_type, ' log')
+    when 3 then concat('SELECT * FROM ', p_type) when 4 then concat('const x = "', p_name, '";') when 5 then concat('#!/bin/bash', chr(10), 'run ', p_type) else p_name end as code,
+  case p_partkey % 5
+    when 0 then concat(' ', chr(92), 'operatorname{s i n} x + ', cast(p_size as string)) when 1 then concat('x_{_{', cast(p_size as string), '}} + ', chr(92), 'operatorname*{l i m}')
+    when 2 then concat(chr(92), 'sup_{n} a_n') when 3 then concat('a [', cast(p_size as string), ', ', chr(92), 'ldots] b') else concat(chr(92), 'operatorname{f o o} y') end as formula
+from {part}""",
     # the words of documents, each with its place
     "judged": """
 select d.doc_id, d.lang, d.text, d.n_chars, l.quality, l.toxic,

@@ -23,10 +23,12 @@ class _Shredder(HTMLParser):
         self.nodes: list[list] = []
         self.stack: list[int] = []
         self.kids: list[dict] = [{}]
+        self.cut = False
 
     def handle_starttag(self, tag, attrs):
         if len(self.nodes) >= MAX_NODES:
-            raise ValueError("too many nodes")
+            self.cut = True
+            return
         while self.stack and self.nodes[self.stack[-1]][2] in CLOSES.get(tag, ()):
             self._pop()
         parent = self.stack[-1] if self.stack else -1
@@ -41,7 +43,7 @@ class _Shredder(HTMLParser):
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
-        if tag not in VOID:
+        if tag not in VOID and not self.cut:
             self._pop()
 
     def _pop(self):
@@ -49,18 +51,18 @@ class _Shredder(HTMLParser):
         self.kids.pop()
 
     def handle_endtag(self, tag):
-        if any(self.nodes[n][2] == tag for n in self.stack):
+        if not self.cut and any(self.nodes[n][2] == tag for n in self.stack):
             while self.nodes[self.stack[-1]][2] != tag:
                 self._pop()
             self._pop()
 
     def handle_data(self, data):
-        if self.stack and data.strip():
+        if self.stack and data.strip() and not self.cut:
             self.nodes[self.stack[-1]][5].append(" ".join(data.split()))
 
 
 def shred(html: str | None) -> list[dict]:
-    """Nodes in document order: node, parent (-1: none), tag, path, href, text of the node itself, hidden, section (the node of the last heading before it)."""
+    """Nodes in document order, MAX_NODES at most, of which the last has the tag #cut where a page has more: node, parent (-1: none), tag, path, href, text of the node itself, hidden, section (the node of the last heading before it)."""
     parser = _Shredder()
     parser.feed(html or "")
     parser.close()
@@ -71,13 +73,15 @@ def shred(html: str | None) -> list[dict]:
             hidden.add(node)
         if len(tag) == 2 and tag[0] == "h" and tag[1].isdigit():
             section = node
-        out.append({"node": node, "parent": parent, "tag": tag, "path": path, "href": attrs.get("href"), "rowspan": attrs.get("rowspan"), "colspan": attrs.get("colspan"), "text": " ".join(text), "hidden": node in hidden, "section": section})
+        out.append({"node": node, "parent": parent, "tag": tag, "path": path, "href": attrs.get("href"), "rowspan": attrs.get("rowspan"), "colspan": attrs.get("colspan"), "html_id": attrs.get("id"), "html_class": attrs.get("class"), "data_id": attrs.get("data-id"), "text": " ".join(text), "hidden": node in hidden, "section": section})
+    if parser.cut:
+        out.append(dict.fromkeys(out[-1]) | {"node": len(out), "parent": -1, "tag": "#cut", "path": "#cut", "text": "", "hidden": True})
     return out
 
 
 NODE = T.StructType(
     [T.StructField(n, T.IntegerType()) for n in ("node", "parent")]
-    + [T.StructField(n, T.StringType()) for n in ("tag", "path", "href", "rowspan", "colspan", "text")]
+    + [T.StructField(n, T.StringType()) for n in ("tag", "path", "href", "rowspan", "colspan", "html_id", "html_class", "data_id", "text")]
     + [T.StructField("hidden", T.BooleanType()), T.StructField("section", T.IntegerType())]
 )
 
@@ -93,10 +97,10 @@ def nodes(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFra
 
 
 def span(value: str | None, most: int = 1000) -> int | None:
-    """A cell's span: 1 where none is given, null where it is not a number."""
+    """A cell's span: 1 where none is given, null, which grid() reports, where it is not a number or more than most."""
     if value is None:
         return 1
-    return min(int(value), most) if value.strip().isdigit() else None
+    return int(value) if value.strip().isdigit() and int(value) <= most else None
 
 
 def grid(cells: list[tuple[int, int, int | None, int | None]], rows: int) -> tuple[list[tuple], list[str]]:
@@ -117,3 +121,39 @@ def grid(cells: list[tuple[int, int, int | None, int | None]], rows: int) -> tup
         taken |= slots
         out.append((cell, row, column, down, across))
     return out, issues
+
+
+def references(found: DataFrame, key: str = "page_id") -> DataFrame:
+    """(key, kind, name, value) of nodes(): anchors with a data id, typed by its prefix; list items with their depth; footnotes; and pairs of th and td in one row."""
+    refs = found.where("tag = 'a' and data_id is not null").select(key, F.lit("reference").alias("kind"), F.regexp_extract("data_id", "^([a-z]+)-", 1).alias("name"), F.col("data_id").alias("value"))
+    depth = F.regexp_count("path", F.lit(r"(^| > )(ol|ul):"))
+    items = found.where("tag = 'li' and not hidden").select(key, F.lit("item"), depth.cast("string"), "text")
+    notes = found.where(F.array_contains(F.split("html_class", " "), "footnote")).select(key, F.lit("footnote"), "html_id", "text")
+    td = found.where("tag = 'td'").groupBy(key, "parent").agg(F.min_by("text", "node").alias("text"))
+    meta = found.where("tag = 'th'").groupBy(key, "parent").agg(F.min_by("text", "node").alias("name")).join(td, [key, "parent"]).select(key, F.lit("meta"), "name", "text")
+    return refs.union(items).union(notes).union(meta)
+
+
+def chapters(found: DataFrame, key: str = "page_id") -> DataFrame:
+    """(key, chapters, paragraphs, unrepresented) of pages in the chapter template, from nodes(): headings of chapters, numbered paragraphs, and visible texts of the
+    body that belong to neither, nor to a list, table or footnote."""
+    classes = F.coalesce(F.split("html_class", " "), F.array())
+    chapter, paragraph = (F.col("tag") == "h2"), (F.col("tag") == "p") & F.array_contains(classes, "paragraph")
+    stands = chapter | paragraph | F.col("tag").isin("li", "th", "td") | F.array_contains(classes, "footnote")
+    loose = (F.col("text") != "") & ~F.col("hidden") & F.col("path").contains("body:") & ~F.exists("tops", lambda p: (F.col("path") == p) | F.startswith(F.col("path"), F.concat(p, F.lit(" > "))))
+    tops = found.groupBy(key).agg(F.collect_list(F.when(stands, F.col("path"))).alias("tops"), F.count_if(chapter).alias("chapters"), F.count_if(paragraph).alias("paragraphs"))
+    return found.join(tops, key).groupBy(key, "chapters", "paragraphs").agg(F.count_if(loose).alias("unrepresented"))
+
+
+#: Profiles of pages and the element, by tag and class, that tells each.
+PROFILES = {"chapters": ("div", "chapter"), "article": ("article", None), "register": ("table", "meta")}
+
+
+def profile(found: DataFrame, profiles: dict[str, tuple[str, str | None]] = PROFILES, key: str = "page_id") -> DataFrame:
+    """(key, profile, issue): the one profile whose element a page holds; none, or more than one, is an issue."""
+    classes = F.coalesce(F.split("html_class", " "), F.array())
+    holds = {n: (F.col("tag") == tag) & (F.lit(True) if c is None else F.array_contains(classes, c)) for n, (tag, c) in profiles.items()}
+    names = F.array_compact(F.array(*[F.when(F.max(h), F.lit(n)) for n, h in holds.items()]))
+    got = found.groupBy(key).agg(names.alias("names"))
+    one = F.size("names") == 1
+    return got.select(key, F.when(one, F.get("names", F.lit(0))).alias("profile"), F.when(~one, F.when(F.size("names") == 0, "none").otherwise("several")).alias("issue"))
