@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("governance", "measures", "matching", "graphs", "feeds", "texts", "folds", "intake")
+MODULES = ("governance", "measures", "matching", "graphs", "feeds", "texts", "folds", "intake", "wording")
 
 
 def load() -> None:

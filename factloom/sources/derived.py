@@ -79,7 +79,7 @@ from {part}""",
     "sentences": """
 select p_partkey as id,
   case when p_partkey % 13 = 0 then 'coverage' when p_partkey % 17 = 0 then 'source_table_assembly' when p_partkey % 11 = 0 then 'standard_indicator' when p_partkey % 7 = 0 then 'source_heading' else 'paragraph' end as kind,
-  case when p_partkey % 19 = 0 then 'Rationale' else p_name end as title,
+  case when p_partkey % 19 = 0 then 'Rationale' when p_partkey % 24 = 5 then '' else p_name end as title,
   case p_partkey % 12
     when 0 then concat('The ', p_name, ' operator shall not release water unless the pressure exceeds ', cast(p_size as string), ' bar by 12 March 2024, see section 4.2.')
     when 1 then concat('Operators must inspect each ', lower(p_type), ' unit within ', cast(p_size as string), ' days if the alarm sounds.')
@@ -88,7 +88,7 @@ select p_partkey as id,
     when 4 then 'For questions about feed, please contact help@example.org.'
     when 5 then '"Shall" denotes an obligation.'
     when 6 then concat('Smith, J. A. 2019. On ', p_name, ' feed. Journal of Feed ', cast(p_size as string), ' (3), 45-67. https://doi.example/', cast(p_partkey as string))
-    when 7 then p_name
+    when 7 then concat('Indicator: ', p_name, chr(10), 'Requirement: ', cast(p_size as string), ' percent')
     when 8 then concat('Samples should be taken every ', cast(p_size as string), ' months and during the first 2 years.')
     when 9 then concat('The limit is 5 mg per year in any ', cast(p_size as string), ' month period and is read annually.')
     when 10 then concat('Staff may use the ', lower(p_type), ' line.')
@@ -97,11 +97,11 @@ from {part}""",
     # snippets of code and formulas
     "codes": """
 select p_partkey as id, case p_partkey % 7
-    when 0 then concat('def f():', chr(10), '  return "', p_brand, '"') when 1 then concat('{"name": "', p_name, '"}') when 2 then concat('cd /srv', chr(10), 'grep ', p_type, ' log')
+    when 0 then concat('def f():', chr(10), '  return "', p_brand, '"') when 1 then concat(chr(123), '"name": "', p_name, '"', chr(125)) when 2 then concat('cd /srv', chr(10), 'grep ', p_type, ' log')
     when 3 then concat('SELECT * FROM ', p_type) when 4 then concat('const x = "', p_name, '";') when 5 then concat('#!/bin/bash', chr(10), 'run ', p_type) else p_name end as code,
   case p_partkey % 5
-    when 0 then concat(' ', chr(92), 'operatorname{s i n} x + ', cast(p_size as string)) when 1 then concat('x_{_{', cast(p_size as string), '}} + ', chr(92), 'operatorname*{l i m}')
-    when 2 then concat(chr(92), 'sup_{n} a_n') when 3 then concat('a [', cast(p_size as string), ', ', chr(92), 'ldots] b') else concat(chr(92), 'operatorname{f o o} y') end as formula
+    when 0 then concat(' ', chr(92), 'operatorname', chr(123), 's i n', chr(125), ' x + ', cast(p_size as string)) when 1 then concat('x_', chr(123), '_', chr(123), cast(p_size as string), chr(125), chr(125), ' + ', chr(92), 'operatorname*', chr(123), 'l i m', chr(125))
+    when 2 then concat(chr(92), 'sup_', chr(123), 'n', chr(125), ' a_n') when 3 then concat('a [', cast(p_size as string), ', ', chr(92), 'ldots] b') else concat(chr(92), 'operatorname', chr(123), 'f o o', chr(125), ' y') end as formula
 from {part}""",
     # the words of documents, each with its place
     "judged": """
