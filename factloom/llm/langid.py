@@ -1,4 +1,8 @@
-"""Language identification: averaged hashed subword embeddings with a linear softmax, trained by SGD in numpy."""
+"""Language identification: averaged hashed subword embeddings with a linear softmax, trained by SGD in numpy.
+
+One class more than there are languages stands for none of them. It learns from noise made out of the training texts, so that texts in other languages and scripts
+have somewhere to go, and the calibrated probability of the best language says whether to reject.
+"""
 
 from __future__ import annotations
 
@@ -26,10 +30,15 @@ UNKNOWN = "und"
 _LETTERS = bytes(i if 97 <= i <= 122 or i >= 128 else 32 for i in range(256))
 
 
-def subwords(text: str) -> np.ndarray:
-    """Hash buckets of the byte n-grams of the lower-cased words of text, word edges included."""
+def letters(text: str) -> np.ndarray:
+    """The bytes of the lower-cased words of text, a space between them and at both ends."""
     words = text.lower().encode("utf-8", "surrogatepass").translate(_LETTERS).split()
-    b = np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8).astype(np.uint32)
+    return np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8)
+
+
+def buckets(b: np.ndarray) -> np.ndarray:
+    """Hash buckets of the byte n-grams of letters(), word edges included."""
+    b = b.astype(np.uint32)
     out = []
     for n in SUBWORDS:
         if len(b) < n:
@@ -43,13 +52,39 @@ def subwords(text: str) -> np.ndarray:
     return np.concatenate(out)
 
 
+def subwords(text: str) -> np.ndarray:
+    return buckets(letters(text))
+
+
+def noise_like(b: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Words of the same lengths in no language: the alphabet permuted, letters drawn at random, or letters of some other script, of two or three bytes."""
+    kind, out = int(rng.integers(4)), b.copy()
+    at = np.nonzero(b != 32)[0]
+    if kind == 0:
+        table = np.arange(256, dtype=np.uint8)
+        table[97:123] = 97 + rng.permutation(26)
+        return table[out]
+    if kind == 1:
+        out[at] = rng.choice(np.arange(97, 123), len(at), p=rng.dirichlet(np.full(26, 0.5)))
+        return out
+    n = kind
+    block = int(rng.integers(0xC4, 0xE0)) if n == 2 else int(rng.integers(0xE0, 0xF0))
+    wide = np.repeat(out, np.where(out == 32, 1, n))
+    place = np.nonzero(wide != 32)[0]
+    wide[place] = rng.integers(0x80, 0xC0, len(place))
+    wide[place[::n]] = block + rng.integers(0, 2, len(place[::n]))
+    if n == 3:
+        wide[place[1::3]] = 0x80 + int(rng.integers(0, 60)) + rng.integers(0, 4, len(place[1::3]))
+    return wide
+
+
 def has_letter(text: str | None) -> bool:
     return any(map(str.isalpha, text or ""))
 
 
 @dataclass
 class Model:
-    """logits: a text's scores are the mean of its subwords' rows; noise: the share of answers expected to be wrong at best;
+    """logits: a text's scores are the mean of its subwords' rows, the last for none of the languages; noise: the share of answers expected to be wrong at best;
     below threshold an answer is rejected."""
 
     langs: list[str]
@@ -60,7 +95,7 @@ class Model:
 
     def scores(self, text: str) -> np.ndarray:
         at = subwords(text)
-        total = np.zeros(len(self.langs), np.float64)
+        total = np.zeros(self.logits.shape[1], np.float64)
         for i in range(0, len(at), 1 << 18):
             part = at[i : i + (1 << 18)]
             total += np.ones(len(part), np.float32) @ self.logits[part]
@@ -73,22 +108,26 @@ class Model:
         if not self.langs or not has_letter(text):
             return UNKNOWN, 0.0
         p = self.scores(text)
-        k = int(p.argmax())
+        k = int(p[:-1].argmax())
         return self.langs[k], float(p[k])
 
 
 def fit(rows: list[tuple[str, str]], seed: int = 7) -> Model:
-    """A model from (text, lang) pairs: four fifths train it by SGD, the rest set temperature and threshold."""
+    """A model from (text, lang) pairs and noise made of them, as much as of a language: four fifths train it by SGD, the rest set temperature and threshold."""
     langs = sorted({y for _, y in rows})
     rng = np.random.default_rng(seed)
     rows = [rows[i] for i in rng.permutation(len(rows))]
-    data = [(np.unique(subwords(x), return_counts=True), langs.index(y)) for x, y in rows if has_letter(x)]
-    if not data:
+    none, number = len(langs), {y: k for k, y in enumerate(langs)}
+    kept = [(letters(x), number[y]) for x, y in rows if has_letter(x)]
+    if not kept:
         return Model([], np.zeros((BUCKETS, 0), np.float32), 1.0, 0.0)
+    every = max(1, len(langs))
+    seen = [(b, y) for i, (b, k) in enumerate(kept) for b, y in ((b, k), *([(noise_like(b, rng), none)] if i % every == 0 else ()))]
+    data = [(np.unique(buckets(b), return_counts=True), y) for b, y in seen]
     cut = max(1, len(data) * 4 // 5)
     train, held = data[:cut], data[cut:] or data
     e = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
-    w = np.zeros((DIM, len(langs)), np.float32)
+    w = np.zeros((DIM, len(langs) + 1), np.float32)
     steps, step = EPOCHS * len(train), 0
     for _ in range(EPOCHS):
         for i in rng.permutation(len(train)):
@@ -118,8 +157,8 @@ def fit(rows: list[tuple[str, str]], seed: int = 7) -> Model:
     p = np.exp(s - s.max(axis=1, keepdims=True))
     p /= p.sum(axis=1, keepdims=True)
     noise = (int((p.argmax(axis=1) != y).sum()) + 1) / (len(y) + 2)
-    p = (1 - noise) * p + noise / len(langs)
-    right = p.max(axis=1)[p.argmax(axis=1) == y]
+    p = (1 - noise) * p + noise / p.shape[1]
+    right = p.max(axis=1)[(p.argmax(axis=1) == y) & (y != none)]
     threshold = min(float(np.quantile(right, LOST)) if len(right) else 0.0, SURE)
     return Model(langs, logits, float(temperature), threshold, noise)
 
