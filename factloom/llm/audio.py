@@ -19,7 +19,7 @@ from factloom.llm.common import documents, small_batches, written
 #: Sampling rates in Hz of the media and of the features.
 RATE, TARGET = 16_000, 8_000
 #: Samples of a frame and from one frame to the next; points of its transform; mel bands; frames of a tensor.
-FRAME, HOP, POINTS, MELS, FRAMES = 200, 100, 256, 24, 64
+FRAME, HOP, POINTS, MELS, FRAMES = 200, 100, 256, 24, 16
 #: dB over a text's median energy at which a segment begins, and above which it goes on.
 HIGH, LOW = 3.0, 1.0
 #: Outputs that are computed at a time, so that a long recording needs little memory besides its samples.
@@ -129,13 +129,13 @@ def segments(energy: np.ndarray, high: float = HIGH, low: float = LOW) -> list[t
     return [(int(a), int(b)) for a, b in zip(np.nonzero(change == 1)[0], np.nonzero(change == -1)[0], strict=True) if loud[b] > loud[a]]
 
 
-_TENSOR = pa.fixed_shape_tensor(pa.float32(), (FRAMES, MELS))
+_TENSOR = pa.fixed_shape_tensor(pa.float16(), (FRAMES, MELS))
 
 
 def tensors(mel: np.ndarray, rate: int) -> bytes:
-    """An Arrow stream: tensor (FRAMES x MELS, the last padded with the floor), its frames, and its span in seconds."""
+    """An Arrow stream: tensor (FRAMES x MELS half floats, the last padded with the floor), its frames, and its span in seconds."""
     n = -(-len(mel) // FRAMES)
-    whole = np.full((n * FRAMES, MELS), -6, np.float32)
+    whole = np.full((n * FRAMES, MELS), -6, np.float16)
     whole[: len(mel)] = mel
     held = [min(FRAMES, len(mel) - i * FRAMES) for i in range(n)]
     start = [i * FRAMES * HOP / rate for i in range(n)]
@@ -211,6 +211,11 @@ def features(media: DataFrame) -> DataFrame:
     return media.select("doc_id", "n_bytes", "media").mapInArrow(_features, _FEATURES)
 
 
+def stored_features(docs: DataFrame) -> DataFrame:
+    """features() of the documents' media, both written to tables in the shared folder and read back."""
+    return written(features(written(media_table(docs), "media")), "features")
+
+
 def op2_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = written(media_table(documents(spark, sf_dir)), "media")
-    return features(stored).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_frames", F.size("segments").alias("n_segments"), F.octet_length("tensors").alias("tensor_bytes"))
+    rows = stored_features(documents(spark, sf_dir))
+    return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_frames", F.size("segments").alias("n_segments"), F.octet_length("tensors").alias("tensor_bytes"), F.crc32("tensors").alias("tensor_crc32"))
