@@ -42,17 +42,20 @@ def reach(seeds: DataFrame, edges: DataFrame, ways: str = "both") -> DataFrame:
         found = found.unionByName(new)
 
 
+#: Peeling goes on while a round takes at least this share of the edges.
+PEELED = 1 / 16
+
+
 def cyclic(edges: DataFrame) -> DataFrame:
-    """Nodes (id) that lie on a cycle of edges (src, dst): nodes without a way in or out are peeled off round by round, and only what is left, cycles and
-    what joins them, is closed."""
+    """Nodes (id) that lie on a cycle of edges (src, dst): edges at nodes without a way in or out are peeled off round by round while that takes a good share of them,
+    and what is left, cycles and what joins them, is closed."""
     left = cut(edges.select("src", "dst").distinct())
     size = left.count()
     while size:
         left = cut(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
-        now = left.count()
-        if now == size:
+        before, size = size, left.count()
+        if before - size < PEELED * before:
             break
-        size = now
     return closure(left).where("node = reached").select(F.col("node").alias("id"))
 
 
@@ -97,3 +100,14 @@ def outline(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.join(edges.select(F.col("src").alias("id"), F.col("dst").alias("parent")), "id", "left").join(kids, "id", "left").select("id", "parent", F.coalesce("children", F.lit(0)).alias("children"))
 
 
+def preview(now: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """The steps (keys, action, value) that lead from one capture (keys, value) to another: add, replace, remove; value is the other's."""
+    a, b = now.select(*keys, F.struct("value").alias("a")), other.select(*keys, F.struct("value").alias("b"))
+    action = F.when(F.col("a").isNull(), "add").when(F.col("b").isNull(), "remove").when(~F.col("a").eqNullSafe(F.col("b")), "replace")
+    return a.join(b, keys, "full").select(*keys, action.alias("action"), F.col("b.value").alias("value")).where("action is not null")
+
+
+def applied(now: DataFrame, steps: DataFrame, keys: list[str]) -> DataFrame:
+    """A capture after steps of preview(). Steps that were taken before change nothing, so what was broken off can be taken up again."""
+    kept = now.select(*keys, "value").join(steps.select(*keys), keys, "left_anti")
+    return kept.unionByName(steps.where("action <> 'remove'").select(*keys, "value"))

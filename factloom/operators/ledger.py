@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def feed_page(log: DataFrame, cursor: int, limit: int = 1000) -> DataFrame:
@@ -54,3 +56,34 @@ def chained(stages: list[Column]) -> list[Column]:
     for s in stages:
         out.append(F.sha2(F.concat_ws("|", *([out[-1]] if out else []), s), 256))
     return out
+
+
+def appended(asked: DataFrame, key: str, order: str) -> DataFrame:
+    """Changes (key, order, value, expected) taken in their order onto a ledger for each key that begins at revision 1: (key, order, value, accepted, revision).
+
+    A change is accepted where it expects the revision that the ledger has and its value is a number above 0 and up to 1. Each acceptance depends on those before
+    it, so that a key's changes, which people make one by one, are folded in one place.
+    """
+    rows = asked.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("value").cast("double").alias("v"), F.col("expected").cast("long").alias("e")))).alias("items"))
+
+    def fold(batches):
+        for pdf in batches:
+            out: dict[str, list] = {key: [], order: [], "value": [], "accepted": [], "revision": []}
+            for k, items in zip(pdf[key], pdf["items"], strict=True):
+                revision = 1
+                for x in items:
+                    fine = x["e"] == revision and x["v"] is not None and 0 < x["v"] <= 1
+                    revision += fine
+                    for name, value in zip(out, (k, x["o"], x["v"], fine, revision), strict=True):
+                        out[name].append(value)
+            yield pd.DataFrame(out)
+
+    schema = T.StructType([asked.schema[key], asked.schema[order], T.StructField("value", T.DoubleType()), T.StructField("accepted", T.BooleanType()), T.StructField("revision", T.LongType())])
+    return rows.mapInPandas(fold, schema)
+
+
+def compared(one: DataFrame, two: DataFrame) -> DataFrame:
+    """(checked, differences): the rows of one, and those that either has more often than the other, repeats counted."""
+    sign = one.withColumn("__n", F.lit(1)).unionByName(two.withColumn("__n", F.lit(-1)))
+    net = sign.groupBy(*one.columns).agg(F.sum("__n").alias("net"), F.count_if(F.col("__n") > 0).alias("held"))
+    return net.agg(F.coalesce(F.sum("held"), F.lit(0)).alias("checked"), F.coalesce(F.sum(F.abs("net")), F.lit(0)).alias("differences"))

@@ -104,12 +104,6 @@ def _(t):
     return r.repaired(t.blocks, [r.anchored_inserts])
 
 
-@query("s2_6_22_assembly_order")
-def _(t):
-    """The repairs in their fixed order, in one pass over each document."""
-    return r.repaired(t.blocks, [r.local_inversions, r.anchored_inserts, r.cross_page_tables, r.template_family])
-
-
 @query("s2_9_17_template_families", _B + """, h as (select *, last_value(case when kind = 'heading' then level end ignore nulls) over (partition by document_id order by seq) as l from blocks)
  select id, cast(seq - 1 as int) as place, coalesce(case l when 1 then 'numbered' when 2 then 'table' when 3 then 'list' end, 'plain') || '/' || kind as kind from h""")
 def _(t):
