@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from factloom.sources.scratch import cut
+
+
+#: Groups are dealt into buckets of about so many rows, so that a worker gets many small groups at a time and never a fixed share of the table.
+BUCKETS, BUCKET_ROWS = 64, 100_000
+
 
-#: Groups are dealt into this many buckets, so that a worker gets many small groups at a time.
-BUCKETS = 64
+def _bucket(rows: DataFrame, keys: list[str]) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(max(BUCKETS, -(-rows.count() // BUCKET_ROWS))))
 
 
 def nearest_one_to_one(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -32,7 +40,7 @@ def nearest_one_to_one(left: DataFrame, right: DataFrame, keys: list[str]) -> Da
         return pd.DataFrame(out, columns=["id", "o_id", "cost"])
 
     schema = T.StructType([left.schema["id"], right.schema["o_id"], T.StructField("cost", T.DoubleType())])
-    bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).alias("__bucket")
+    bucket = _bucket(left, keys).alias("__bucket")
     a = left.select(*keys, "i", "id", "x0", "y0", bucket)
     # the sides may come from one table, so the right one's columns get names of their own
     b = right.select(*[F.col(k).alias(c) for k, c in zip(keys, named, strict=True)], "oi", "o_id", "ox", "oy", bucket.alias("__place"))
@@ -40,24 +48,27 @@ def nearest_one_to_one(left: DataFrame, right: DataFrame, keys: list[str]) -> Da
 
 
 def largest_matching(edges: list[tuple]) -> dict:
-    """Left to right of a largest matching, found by augmenting paths in sorted order."""
+    """Left to right of a largest matching: each left, in sorted order, takes the nearest free right that alternating edges lead to."""
     near: dict = {}
     for a, b in sorted(set(edges)):
         near.setdefault(a, []).append(b)
-    taken: dict = {}
-
-    def augment(a, seen: set) -> bool:
-        for b in near[a]:
-            if b not in seen:
-                seen.add(b)
-                if b not in taken or augment(taken[b], seen):
-                    taken[b] = a
-                    return True
-        return False
-
+    of_left: dict = {}
+    of_right: dict = {}
     for a in near:
-        augment(a, set())
-    return {a: b for b, a in taken.items()}
+        came, queue, end = {}, deque([a]), None
+        while queue and end is None:
+            x = queue.popleft()
+            for b in near[x]:
+                if b not in came:
+                    came[b] = x
+                    if b not in of_right:
+                        end = b
+                        break
+                    queue.append(of_right[b])
+        while end is not None:
+            x = came[end]
+            of_right[end], of_left[x], end = x, end, of_left.get(x)
+    return of_left
 
 
 def maximum_matching(pairs: DataFrame, keys: list[str]) -> DataFrame:
@@ -70,32 +81,51 @@ def maximum_matching(pairs: DataFrame, keys: list[str]) -> DataFrame:
         found = [pair for edges in groups.values() for pair in sorted(largest_matching(edges).items())]
         return pd.DataFrame(found, columns=["left", "right"])
 
-    bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).alias("__bucket")
+    pairs = cut(pairs)
+    bucket = _bucket(pairs, keys).alias("__bucket")
     return pairs.select("*", bucket).groupBy("__bucket").applyInPandas(match, T.StructType([pairs.schema["left"], pairs.schema["right"]]))
 
 
 def largest_flow(demand: dict, supply: dict, near: dict) -> int:
-    """Most units of demand that supply can meet where each demand reaches its near supplies alone."""
-    left = dict(supply)
+    """Most units of demand that supply can meet where each demand reaches its near supplies alone: shortest augmenting paths, each by its narrowest place."""
+    left, open_ = dict(supply), dict(demand)
     given: dict = {}
-
-    def push(d, seen: set) -> bool:
-        for s in near.get(d, ()):
-            if s in seen:
-                continue
-            seen.add(s)
-            if left.get(s, 0) > 0:
-                left[s] -= 1
-                given[s, d] = given.get((s, d), 0) + 1
-                return True
-            for other in [o for (t, o), n in given.items() if t == s and n > 0 and o != d]:
-                if push(other, seen):
-                    given[s, other] -= 1
-                    given[s, d] = given.get((s, d), 0) + 1
-                    return True
-        return False
-
-    return sum(push(d, set()) for d, n in demand.items() for _ in range(n))
+    takers: dict = {}
+    met = 0
+    for d in demand:
+        while open_[d] > 0:
+            came, queue, end = {("d", d): None}, deque([d]), None
+            while queue and end is None:
+                x = queue.popleft()
+                for s in near.get(x, ()):
+                    if ("s", s) in came:
+                        continue
+                    came["s", s] = x
+                    if left.get(s, 0) > 0:
+                        end = s
+                        break
+                    for o in takers.get(s, ()):
+                        if given[s, o] > 0 and ("d", o) not in came:
+                            came["d", o] = s
+                            queue.append(o)
+            if end is None:
+                break
+            path, s = [], end
+            while s is not None:
+                x = came["s", s]
+                path.append((x, s))
+                s = came["d", x]
+            # what each demand on the way gives up is what the one before it takes
+            units = min([open_[d], left[end], *(given[came["d", x], x] for x, _ in path if came["d", x] is not None)])
+            for x, s in path:
+                given[s, x] = given.get((s, x), 0) + units
+                takers.setdefault(s, {})[x] = None
+                if came["d", x] is not None:
+                    given[came["d", x], x] -= units
+            left[end] -= units
+            open_[d] -= units
+            met += units
+    return met
 
 
 def shortfalls(demand: DataFrame, supply: DataFrame, near: DataFrame, keys: list[str]) -> DataFrame:

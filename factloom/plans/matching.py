@@ -168,7 +168,7 @@ def _(t):
  left join (select l_orderkey, count(*) as lines from lineitem group by 1) k on k.l_orderkey = u.id where u.status = 'pending' and c.c_custkey not in (select s_suppkey from supplier)""")
 def _(t):
     k = t.lineitem.groupBy(F.col("l_orderkey").alias("id")).agg(F.count("*").alias("lines"))
-    rows = t.units.where("status = 'pending'").join(t.customer, F.col("document_id") == F.col("c_custkey")).join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = t.units.where("status = 'pending'").join(t.customer, F.col("document_id") == F.col("c_custkey")).join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
     return rows.join(t.supplier, F.col("c_custkey") == F.col("s_suppkey"), "left_anti").join(k, "id", "left").select("id", "c_mktsegment", "n_name", "lines")
 
 

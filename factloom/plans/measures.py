@@ -182,7 +182,7 @@ def _(t):
  select page_index, left_edge, right_edge, count(*) filter (where abs(x0 - left_edge) / 600 <= 0.07) as near, avg(case when text like '%.' then 1.0 else 0.0 end) as punctuated from blocks join md using (page_index) group by 1, 2, 3""")
 def _(t):
     md = t.blocks.groupBy("page_index").agg(F.median("x0").alias("left_edge"), F.median("x1").alias("right_edge"))
-    return t.blocks.join(F.broadcast(md), "page_index").groupBy("page_index", "left_edge", "right_edge").agg(F.count_if(F.abs(F.col("x0") - F.col("left_edge")) / 600 <= 0.07).alias("near"), F.avg(F.when(F.col("text").endswith("."), 1.0).otherwise(0.0)).alias("punctuated"))
+    return t.blocks.join(md, "page_index").groupBy("page_index", "left_edge", "right_edge").agg(F.count_if(F.abs(F.col("x0") - F.col("left_edge")) / 600 <= 0.07).alias("near"), F.avg(F.when(F.col("text").endswith("."), 1.0).otherwise(0.0)).alias("punctuated"))
 
 
 @query("s2_5_26_template_trust", _B + "select kind, level, count(*) as support, min(x0) as x_min, max(x1) as x_max, median(x0) as x_mid, count(distinct page_index) = 3 as everywhere from blocks group by 1, 2")
