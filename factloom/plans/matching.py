@@ -98,9 +98,13 @@ def _(t):
     return heads.join(t.region.select(F.concat(F.lit("r"), "r_regionkey").alias("path")), "path").select("n_nationkey", "path")
 
 
-@query("s2_4_13_nearest_match")
+@query("s2_4_13_nearest_match", _B + """, a as (select document_id * 10 + page_index as k, id, x0, y0, seq as i, row_number() over (partition by document_id, page_index order by seq, id) as n from blocks),
+ o as (select document_id * 10 + page_index as k, id as o_id, x0 + id % 7 as ox, y0 + id % 3 as oy, seq as oi from blocks), c as (select a.k, a.n, a.id, o.o_id, o.oi, abs(x0 - ox) + 2 * abs(y0 - oy) + 2 * abs(i - oi) as cost from a join o using (k)),
+ f as (with recursive f as (select k, n, id, arg_min(o_id, (cost, oi, o_id)) as o_id, min(cost) as cost, [arg_min(o_id, (cost, oi, o_id))] as used from c where n = 1 group by 1, 2, 3 union all
+  select c.k, c.n, c.id, arg_min(c.o_id, (c.cost, c.oi, c.o_id)), min(c.cost), list_append(f.used, arg_min(c.o_id, (c.cost, c.oi, c.o_id))) from f join c on c.k = f.k and c.n = f.n + 1 where not list_contains(f.used, c.o_id) group by c.k, c.n, c.id, f.used) select * from f)
+ select id, o_id, cost::double as cost from f""")
 def _(t):
-    """Greedy nearest one-to-one match of tokens of two engines on a page: order decides, so a fold per page and no SQL."""
+    """Greedy nearest one-to-one match of tokens of two engines on a page: order decides, so a fold per page."""
     b = t.blocks.select("document_id", "page_index", "id", "x0", "y0", F.col("seq").alias("i"))
     other = b.select("document_id", "page_index", F.col("id").alias("o_id"), (F.col("x0") + F.col("id") % 7).alias("ox"), (F.col("y0") + F.col("id") % 3).alias("oy"), F.col("i").alias("oi"))
     return nearest_one_to_one(b, other, ["document_id", "page_index"])

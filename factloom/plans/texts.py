@@ -155,9 +155,13 @@ def _(t):
 # ---- folds over text
 
 
-@query("s2_6_2_paragraph_merge")
+@query("s2_6_2_paragraph_merge", _B + """, f as (with recursive f as (select document_id, seq, id, id as head, page_index as page, x0, y0 from blocks where seq = 1 union all
+  select b.document_id, b.seq, b.id, case when g then f.head else b.id end, case when g then f.page else b.page_index end, case when g then f.x0 else b.x0 end, case when g then f.y0 else b.y0 end
+  from (select f.*, b.seq as next, 0.4::double * (f.page = b.page_index)::int + 0.3::double * greatest(0.0::double, 1.0::double - abs(f.x0 - b.x0) / 200.0::double) + 0.3::double * case when b.y0 >= f.y0 then 1.0::double else 0.4::double end >= 0.82::double as g
+   from f join blocks b on b.document_id = f.document_id and b.seq = f.seq + 1) f join blocks b on b.document_id = f.document_id and b.seq = f.next) select * from f)
+ select f.document_id, head as id, cast(count(*) as int) as n, string_agg(b.text, ' ' order by f.seq) as text from f join blocks b using (id) group by 1, 2""")
 def _(t):
-    """Paragraphs joined to the one before where their boxes and text fit; a merged block is compared again, so a fold and no SQL."""
+    """Paragraphs joined to the one before where their boxes and text fit; a merged block is compared again."""
 
     def merged(batches):
         for pdf in batches:
