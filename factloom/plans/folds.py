@@ -170,7 +170,7 @@ def _(t):
     return decided.select("k", "outcome", F.when(F.col("chosen"), F.col("iv")).otherwise(F.col("value")).alias("value"), ((F.col("outcome") != "conflict") | F.col("chosen")).alias("resolved"))
 
 
-@query("s2_8_28_context_closure", _UE + ", tree as (select distinct unit_id as src, dependency_id as dst from edges) select src, dst, sha256(src || ':' || dst) as fingerprint, src % 5 <> dst % 5 as stale from tree")
+@query("s2_8_28_direct_references", _UE + ", tree as (select distinct unit_id as src, dependency_id as dst from edges) select src, dst, sha256(src || ':' || dst) as fingerprint, src % 5 <> dst % 5 as stale from tree")
 def _(t):
     tree = t.edges.select(F.col("unit_id").alias("src"), F.col("dependency_id").alias("dst")).distinct()
     return tree.select("src", "dst", F.sha2(F.concat_ws(":", F.col("src").cast("string"), F.col("dst").cast("string")), 256).alias("fingerprint"), (F.col("src") % 5 != F.col("dst") % 5).alias("stale"))

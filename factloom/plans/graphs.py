@@ -172,13 +172,13 @@ def _(t):
     return g.reach(t.units.where("id % 1009 = 5").select("id"), _tree(t), "in")
 
 
-@query("s2_8_14_ancestor_distance", _TREE + ", n as (select src as id from tree union select dst from tree) select id from n where id not in (select dst from tree)")
+@query("s2_8_14_tips", _TREE + ", n as (select src as id from tree union select dst from tree) select id from n where id not in (select dst from tree)")
 def _(t):
     tree = _tree(t)
     return g.heads(tree, tree.select(F.col("src").alias("id")).union(tree.select("dst")).distinct())
 
 
-@query("s2_8_14_ancestor_depths", _TREE + ", closed as (with recursive c(node, reached, depth) as (select src, dst, 1 from tree union select c.node, tree.dst, c.depth + 1 from c join tree on c.reached = tree.src where c.depth < 40) select node, reached, min(depth) as depth from c group by 1, 2) select node, reached as ancestor, depth, node not in (select dst from tree) as tip from closed")
+@query("s2_8_14_ancestor_distance", _TREE + ", closed as (with recursive c(node, reached, depth) as (select src, dst, 1 from tree union select c.node, tree.dst, c.depth + 1 from c join tree on c.reached = tree.src where c.depth < 40) select node, reached, min(depth) as depth from c group by 1, 2) select node, reached as ancestor, depth, node not in (select dst from tree) as tip from closed")
 def _(t):
     """Every ancestor of a node with its least distance, and whether the node is a tip."""
     tree = _tree(t)
@@ -276,7 +276,7 @@ def _(t):
     return a.join(t.blocks.where("kind <> 'table'").select(F.col("id").alias("target")), "target", "left_anti").select("id", "target")
 
 
-@query("s2_8_28_closed_references", _TREE + """, c as (with recursive r(node, reached) as (select src, dst from tree union select r.node, tree.dst from r join tree on r.reached = tree.src) select node, reached from r),
+@query("s2_8_28_context_closure", _TREE + """, c as (with recursive r(node, reached) as (select src, dst from tree union select r.node, tree.dst from r join tree on r.reached = tree.src) select node, reached from r),
  m as (select src as node, src as x from tree union select node, reached from c), e as (select node, bool_or(x % 5 <> dst % 5) as stale from m join tree on m.x = tree.src group by 1),
  f as (select node, count(*) as refs, sha256(string_agg(cast(reached as varchar), ',' order by reached)) as fingerprint from c group by 1) select node, refs, fingerprint from f join e using (node) where not stale""")
 def _(t):
