@@ -36,10 +36,6 @@ def markdown(blocks: DataFrame, document: str, order: str) -> DataFrame:
     return blocks.groupBy(document).agg(whole.alias("markdown"))
 
 
-def write_jsonl(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").json(path)
-
-
 def with_manifest(rows: DataFrame, key: str, body: Column) -> DataFrame:
     """(key, bytes, sha256) of the canonical body of each row: what a package lists."""
     return rows.select(key, F.octet_length(body).cast("long").alias("bytes"), F.sha2(body, 256).alias("sha256"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from factloom.functions import rules

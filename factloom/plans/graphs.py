@@ -21,11 +21,6 @@ def _tree(t):
 
 # ---- ordered
 
-_MARG = """, m as (select document_id % 500 as doc, kind, regexp_replace(text, '\\d+', '{n}', 'g') as template, cast(document_id % 40 as bigint) as page from blocks),
- p as (select distinct doc, kind, template, page from m), i as (select *, page - row_number() over (partition by doc, kind, template order by page) as base from p),
- r as (select doc, kind, template, count(*) as run from i group by doc, kind, template, base), n as (select doc, count(distinct page) as pages from m group by 1)"""
-
-
 @query("s2_6_4_fragment_runs", _B + """, k as (select *, case when lag(kind) over w = kind and lag(page_index) over w = page_index then 0 else 1 end as new from blocks window w as (partition by document_id order by seq))
  , r as (select *, sum(new) over (partition by document_id order by seq) as run from k) select document_id, run, string_agg(text, ' ' order by seq) as text, count(*) as n from r group by 1, 2""", whole=("run",))
 def _(t):

@@ -11,7 +11,7 @@ from factloom.functions import semantics as sem
 from factloom.operators import delivery as d
 from factloom.operators import ordered as o
 from factloom.plans.catalog import query
-from factloom.sources import html, xlsx
+from factloom.sources import html
 from factloom.sources.derived import prefix
 
 _B, _R, _U = prefix("blocks"), prefix("registry"), prefix("units")

@@ -7,7 +7,6 @@ import re
 import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from factloom.operators import graph as g
 from factloom.operators import ledger as l

@@ -3,19 +3,20 @@
 from __future__ import annotations
 
 import re
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or the session's checkpoint folder. A local master may do without, and has one below the warehouse; a cluster may not."""
+    """spark.checkpoint.dir, or the session's checkpoint folder. A local master may do without, and gets a temporary one, as in tests; a cluster may not."""
     context = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
         if not re.match(r"local(\[|$)", context.master):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
+        base = tempfile.mkdtemp(prefix="factloom-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(base)
     return base.rstrip("/")

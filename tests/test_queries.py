@@ -20,7 +20,7 @@ def test_query(name, spark, sf_dir, con):
     df = catalog.queries()[name](spark, sf_dir)
     sql = catalog.oracle_sql().get(name)
     if sql is None:
-        assert df.columns and df.count() >= 0
+        assert df.columns and not df.isEmpty()  # tests/test_repairs.py and tests/test_operators.py hold the values
     else:
         got, expected = both(df, con, sql)
         assert got == expected
