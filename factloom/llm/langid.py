@@ -78,6 +78,12 @@ def noise_like(b: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     return wide
 
 
+def _shares(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different buckets of letters() and each one's share of them."""
+    at, count = np.unique(buckets(b), return_counts=True)
+    return at, (count / count.sum()).astype(np.float32)
+
+
 def has_letter(text: str | None) -> bool:
     return any(map(str.isalpha, text or ""))
 
@@ -123,7 +129,8 @@ def fit(rows: list[tuple[str, str]], seed: int = 7) -> Model:
         return Model([], np.zeros((BUCKETS, 0), np.float32), 1.0, 0.0)
     every = max(1, len(langs))
     seen = [(b, y) for i, (b, k) in enumerate(kept) for b, y in ((b, k), *([(noise_like(b, rng), none)] if i % every == 0 else ()))]
-    data = [(np.unique(buckets(b), return_counts=True), y) for b, y in seen]
+    data = [(_shares(b), y) for b, y in seen]
+    del kept, seen
     cut = max(1, len(data) * 4 // 5)
     train, held = data[:cut], data[cut:] or data
     e = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
@@ -131,8 +138,7 @@ def fit(rows: list[tuple[str, str]], seed: int = 7) -> Model:
     steps, step = EPOCHS * len(train), 0
     for _ in range(EPOCHS):
         for i in rng.permutation(len(train)):
-            (at, count), y = train[i]
-            share = (count / count.sum()).astype(np.float32)
+            (at, share), y = train[i]
             h = share @ e[at]
             z = h @ w
             p = np.exp(z - z.max())
@@ -144,7 +150,7 @@ def fit(rows: list[tuple[str, str]], seed: int = 7) -> Model:
             e[at] -= (lr * len(at)) ** np.float32(0.5) * share[:, None] * back[None, :]
             step += 1
     logits = (e @ w).astype(np.float32)
-    z = np.array([(c @ logits[at].astype(np.float64)) / c.sum() for (at, c), _ in held])
+    z = np.array([share.astype(np.float64) @ logits[at].astype(np.float64) for (at, share), _ in held])
     y = np.array([k for _, k in held])
 
     def loss(t: float) -> float:
