@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,13 +28,13 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scratch(spark: SparkSession) -> str:
     """A new folder below the shared one, which spark.checkpoint.dir names or the session has set as its checkpoint folder.
 
-    A local master may do without: its folder is then below the warehouse. A cluster may not, for a folder of one machine loses rows without a word.
+    A local master may do without and gets a temporary one, as in tests. A cluster may not, for a folder of one machine loses rows without a word.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
+        base = tempfile.mkdtemp(prefix="factloom-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/factloom-{uuid.uuid4().hex}"
 
@@ -80,16 +81,18 @@ def id_crc(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
 
 
-#: A key that more than one in HUBS rows hold is met by broadcast; there are at most HUBS of them.
-HUBS = 1_000
+#: A key is hot that more than LEAST rows and one in HUBS of all hold, so there are at most HUBS of them; they are met by broadcast.
+HUBS, LEAST = 1_000, 1_000
 
 
 def joined_by_size(rows: DataFrame, one: DataFrame, on: list[str], total: int) -> DataFrame:
-    """rows joined to one, which has one row for each key (on) and, as n, how many of the total rows hold it; n is dropped.
+    """rows joined to one, which has one row for each key (on) and, as n, how many of the total rows hold it; n is dropped. one should be a written table.
 
-    Keys of more than one in HUBS rows are broadcast, so that no task gets all rows of a hot key; the others are shuffled.
+    Hot keys are broadcast, so that no task gets all rows of one; the others are shuffled.
     """
-    hot = F.col("n") * HUBS > total
+    hot = F.col("n") > max(total // HUBS, LEAST)
+    if one.where(hot).isEmpty():
+        return rows.join(one.drop("n"), on)
     few = F.broadcast(one.where(hot).drop("n"))
     return rows.join(few, on).unionByName(rows.join(few, on, "left_anti").join(one.where(~hot).drop("n"), on))
 
@@ -104,9 +107,9 @@ def components(edges: DataFrame) -> DataFrame:
     state, total = None, 2 * e.count()
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-        large = joined_by_size(both.where("v > u"), low, ["u"], total).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        small_low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        low = checkpointed(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"))
+        large = checkpointed(joined_by_size(both.where("v > u"), low, ["u"], total).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        small_low = checkpointed(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
         small = joined_by_size(large, small_low, ["u"], total).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("p")).select("p.*")
         e = checkpointed(small.where("u <> v").distinct())
         now = tuple(e.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
