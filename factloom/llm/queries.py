@@ -16,6 +16,8 @@ NAMES = {
     "op8_line_dedup": "line_dedup",
     "op9_kneser_ney_quality": "quality",
     "op10_byte_bpe": "bpe",
+    "op11_fill_in_middle": "infill",
+    "op12_spelling_variants": "variants",
 }
 
 
