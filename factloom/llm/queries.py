@@ -18,6 +18,7 @@ NAMES = {
     "op10_byte_bpe": "bpe",
     "op11_fill_in_middle": "infill",
     "op12_spelling_variants": "variants",
+    "op13_personal_data": "pii",
 }
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 import corpus_pipeline
-from factloom.llm import audio, bpe, feistel, infill, langid, line_dedup, lm, packing, quality, scaled_sketch, simhash, variants
+from factloom.llm import audio, bpe, feistel, infill, langid, line_dedup, lm, packing, pii, quality, scaled_sketch, simhash, variants
 from factloom.llm.queries import queries
 
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType())])
@@ -70,7 +70,7 @@ def test_pipeline_runs(spark, tables):
 
 
 def test_modules_hold_queries():
-    held = {f for m in (audio, bpe, feistel, infill, langid, line_dedup, lm, packing, quality, scaled_sketch, simhash, variants) for f in dir(m) if f.startswith("op")}
+    held = {f for m in (audio, bpe, feistel, infill, langid, line_dedup, lm, packing, pii, quality, scaled_sketch, simhash, variants) for f in dir(m) if f.startswith("op")}
     assert held == set(queries())
 
 
