@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.operators.ordered import islands
@@ -10,18 +10,28 @@ from factloom.operators.ordered import islands
 #: Shares of a page's height that are its margins, and of the pages, or of the odd or even ones, that a template must be on; pages in a row that do instead.
 MARGIN, PAGES, PARITY, ROW = 0.10, 0.50, 0.60, 3
 #: Lines that recur in the body of standards, which are no marginals.
-ANCHORS = r"(?i)^(principle \d+|criterion \d+(\.\d+)*\b|indicator\s*:|requirement\s*:|how do i interpret this requirement\?)"
+# Words that open a numbered part, labels before a colon, and a question that stands as a heading.
+NUMBERED = ("principle", "criterion")
+LABELS = ("indicator", "requirement")
+QUESTION = "how do i interpret this requirement?"
 #: Points that count as one height.
 JITTER = 6
 
 
+def _anchors(text: Column) -> Column:
+    """Whether a line opens a part of a standard: it recurs on pages without being their margin."""
+    low = F.lower(text)
+    word, rest = F.substring_index(low, " ", 1), F.regexp_replace(low, r"^\S+ *", "")
+    return (word.isin(*NUMBERED) & rest.rlike("^[0-9]")) | (low.contains(":") & F.rtrim(F.substring_index(low, ":", 1)).isin(*LABELS)) | low.startswith(QUESTION)
+
+
 def marginals(lines: DataFrame, document: str, page: str, height: float) -> DataFrame:
     """(document, label, template, bucket, pages, reason) of the headers and footers among lines (document, page, text, y0, y1)."""
     text, middle = F.trim(F.regexp_replace("text", r"\s+", " ")), (F.col("y0") + F.col("y1")) / 2
     template = F.regexp_replace(F.regexp_replace(F.lower(text), r"\bpage \d+ of \d+\b", "page {n} of {n}"), r"\b\d+\b", "{n}")
     label = F.when(middle <= height * MARGIN, "header").when(middle >= height * (1 - MARGIN), "footer")
     key = [document, "label", "template", "bucket"]
-    c = lines.where(text.rlike(r"\w") & ~text.rlike(ANCHORS)).select(document, page, label.alias("label"), template.alias("template"), F.round(middle / JITTER).cast("long").alias("bucket")).where("label is not null")
+    c = lines.where(text.rlike(r"\w") & ~_anchors(text)).select(document, page, label.alias("label"), template.alias("template"), F.round(middle / JITTER).cast("long").alias("bucket")).where("label is not null")
     odd = F.col(page) % 2 == 1
     count = lambda on: F.count_distinct(F.when(on, F.col(page)))
     held = c.groupBy(*key).agg(F.count_distinct(page).alias("pages"), count(~odd).alias("even"), count(odd).alias("odd"))

@@ -1,8 +1,10 @@
-"""Providers and processors that are plugged in: what they return is validated, and what they raise stays with the record that raised it."""
+"""Providers and processors that are plugged in: what they return is held against declared rules, and what they raise stays with the record that raised it.
+
+Answers pass through Python once, as JSON; all rules about them are columns, so that a rule is one line and its order is the order of the list.
+"""
 
 from __future__ import annotations
 
-import hashlib
 import json
 from collections.abc import Callable
 
@@ -10,54 +12,56 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Fields of a source that a suggestion may change, and states that a processor may answer.
+# Fields of a source that a suggestion may change, and states that a processor may answer.
 GOVERNED = ("source_title", "issuer", "official_url", "document_type", "source_status", "inclusion_rationale")
 STATES = ("empty", "partial", "failed", "unavailable", "candidate")
 #: What an answer must repeat of its request.
-IDENTITY = ("request_id", "material_id", "input_revision", "input_hash")
-
-SUGGESTED = "provider string, source_id string, review_id string, reason string, updates string, error string"
+IDENTITY = ("request_id", "material_id", "source_id", "scope", "input_revision", "input_hash")
 
 
-def checked(provider: str, suggestion: object, known: set[str]) -> tuple[str, str, str]:
-    """(review id, reason, updates) of a suggestion about a known source; raises ValueError where it is none."""
-    if not isinstance(suggestion, dict):
-        raise ValueError("not an object")
-    source, updates = str(suggestion.get("source_id") or "").strip(), suggestion.get("proposed_updates") or {}
-    if source not in known:
-        raise ValueError("unknown source_id")
-    if not isinstance(updates, dict) or set(updates) - set(GOVERNED):
-        raise ValueError("non-governed fields")
-    reason = str(suggestion.get("reason") or "").strip()
-    if not reason:
-        raise ValueError("no reason")
-    text = json.dumps(updates, sort_keys=True)
-    return hashlib.sha256(f"{provider}|{source}|{reason}|{text}".encode()).hexdigest()[:13], reason, text
+def first_broken(*rules: tuple[str, Column]) -> Column:
+    """The name of the first rule that does not hold; a rule that is null does not. Null where all hold."""
+    return F.coalesce(*[F.when(~F.coalesce(holds, F.lit(False)), F.lit(name)) for name, holds in rules])
 
 
-def suggestions(records: DataFrame, providers: dict[str, Callable[[dict], list]]) -> DataFrame:
-    """One row for each suggestion of each provider about each record, and one with an error for each record that a provider failed on.
-
-    A provider is asked about one record at a time, sees a copy of it, and may speak of it alone, so what it raises costs no other record.
-    """
+def answers(records: DataFrame, providers: dict[str, Callable[[dict], list]]) -> DataFrame:
+    """(provider, asked, answer, raised): one row for each element of what a provider returns about a record, as JSON; an answer that is no list is one row with itself
+    as raised. A provider is asked about one record at a time and sees a copy of it, so what it raises costs no other record."""
     columns = records.columns
 
     def ask(batches):
         for pdf in batches:
-            out = []
+            rows = []
             for row in pdf.itertuples(index=False, name=None):
                 record = dict(zip(columns, row, strict=True))
                 for name, provider in providers.items():
                     try:
                         got = provider(dict(record))
-                        if not isinstance(got, list):
-                            raise ValueError("not a list")
-                        out += [(name, record["source_id"], *checked(name, s, {record["source_id"]}), None) for s in got]
+                        texts = [json.dumps(x, sort_keys=True, default=str) for x in got] if isinstance(got, list) else None
+                        rows += [(name, record["source_id"], x, None) for x in texts] if texts is not None else [(name, record["source_id"], None, "ValueError: not a list")]
                     except Exception as e:  # noqa: BLE001
-                        out.append((name, record["source_id"], None, None, None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in SUGGESTED.split(", ")])
+                        rows.append((name, record["source_id"], None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["provider", "asked", "answer", "raised"])
 
-    return records.mapInPandas(ask, SUGGESTED)
+    return records.mapInPandas(ask, "provider string, asked string, answer string, raised string")
+
+
+def suggestions(records: DataFrame, providers: dict[str, Callable[[dict], list]]) -> DataFrame:
+    """(provider, source_id, review_id, reason, updates, error) of each answer of each provider: a suggestion is an object about the record that was asked of, with a reason, and
+    changes governed fields alone; whatever is not has an error in its place. The review id depends on what is suggested alone."""
+    field = lambda name: F.get_json_object("answer", f"$.{name}")
+    reason, updates = F.trim(field("reason")), F.coalesce(field("proposed_updates"), F.lit("{}"))
+    keys = F.json_object_keys(updates)
+    broken = first_broken(
+        ("not an object", F.json_object_keys("answer").isNotNull()),
+        ("unknown source_id", F.trim(field("source_id")) == F.col("asked")),
+        ("non-governed fields", F.size(F.array_except(keys, F.array(*map(F.lit, GOVERNED)))) == 0),
+        ("no reason", F.length(reason) > 0),
+    )
+    told = answers(records, providers).withColumn("error", F.coalesce("raised", F.concat(F.lit("ValueError: "), broken)))
+    good = lambda c: F.when(F.col("error").isNull(), c)
+    review = F.sha2(F.to_json(F.struct("provider", "asked", reason.alias("reason"), updates.alias("updates"))), 256)
+    return told.select("provider", F.col("asked").alias("source_id"), good(review).alias("review_id"), good(reason).alias("reason"), good(updates).alias("updates"), "error")
 
 
 def status(found: DataFrame) -> DataFrame:
@@ -67,8 +71,10 @@ def status(found: DataFrame) -> DataFrame:
 
 
 def verdict(request: dict[str, Column], answer: dict[str, Column]) -> Column:
-    """What is wrong with an answer: identity, state, or a confirmation that only a person may give; null where nothing is."""
-    same = [request[k].eqNullSafe(answer[k]) & request[k].isNotNull() for k in IDENTITY]
-    whole = same[0] & same[1] & same[2] & same[3]
-    human = answer["human_adoption_required"].eqNullSafe(F.lit(True)) & ~F.coalesce(answer["human_confirmed"], F.lit(False))
-    return F.when(~whole, "identity_mismatch").when(~F.coalesce(answer["state"].isin(*STATES), F.lit(False)), "invalid_state").when(~human, "cannot_confirm")
+    """What is wrong with an answer: it is not bound to its request, its source and its scope, has an unknown state, or confirms what only a person may; null where nothing is."""
+    bound = [request[k] == answer[k] for k in IDENTITY]
+    return first_broken(
+        ("identity_mismatch", F.forall(F.array(*[F.coalesce(b, F.lit(False)) for b in bound]), lambda b: b)),
+        ("invalid_state", answer["state"].isin(*STATES)),
+        ("cannot_confirm", answer["human_adoption_required"] & ~F.coalesce(answer["human_confirmed"], F.lit(False))),
+    )

@@ -179,8 +179,8 @@ def _(t):
                 human_adoption_required=True, human_confirmed=(k == 3),
             )
 
-    asked = t.documents.select(F.col("doc_id").alias("material_id"), F.concat(F.lit("r"), F.col("doc_id").cast("string")).alias("request_id"), F.lit(1).cast("long").alias("input_revision"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("input_hash"))
-    rows = asked.mapInPandas(processor, "material_id long, request_id string, input_revision long, input_hash string, answer_hash string, state string, human_adoption_required boolean, human_confirmed boolean")
+    asked = t.documents.select(F.col("doc_id").alias("material_id"), F.concat(F.lit("r"), F.col("doc_id").cast("string")).alias("request_id"), F.lit(1).cast("long").alias("input_revision"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("input_hash"), F.coalesce("source", F.lit("")).alias("source_id"), F.coalesce("lang", F.lit("")).alias("scope"))
+    rows = asked.mapInPandas(processor, "material_id long, request_id string, source_id string, scope string, input_revision long, input_hash string, answer_hash string, state string, human_adoption_required boolean, human_confirmed boolean")
     same = {k: F.col(k) for k in p.IDENTITY}
     wrong = p.verdict(same, same | {"input_hash": F.col("answer_hash"), "state": F.col("state"), "human_adoption_required": F.col("human_adoption_required"), "human_confirmed": F.col("human_confirmed")})
     return rows.select(F.col("material_id").alias("doc_id"), F.coalesce(wrong, F.col("state")).alias("outcome"), "input_hash")

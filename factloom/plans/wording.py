@@ -40,7 +40,7 @@ def _(t):
  select id, cast(start as int) as start, nullif(trim(regexp_extract(before, '([^.]*)$', 1)), '') as entity, lower(word) as modality, action, case when action is null then after else nullif(trim(substr(after, length(action) + 1), ' ,:;'), '') end as object,
   nullif(trim(regexp_extract(body, '(?i)\\bif\\b([^.;\\n]+)', 1)), '') as condition, nullif(trim(regexp_extract(body, '(?i)\\bunless\\b([^.;\\n]+)', 1)), '') as exception,
   nullif(regexp_extract(body, '(?i)(\\d+(?:[.,]\\d+)?\\s*(?:bar|days?|years?)\\b)', 1), '') as threshold, nullif(regexp_extract(body, '(\\d{1,2} March \\d{4})', 1), '') as date, array_to_string(regexp_extract_all(body, '\\bsection [A-Z0-9][\\w.-]*'), ';') as refs,
-  substr(sha256(start || ':' || body), 1, 16) as digest from a""")
+  sha256(start || ':' || body) as digest from a""")
 def _(t):
     rows = t.sentences.select("id", F.explode(w.statement_rows(F.col("body"))).alias("s")).select("id", "s.*")
     return rows.withColumn("refs", F.array_join("refs", ";"))
