@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("governance", "measures", "matching", "graphs", "feeds", "texts", "folds", "intake", "wording", "versions", "layout")
+MODULES = ("governance", "measures", "matching", "graphs", "feeds", "texts", "folds", "intake", "wording", "versions", "layout", "reviews")
 
 
 def load() -> None:

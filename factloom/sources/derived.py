@@ -65,6 +65,15 @@ select l_orderkey as document_id, l_orderkey * 100 + row_number() over (partitio
   concat('Carrier ', case l_partkey % 5 when 0 then 'must' when 1 then 'shall not' when 2 then 'may' when 3 then 'should' else 'will' end,
     ' ship at least ', cast(cast(l_quantity as int) as string), ' kg within ', cast(l_linenumber * 10 as string), ' days.') as text
 from {lineitem}""",
+    # clauses of long documents in sections of six: heading, caption, text, figure, text, footnote
+    "clauses": """
+select document_id, document_id * 100000 + ordinal as id, ordinal, scope,
+  case slot when 0 then 'heading' when 1 then 'table' when 3 then 'figure' when 5 then 'footnote' else 'paragraph' end as kind,
+  case slot when 0 then concat('Section ', cast(scope + 1 as string), ' On rates') when 1 then concat('Table ', cast(scope % 3 + 1 as string), ' Rates of ', flag)
+    when 2 then concat('See Table ', cast(quantity % 4 + 1 as string), ' and Fig. ', cast(scope % 2 + 1 as string), '; sections ', cast(line as string), ' and ', cast(line + 1 as string), ' apply.') when 3 then concat('Figure ', cast(scope % 2 + 1 as string), ' Flow')
+    when 4 then concat('The table ', case when scope % 2 = 0 then 'above' else 'below' end, ' and annex B hold notes [^', cast(line as string), '].') else concat(cast(line as string), ' Note on ', flag) end as text
+from (select l_partkey as document_id, ordinal, cast(floor((ordinal - 1) / 6) as bigint) as scope, (ordinal - 1) % 6 as slot, l_returnflag as flag, cast(l_quantity as int) as quantity, cast(l_linenumber as int) as line
+  from (select *, row_number() over (partition by l_partkey order by l_orderkey, l_linenumber, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax, l_shipdate) as ordinal from {lineitem}) o) s""",
     # pages of statutes in the chapter template, of registers and of articles: one for each part
     "statutes": """
 select p_partkey as page_id, concat('<html><head><title>', p_name, '</title></head><body>',
