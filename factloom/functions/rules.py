@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from datetime import date
+from decimal import Decimal
 from functools import reduce
 from operator import and_, or_
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,6 +31,47 @@ def kind_of(field: T.DataType) -> str:
     return "number"
 
 
+#: What a value may be by kind of field, and operators that take none or several.
+VALUES = {"text": (str,), "number": (int, float, Decimal), "date": (str, date), "boolean": ()}
+NONE, SEVERAL = ("is_empty", "is_not_empty", "is_true", "is_false"), ("in", "not_in", "between")
+
+
+def _leaf_problems(node: dict, schema: T.StructType) -> list[str]:
+    """What is wrong with one comparison: a part that is missing, an unknown field, an operator that its kind does not have, a value of another kind."""
+    field, op = node.get("field"), node.get("op")
+    if field is None or op is None:
+        return [f"leaf without {'field' if field is None else 'op'}"]
+    if field not in schema.fieldNames():
+        return [f"field {field}"]
+    kind = kind_of(schema[field].dataType)
+    if op not in ALLOWED[kind]:
+        return [f"operator {op} on {field}"]
+    if op in NONE:
+        return []
+    value = node.get("value")
+    values = list(value) if op in SEVERAL and isinstance(value, (list, tuple)) else None if op in SEVERAL else [value]
+    if values is None or not values or (op == "between" and len(values) != 2):
+        return [f"value of {op} on {field}"]
+    if not all(isinstance(v, VALUES[kind]) and not isinstance(v, bool) for v in values):
+        return [f"value of {field}"]
+    return []
+
+
+def catalog(schema: T.StructType) -> list[tuple[str, str, list[str]]]:
+    """(field, kind, operators) of a table: what rules over it may say."""
+    return [(f.name, kind_of(f.dataType), list(ALLOWED[kind_of(f.dataType)])) for f in schema.fields]
+
+
+def mapping_issues(leaves: DataFrame, fields: DataFrame) -> DataFrame:
+    """(rule, field, issue) of leaves (rule, field, kind, op) that a catalog (field, kind, operators) no longer bears out: the field is gone, has another kind, or its kind lacks the operator.
+
+    A catalog has a row for each column of a table, so it is broadcast; leaves are as many as people have made rules.
+    """
+    held = leaves.join(F.broadcast(fields.withColumnRenamed("kind", "now")), "field", "left")
+    issue = F.when(F.col("now").isNull(), "absent").when(F.col("kind").isNull() | (F.col("kind") != F.col("now")), "kind changed").when(F.col("op").isNull() | ~F.array_contains("operators", F.col("op")), "operator not allowed")
+    return held.withColumn("issue", issue).where("issue is not null").select("rule", "field", "issue")
+
+
 def checked(tree: dict, schema: T.StructType) -> list[str]:
     """What is wrong with a rule tree: unknown fields, operators that a field's kind does not have, too deep or too large."""
     found, count = [], 0
@@ -43,10 +86,8 @@ def checked(tree: dict, schema: T.StructType) -> list[str]:
                 walk(x, depth + 1)
             if not (node.get("all") or node.get("any")):
                 found.append("empty group")
-        elif node["field"] not in schema.fieldNames():
-            found.append(f"field {node['field']}")
-        elif node["op"] not in ALLOWED[kind_of(schema[node["field"]].dataType)]:
-            found.append(f"operator {node['op']} on {node['field']}")
+        else:
+            found.extend(_leaf_problems(node, schema))
 
     walk(tree, 1)
     if count > NODES:

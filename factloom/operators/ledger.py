@@ -33,9 +33,26 @@ def receipts(requests: DataFrame, order: list[str]) -> DataFrame:
 
 
 def guarded(updates: DataFrame, key: str, order: list[str], expected: str) -> DataFrame:
-    """Updates with whether their expected revision is that of the update before; each update makes its place its revision."""
-    w = Window.partitionBy(key).orderBy(*order)
-    return updates.withColumn("revision", F.row_number().over(w) - 1).withColumn("accepted", F.col(expected) == F.col("revision"))
+    """Updates with accepted and revision, the revision that their key has after them. An update is accepted where it expects the revision that the key has, 0 at first; only then does that rise.
+
+    What is refused is kept, with the revision that it failed on, so that a conflict can be settled. A null expectation is refused. Keys are dealt out and read in order, with one number held for the key at hand.
+    """
+    kind = T.StructType([*updates.schema.fields, T.StructField("accepted", T.BooleanType()), T.StructField("revision", T.LongType())])
+
+    def fold(batches):
+        now, revision = None, 0
+        for pdf in batches:
+            accepted, revisions = [], []
+            for k, e in zip(pdf[key], pdf[expected], strict=True):
+                if k != now:
+                    now, revision = k, 0
+                fine = not pd.isna(e) and int(e) == revision
+                revision += fine
+                accepted.append(fine)
+                revisions.append(revision)
+            yield pdf.assign(accepted=accepted, revision=revisions)
+
+    return updates.repartition(key).sortWithinPartitions(key, *order).mapInPandas(fold, kind)
 
 
 def heads(ledger: DataFrame, key: str, order: list[str]) -> DataFrame:

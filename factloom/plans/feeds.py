@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from factloom.functions import rules
@@ -178,9 +179,14 @@ def _(t):
     return l.receipts(r, ["seq"]).select("seq", "outcome")
 
 
-@query("s2_10_5_revision_guard", _L + "select seq, revision = row_number() over (partition by item order by seq) - 1 as accepted from log")
+@query("s2_10_5_revision_guard", _L + """, u as (select item, seq, value, row_number() over w as k, count(*) filter (where seq % 3 <> 0) over (w rows between unbounded preceding and 1 preceding) as expected from log window w as (partition by item order by seq)),
+ r as (with recursive r as (select item, seq, value, k, expected = 0 as accepted, (expected = 0)::int as revision from u where k = 1 union all select u.item, u.seq, u.value, u.k, u.expected = r.revision, r.revision + (u.expected = r.revision)::int from r join u on u.item = r.item and u.k = r.k + 1) select * from r)
+ select seq, accepted, revision::bigint as revision, case when not accepted then value end as conflict from r""")
 def _(t):
-    return l.guarded(t.log.select("item", "seq", F.col("revision").alias("expected")), "item", ["seq"], "expected").select("seq", "accepted")
+    """Updates that expect as many as two thirds of those before them would make: each that is refused keeps its value, and the ones after it are held against what was accepted."""
+    before = Window.partitionBy("item").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    asked = t.log.select("item", "seq", "value", F.coalesce(F.count_if(F.col("seq") % 3 != 0).over(before), F.lit(0)).alias("expected"))
+    return l.guarded(asked, "item", ["seq"], "expected").select("seq", "accepted", "revision", F.when(~F.col("accepted"), F.col("value")).alias("conflict"))
 
 
 @query("s2_10_6_ledger_heads", _L + "select item, max(seq) as seq, arg_max(kind, seq) as kind, arg_max(value, seq) as value from log group by 1")

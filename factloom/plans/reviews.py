@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from factloom.functions import rules
 from factloom.operators import boundaries as b
-from factloom.operators import diff, hierarchy, mentions, ordering, sync, tablegrid
+from factloom.operators import diff, export, families, hierarchy, mentions, ordering, profiles, sync, tablegrid
 from factloom.plans.catalog import query
+from factloom.sources import packages
 from factloom.sources.derived import prefix
+from factloom.sources.scratch import fresh
+from factloom.streaming import failures
 
 _B, _C, _U = prefix("blocks"), prefix("clauses"), prefix("units")
 
@@ -198,3 +203,127 @@ def _(t):
     older = t.units.where("id % 11 = 0").select("id", F.lit(None).cast("long").alias("parent"), F.lit(1).alias("at")).where("id > 0")
     tree = hierarchy.overlaid(source, edits.unionByName(older))
     return hierarchy.placed(tree).select("id", "parent", "depth", "root", "state")
+
+
+# ---- packages
+
+_FAULTS = 12
+
+
+def _packages(t):
+    """Packages of twenty pages each, and what is wrong with those of some numbers."""
+
+    def pack(batches):
+        for pdf in batches:
+            for k, ids, texts in zip(pdf["k"], pdf["ids"], pdf["texts"], strict=True):
+                files = {f"pages/{i}.html": x.encode() for i, x in zip(ids, texts, strict=True)}
+                yield pd.DataFrame({"path": [f"p{k}"], "content": [_with_fault(int(k) % _FAULTS, files)]})
+
+    grouped = t.pages.groupBy(F.floor(F.col("page_id") / 20).alias("k")).agg(F.array_sort(F.collect_list(F.struct("page_id", F.coalesce("html", F.lit("")).alias("html")))).alias("x"))
+    return grouped.select("k", F.transform("x", lambda p: p["page_id"]).alias("ids"), F.transform("x", lambda p: p["html"]).alias("texts")).mapInPandas(pack, "path string, content binary")
+
+
+def _with_fault(fault: int, files: dict[str, bytes]) -> bytes:
+    whole = packages.packed(files)
+    first = min(files)
+    stored = {packages.FOLDER + p: x for p, x in files.items()}
+    if fault == 1:
+        return whole[: len(whole) // 2]
+    if fault == 2:
+        return packages.packed(files, b'{"files": [], "files": []}')
+    if fault == 3:
+        return packages.packed(files, stored=stored | {packages.FOLDER + first: b"other"})
+    if fault == 4:
+        return packages.packed(files, stored={k: v for k, v in stored.items() if k != packages.FOLDER + first})
+    if fault == 5:
+        return packages.packed(files, stored=stored | {packages.FOLDER + "extra": b"x"})
+    if fault == 6:
+        return packages.packed(files | {"../out": b"x"})
+    if fault == 7:
+        return packages.packed(files | {first.upper(): b"x"})
+    return whole
+
+
+@query("s2_1_21_packages", """with k as (select cast(floor(page_id / 20) as bigint) as k, count(*) as n from pages group by 1), f as (select *, k % 12 as fault from k),
+ e as (select 'p' || k as package, case fault when 1 then 'archive_corrupt' when 2 then 'manifest_repeated_key' end as issue, 1::bigint as rows from f where fault in (1, 2)
+  union all select 'p' || k, null, n - case when fault in (3, 4, 7) then 1 else 0 end from f where fault not in (1, 2) union all select 'p' || k, case fault when 3 then 'file_changed' when 4 then 'file_missing' when 5 then 'unlisted' when 6 then 'path_climbs' when 7 then 'path_collision' end, case fault when 7 then 2 else 1 end from f where fault between 3 and 7)
+ select package, issue, rows from e where rows > 0""")
+def _(t):
+    """What the packages hold, and what is wrong with the others: one row for each file, summed by its issue."""
+    return packages.read(_packages(t)).groupBy("package", "issue").agg(F.count("*").alias("rows"))
+
+
+# ---- rules and the catalog of fields
+
+_LEAVES = """select p_partkey as rule, case p_partkey % 5 when 0 then 'p_name' when 1 then 'p_size' when 2 then 'p_retailprice' when 3 then 'p_color' else 'p_brand' end as field,
+ case p_partkey % 5 when 1 then case when p_partkey % 3 = 0 then 'text' else 'number' end when 2 then 'number' when 3 then 'text' else case when p_partkey % 7 = 0 then 'date' else 'text' end end as kind,
+ case p_partkey % 4 when 0 then 'eq' when 1 then 'contains' when 2 then 'between' else case when p_partkey % 11 = 0 then null else 'is_empty' end end as op from part"""
+
+
+@query("s2_3_18_rule_issues", f"""with l as ({_LEAVES}), c as (select * from (values ('p_name', 'text'), ('p_brand', 'text'), ('p_size', 'number'), ('p_retailprice', 'number')) v(field, now))
+ select rule, field, case when now is null then 'absent' when kind <> now then 'kind changed' else 'operator not allowed' end as issue from l left join c using (field)
+ where now is null or kind <> now or op is null or (now = 'text' and op = 'between') or (now = 'number' and op = 'contains')""")
+def _(t):
+    """Rules whose field, kind or operator the table's columns no longer bear out."""
+    leaves = t.spark.sql(_LEAVES.replace("from part", "from {part}"), part=t.part)
+    fields = t.spark.createDataFrame(rules.catalog(t.part.schema), "field string, kind string, operators array<string>")
+    return rules.mapping_issues(leaves, fields)
+
+
+# ---- template families
+
+_SHEETS = """select document_id as document, scope + case when document_id % 6 = 0 and scope >= 2 then 1 else 0 end as page, ordinal, 600.0D as width, 800.0D as height, ((ordinal - 1) % 6) * 130.0D + 40.0D as y0,
+ case (ordinal - 1) % 6 when 3 then 220.0D when 4 then 400.0D when 5 then 30.0D else 90.0D end as x0,
+ case when f = 0 and slot = 0 then 'Indicator' when f = 0 and slot = 1 then ' Requirement ' when f = 1 and slot = 0 then 'Required  Client actions' when f = 1 and slot = 2 then 'see Required CAB Actions' when f = 2 and slot = 0 then 'Indicators: 3'
+  when f = 3 and slot = 2 then 'How do I interpret this requirement?' when f = 4 and slot = 0 then 'Indicator: a' when f = 4 and slot = 1 then 'Requirement: b' when f = 5 and slot = 0 then 'Applicability: all' when f = 5 and slot = 3 then 'a. do' when f = 5 and slot = 4 then 'B. check'
+  when f = 6 and slot = 3 then 'A. do' when f % 2 = 1 and slot = 5 then '1.2.3 Nets' else 'plain text' end as text
+from (select *, (ordinal - 1) % 6 as slot, (document_id * 7 + scope * 5) % 11 as f from clauses) c"""
+
+
+@query("s2_9_17_page_families", _C + f""", s as ({_SHEETS.replace('.0D', '.0')}), g as (select document, page, bool_or(text = 'Indicator') and bool_or(trim(text) = 'Requirement') as legacy, bool_or(text like 'Required  Client%') and bool_or(text like '%CAB Actions') as audit, bool_or(text like 'Indicators:%') as single, bool_or(text like 'How do I%') or (bool_or(text like 'Indicator:%') and bool_or(text like 'Requirement:%')) as norm,
+  bool_or(text = 'a. do') and bool_or(text = 'B. check') and bool_or(text like 'Applicability%') as matrix, bool_or(text like '1.2.3%' and y0 < 720) as anchored from s group by 1, 2),
+ o as (select *, case when audit or matrix then 'audit_matrix' when legacy then 'legacy_indicator_value' when norm then 'id_normative_with_context' when single then 'single_column_indicators' end as own from g)
+ select document, page, own, coalesce(own, case when exists (select 1 from o p where p.document = o.document and p.page = o.page - 1) and (l.own = 'id_normative_with_context' or (l.own = 'single_column_indicators' and anchored)) then l.own end) as family
+ from o left join lateral (select p.own from o p where p.document = o.document and p.page < o.page and p.own is not null order by p.page desc limit 1) l on true""".replace("o.own is null", "o.own is null").replace("select document, page, own, coalesce(own,", "select document, page, o.own, coalesce(o.own,"))
+def _(t):
+    """The family of each page of each document, by its own lines or by the page before."""
+    lines = t.spark.sql(_SHEETS.replace("from clauses", "from {clauses}"), clauses=t.clauses)
+    return families.resolved(families.evidence(lines)).select("document", "page", "own", "family")
+
+
+# ---- profiles by sketches
+
+_KLL = 400
+
+
+@query("s2_5_25_sketched_edges", _B + "select page_index, count(*) as lines, true as left_near, true as right_near from blocks group by 1")
+def _(t):
+    """Medians of a page's edges by mergeable quantile sketches, held against their exact ranks: within two hundredths, of which the sketch's size promises less than one."""
+    marks = profiles.medians(t.blocks, ["page_index"], {"left": "x0", "right": "x1"}, _KLL)
+    return profiles.ranked(t.blocks, marks, ["page_index"], {"left": "x0", "right": "x1"}, 0.02).withColumnRenamed("n", "lines")
+
+
+# ---- exports and failures
+
+
+@query("s2_2_10_versioned_export", prefix("registry") + """select source_id, content_hash, case when n % 50 = 3 then 'SUPERSEDED' else source_status end as source_status from registry where n % 40 <> 7 union all select concat('NEW', n), content_hash, source_status from registry where n % 90 = 1""")
+def _(t):
+    """A register exported, changed and exported again into the same folder, then read back: the second run writes only the parts that have changed."""
+    path = fresh(t.spark)
+    first = t.registry.select("source_id", "content_hash", "source_status")
+    export.export(first, path, "source_id")
+    changed = t.registry.where("n % 40 <> 7").select("source_id", "content_hash", F.when(F.col("n") % 50 == 3, "SUPERSEDED").otherwise(F.col("source_status")).alias("source_status"))
+    new = t.registry.where("n % 90 = 1").select(F.concat(F.lit("NEW"), "n").alias("source_id"), "content_hash", "source_status")
+    export.export(changed.unionByName(new), path, "source_id")
+    return export.exported(t.spark, path, "source_id string, content_hash string, source_status string")
+
+
+_ATTEMPTS = "select user_id as item, event_id as seq, case when event_id % 5 = 0 then 'usable' else 'failed' end as kind, case when event_id % 5 = 0 then null when event_id % 7 = 0 then 'upstream_lost' else concat('HtmlProfileError:', event_type) end as code from events"
+
+
+@query("s2_10_18_retained_failures", f"""with e as ({_ATTEMPTS}), g as (select *, count(*) filter (where kind = 'usable') over (partition by item order by seq) as epoch from e),
+ f as (select item, code, epoch, min(seq) as seq from g where kind = 'failed' and code not like 'upstream%' group by 1, 2, 3), u as (select item, code, min(seq) as seq from g where code like 'upstream%' group by 1, 2)
+ select item, seq, 'retained' as event, code from f union all select item, seq, 'retained', code from u union all select f.item, g.seq, 'recovered', f.code from f join g on g.item = f.item and g.kind = 'usable' and g.epoch = f.epoch + 1""")
+def _(t):
+    """Failures of each item that are kept, and those that a usable result has retired."""
+    return failures.folded(t.spark.sql(_ATTEMPTS.replace("from events", "from {events}"), events=t.events))
