@@ -55,13 +55,30 @@ def local_inversions(blocks: list[dict], share: float = 0.35, lines: float = 3.0
     return out
 
 
+#: Share of the narrower of two blocks that both must span to stand in one column.
+COLUMN = 0.35
+
+
+def in_column(a: dict, b: dict) -> bool:
+    narrow = min(a["x1"] - a["x0"], b["x1"] - b["x0"])
+    return min(a["x1"], b["x1"]) - max(a["x0"], b["x0"]) >= COLUMN * max(narrow, 1)
+
+
 def anchored_inserts(blocks: list[dict]) -> list[dict]:
-    """Recovered blocks (kind list) stand after the block of their page that is nearest above them, or before the first one."""
+    """Recovered blocks (kind list) stand after the block of their column that is nearest above them on the page, or before the first one of the column; where the page has none in the column,
+    before the first block that lies lower, or else after the page's last."""
     kept = [b for b in blocks if b["kind"] != "list"]
     for r in (b for b in blocks if b["kind"] == "list"):
         same = [(i, b) for i, b in enumerate(kept) if b["page_index"] == r["page_index"]]
-        above = [(r["y0"] - b["y0"], -i, i) for i, b in same if b["y0"] <= r["y0"]]
-        at = min(above)[2] + 1 if above else same[0][0] if same else len(kept)
+        column = [(i, b) for i, b in same if in_column(b, r)]
+        above = [(r["y0"] - b["y0"], -i, i) for i, b in column if b["y0"] <= r["y0"]]
+        lower = [i for i, b in same if (b["y0"], b["x0"]) > (r["y0"], r["x0"])]
+        if above:
+            at = min(above)[2] + 1
+        elif column:
+            at = column[0][0]
+        else:
+            at = lower[0] if lower else same[-1][0] + 1 if same else len(kept)
         kept.insert(at, r)
     return kept
 
@@ -89,11 +106,11 @@ def cross_page_tables(blocks: list[dict], sure: float = 0.88) -> list[dict]:
 
 
 def template_family(blocks: list[dict]) -> list[dict]:
-    """Each block's kind with its family, which is told by a heading's level and carried on until the next heading."""
+    """Each block's kind with its family, which is told by a heading's level and carried on until the next heading; other levels are plain."""
     family = "plain"
     for b in blocks:
         if b["kind"] == "heading":
-            family = {1: "numbered", 2: "table", 3: "list"}[b["level"]]
+            family = {1: "numbered", 2: "table", 3: "list"}.get(b["level"], "plain")
         b["kind"] = f"{family}/{b['kind']}"
     return blocks
 

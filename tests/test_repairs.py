@@ -34,6 +34,15 @@ def test_anchored_inserts():
     assert ids(r.anchored_inserts([a, b, top])) == [4, 1, 2]
     assert ids(r.anchored_inserts([a, b, other])) == [1, 2, 5]
     assert ids(r.anchored_inserts([block(1, y0=100), block(2, "list", y0=120), block(3, "list", y0=110)])) == [1, 3, 2]
+    # two columns: what is nearer above in the other one is no anchor
+    left, right, low = block(1, y0=100, x0=0, x1=40), block(2, y0=140, x0=60, x1=100), block(3, y0=300, x0=0, x1=40)
+    assert ids(r.anchored_inserts([left, low, right, block(9, "list", y0=150, x0=5, x1=45)])) == [1, 9, 3, 2]
+    assert ids(r.anchored_inserts([left, low, block(9, "list", y0=150, x0=200, x1=240)])) == [1, 9, 3] and ids(r.anchored_inserts([left, low, block(9, "list", y0=350, x0=200, x1=240)])) == [1, 3, 9]
+
+
+def test_families_of_other_levels():
+    got = r.template_family([block(1, "heading", level=1), block(2), block(3, "heading", level=7), block(4), block(5, "heading", level=None)])
+    assert [b["kind"].split("/")[0] for b in got] == ["numbered", "numbered", "plain", "plain", "plain"]
 
 
 def test_cross_page_tables():
