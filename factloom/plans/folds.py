@@ -86,7 +86,7 @@ def _(t):
     return out.unionByName(count("length", t.documents.where(F.col("n_chars") != F.char_length("text"))))
 
 
-_JOINED = _B + """, b as (select document_id % 300 as document_id, row_number() over (partition by document_id % 300 order by document_id, seq) as n, id, kind, page_index, x0, x1, 1 + id % 2 as level, text from blocks),
+_JOINED = _B + """, b as (select document_id // 50 as document_id, row_number() over (partition by document_id // 50 order by document_id, seq) as n, id, kind, page_index, x0, x1, 1 + id % 2 as level, text from blocks),
  t as (select *, row_number() over (partition by document_id order by n) as k from b where kind = 'table'),
  f as (with recursive f as (select document_id, k, id, id as head, page_index as page, x0, x1, level from t where k = 1 union all
   select t.document_id, t.k, t.id, case when g then f.head else t.id end, t.page_index, case when g then f.x0 else t.x0 end, case when g then f.x1 else t.x1 end, case when g then f.level else t.level end from (select f.*, t.k as nk, f.page <> t.page_index
@@ -98,8 +98,8 @@ _JOINED = _B + """, b as (select document_id % 300 as document_id, row_number()
 @query("s2_6_3_cross_page_tables", _JOINED)
 def _(t):
     """Tables that go on over pages joined, in documents of about two hundred blocks; what is joined is compared again."""
-    n = F.row_number().over(Window.partitionBy(F.col("document_id") % 300).orderBy("document_id", "seq"))
-    b = t.blocks.withColumn("seq", n).withColumn("document_id", F.col("document_id") % 300).withColumn("level", (1 + F.col("id") % 2).cast("int"))
+    n = F.row_number().over(Window.partitionBy(F.floor(F.col("document_id") / 50)).orderBy("document_id", "seq"))
+    b = t.blocks.withColumn("seq", n).withColumn("document_id", F.floor(F.col("document_id") / 50)).withColumn("level", (1 + F.col("id") % 2).cast("int"))
     return r.repaired(b, [r.cross_page_tables]).select("document_id", "id", "place", "kind", "text")
 
 

@@ -29,24 +29,24 @@ def _registers(t):
         for pdf in batches:
             out = []
             for k, rows in zip(pdf["book"], pdf["rows"], strict=True):
-                head = ["source_id", "source_title", "issuer", "issuer" if k == 5 else "n"]
-                if k == 6:
+                head = ["source_id", "source_title", "issuer", "issuer" if k % 8 == 5 else "n"]
+                if k % 8 == 6:
                     head[1] = "name"
                 body = [["" if r["n"] % 9 == 0 else r["source_id"], r["source_title"], r["issuer"], str(r["n"])] for r in rows]
                 raw = xlsx.workbook({"Sources": [["Register"], head, *body]})
-                out.append((f"book{k}", raw[: len(raw) // 2] if k == 7 else raw))
+                out.append((f"book{k}", raw[: len(raw) // 2] if k % 8 == 7 else raw))
             yield pd.DataFrame(out, columns=["path", "content"])
 
     row = F.struct("n", "source_id", "source_title", "issuer")
-    books = t.registry.groupBy((F.col("n") % 8).alias("book")).agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    books = t.registry.groupBy(F.floor(F.col("n") / 250).alias("book")).agg(F.array_sort(F.collect_list(row)).alias("rows"))
     return cut(books.mapInPandas(write, "path string, content binary"))
 
 
-_BOOKS = _R + """, b as (select 'book' || n % 8 as path, n % 8 as k, 2 + row_number() over (partition by n % 8 order by n) as "row", * from registry)"""
+_BOOKS = _R + """, b as (select 'book' || n // 250 as path, n // 250 % 8 as k, 2 + row_number() over (partition by n // 250 order by n) as "row", * from registry)"""
 
 
 @query("s2_1_1_registry_scan", _BOOKS + """ select path, cast("row" as int) as "row", source_id, source_title, issuer, null as issue from b where k < 5 and n % 9 <> 0
- union all select 'book' || i, null, null, null, null, case i when 5 then 'duplicate_header' when 6 then 'missing_column' else 'not_a_workbook' end from unnest([5, 6, 7]) u(i)""")
+ union all select distinct path, null::int, null, null, null, case k when 5 then 'duplicate_header' when 6 then 'missing_column' else 'not_a_workbook' end from b where k >= 5""")
 def _(t):
     rows = xlsx.registry_rows(xlsx.scanned(_registers(t)), REQUIRED)
     return rows.select("path", "row", *[F.col("record")[c].alias(c) for c in REQUIRED], "issue")
@@ -114,7 +114,7 @@ def _(t):
     return cells.withColumn("has_more", last > 39).where("row between 20 and 39 and column between 1 and 2").select("path", "row", "column", "value", "has_more")
 
 
-@query("s2_2_8_requirement_workbook", _B + """, c as (select document_id % 40 as book, kind, ceil(length(text) / 40.0)::bigint as parts from blocks)
+@query("s2_2_8_requirement_workbook", _B + """, c as (select document_id // 375 as book, kind, ceil(length(text) / 40.0)::bigint as parts from blocks)
  select 'w' || book as path, kind as sheet, count(*) + 1 as rows, sum(parts)::bigint + 2 as cells, 40 as widest from c group by 1, 2 union all select 'w' || book, 'Index', count(distinct kind) + 1, 2 * count(distinct kind) + 2, null from c group by 1 union all select distinct 'w' || book, 'Read me', 1, 1, null from c""")
 def _(t):
     """Workbooks with a sheet for each kind, an index and a note, whose cells hold at most 40 characters; written to files, read back and measured."""
@@ -131,7 +131,7 @@ def _(t):
                 out.append((f"w{book}", xlsx.workbook(sheets)))
             yield pd.DataFrame(out, columns=["path", "content"])
 
-    rows = t.blocks.groupBy((F.col("document_id") % 40).alias("book")).agg(F.array_sort(F.collect_list(F.struct("document_id", "seq", "kind", "text"))).alias("rows"))
+    rows = t.blocks.groupBy(F.floor(F.col("document_id") / 375).alias("book")).agg(F.array_sort(F.collect_list(F.struct("document_id", "seq", "kind", "text"))).alias("rows"))
     cells = xlsx.shredded(cut(rows.mapInPandas(write, "path string, content binary")))
     own = ~F.col("sheet").isin("Index", "Read me")
     return cells.groupBy("path", "sheet").agg(F.countDistinct("row").alias("rows"), F.count("*").alias("cells"), F.when(F.first(own), F.max(F.length("value"))).alias("widest"))
@@ -194,19 +194,19 @@ def _(t):
 
 
 @query("s2_1_22_handoff", _R + """, i as (select n, count(*) as issues from (select p_partkey as n from part where p_size > 40 union all select l_partkey from lineitem where l_returnflag = 'R') group by 1),
- g as (select n % 64 as part, sha256(string_agg(source_id || ':' || content_hash, ';' order by source_id)) as now, sha256(string_agg(source_id || ':' || case when n % 640 = 5 then 'older' else content_hash end, ';' order by source_id)) as handed from registry group by 1)
- select source_id, source_status = 'CURRENT' and now = handed as current, now <> handed as changed_since, coalesce(issues, 0) as open_issues from registry join g on part = n % 64 left join i using (n)""")
+ g as (select n // 32 as part, sha256(string_agg(source_id || ':' || content_hash, ';' order by source_id)) as now, sha256(string_agg(source_id || ':' || case when n % 640 = 5 then 'older' else content_hash end, ';' order by source_id)) as handed from registry group by 1)
+ select source_id, source_status = 'CURRENT' and now = handed as current, now <> handed as changed_since, coalesce(issues, 0) as open_issues from registry join g on part = n // 32 left join i using (n)""")
 def _(t):
     """Sources with open issues; a part of the register whose hash is not the one handed over has changed since, and none of it counts as current."""
     handed = t.registry.select("n", "source_id", F.when(F.col("n") % 640 == 5, "older").otherwise(F.col("content_hash")).alias("content_hash"))
 
     def hashed(rows, name):
         lines = F.transform(F.array_sort(F.collect_list(F.struct("source_id", "content_hash"))), lambda s: F.concat_ws(":", s["source_id"], s["content_hash"]))
-        return rows.groupBy((F.col("n") % 64).alias("part")).agg(F.sha2(F.array_join(lines, ";"), 256).alias(name))
+        return rows.groupBy(F.floor(F.col("n") / 32).alias("part")).agg(F.sha2(F.array_join(lines, ";"), 256).alias(name))
 
     issues = t.part.where("p_size > 40").select(F.col("p_partkey").alias("n")).unionAll(t.lineitem.where("l_returnflag = 'R'").select("l_partkey")).groupBy("n").agg(F.count("*").alias("issues"))
     parts = hashed(t.registry, "now").join(hashed(handed, "handed"), "part").select("part", (F.col("now") != F.col("handed")).alias("changed_since"))
-    rows = t.registry.withColumn("part", F.col("n") % 64).join(parts, "part").join(issues, "n", "left")
+    rows = t.registry.withColumn("part", F.floor(F.col("n") / 32)).join(parts, "part").join(issues, "n", "left")
     return rows.select("source_id", ((F.col("source_status") == "CURRENT") & ~F.col("changed_since")).alias("current"), "changed_since", F.coalesce("issues", F.lit(0)).alias("open_issues"))
 
 
@@ -231,14 +231,14 @@ def _(t):
     return html.references(html.nodes(t.statutes))
 
 
-@query("s2_1_17_position_catalog", _B + """, b as (select *, document_id % 300 as doc, case when kind = 'table' then 'cells' when kind = 'heading' then 'image' else 'text' end as scope from blocks),
+@query("s2_1_17_position_catalog", _B + """, b as (select *, document_id // 50 as doc, case when kind = 'table' then 'cells' when kind = 'heading' then 'image' else 'text' end as scope from blocks),
  n as (select doc, scope, id, floor((row_number() over (partition by doc, scope order by document_id, seq) - 1) / case scope when 'cells' then 40 when 'image' then 1 else 20 end)::bigint as bucket from b),
  s as (select doc, scope, bucket, count(*) as nodes, min(id) as first, max(id) as last from n group by 1, 2, 3 union all select doc, 'page', page_index, count(*), min(id), max(id) from b group by 1, 2, 3)
  select doc, scope, bucket, nodes, first, last, substr(sha256(doc || '|' || scope || '|' || bucket), 1, 32) as scope_id from s""")
 def _(t):
     """Scopes to inspect, whatever was extracted: each page, twenty text nodes, each image, forty cells."""
     scope = F.when(F.col("kind") == "table", "cells").when(F.col("kind") == "heading", "image").otherwise("text")
-    b = t.blocks.withColumn("doc", F.col("document_id") % 300).withColumn("scope", scope)
+    b = t.blocks.withColumn("doc", F.floor(F.col("document_id") / 50)).withColumn("scope", scope)
     size = F.when(F.col("scope") == "cells", 40).when(F.col("scope") == "image", 1).otherwise(20)
     n = b.withColumn("bucket", F.floor((F.row_number().over(Window.partitionBy("doc", "scope").orderBy("document_id", "seq")) - 1) / size))
     pages = b.select("doc", F.lit("page").alias("scope"), F.col("page_index").cast("long").alias("bucket"), "id")
@@ -294,7 +294,7 @@ def _(t):
     return d.indexed(rows, "path", "record")
 
 
-@query("s2_2_3_chunking", _B + """, b as (select document_id % 300 as doc, row_number() over (partition by document_id % 300 order by document_id, seq) as n, id, kind, level, text, length(text) as size from blocks),
+@query("s2_2_3_chunking", _B + """, b as (select document_id // 50 as doc, row_number() over (partition by document_id // 50 order by document_id, seq) as n, id, kind, level, text, length(text) as size from blocks),
  h as (select *, case when kind in ('heading', 'table') or lag(kind) over w = 'table' then 1 else 0 end as cut, case when kind = 'table' then 1 else 0 end as alone from b window w as (partition by doc order by n)),
  f as (with recursive f as (select doc, n, id, 0 as chunk, size as held from h where n = 1 union all
   select h.doc, h.n, h.id, case when h.cut = 1 or f.held + h.size > 1800 then f.chunk + 1 else f.chunk end, case when h.cut = 1 or f.held + h.size > 1800 then h.size else f.held + h.size end from f join h on h.doc = f.doc and h.n = f.n + 1) select * from f),
@@ -303,7 +303,7 @@ def _(t):
  select f.doc, chunk, min(f.id) as first, count(*) as blocks, sum(b.size)::bigint as chars, coalesce(arg_min(coalesce(q.path, ''), f.n), '') as path from f join b using (doc, n) left join q using (doc, n) group by 1, 2""")
 def _(t):
     """Chunks of at most 1,800 characters: a heading opens one, a table is one by itself, and each has the path of the headings above it."""
-    b = t.blocks.withColumn("doc", F.col("document_id") % 300).withColumn("n", F.row_number().over(Window.partitionBy("doc").orderBy("document_id", "seq")))
+    b = t.blocks.withColumn("doc", F.floor(F.col("document_id") / 50)).withColumn("n", F.row_number().over(Window.partitionBy("doc").orderBy("document_id", "seq")))
     paths = o.heading_paths(b, "doc", "n", 3)
     chunks = o.packed_chunks(paths, "doc", "n", F.length("text"), 1800, starts=F.col("kind") == "heading", alone=F.col("kind") == "table")
     rows = chunks.join(paths.select("doc", "n", "id", "path"), ["doc", "n"])

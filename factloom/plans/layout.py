@@ -12,7 +12,7 @@ from factloom.sources.derived import prefix
 
 _B = prefix("blocks")
 
-_MARGINALS = _B + """, m as (select document_id % 100 as doc, (document_id // 100) % 12 as page, lower(text) as text, (y0 + y1) / 2 as middle from blocks),
+_MARGINALS = _B + """, m as (select document_id // 150 as doc, document_id % 12 as page, lower(text) as text, (y0 + y1) / 2 as middle from blocks),
  c as (select doc, page, case when middle <= 72 then 'header' else 'footer' end as label, regexp_replace(text, '\\b\\d+\\b', '{n}', 'g') as template, cast(round(middle / 6) as bigint) as bucket from m where middle <= 72 or middle >= 648),
  k as (select distinct doc, label, template, bucket, page from c), i as (select *, page - row_number() over (partition by doc, label, template, bucket order by page) as base from k),
  runs as (select doc, label, template, bucket, max(n) as run from (select doc, label, template, bucket, base, count(*) as n from i group by all) group by all),
@@ -25,11 +25,11 @@ _MARGINALS = _B + """, m as (select document_id % 100 as doc, (document_id // 10
 @query("s2_6_1_repeating_marginals", _MARGINALS)
 def _(t):
     """Lines at the top or bottom tenth of a page whose template stands at one height on half of the pages, on three in five of the odd or even ones, or on three in a row."""
-    b = t.blocks.select((F.col("document_id") % 100).alias("doc"), (F.floor(F.col("document_id") / 100) % 12).alias("page"), "text", "y0", "y1")
+    b = t.blocks.select(F.floor(F.col("document_id") / 150).alias("doc"), (F.col("document_id") % 12).alias("page"), "text", "y0", "y1")
     return y.marginals(b, "doc", "page", 720.0).select("doc", "label", "template", "bucket", "pages", "reason")
 
 
-@query("s2_6_10_two_lanes", _B + """, b as (select document_id % 3000 as doc, row_number() over (partition by document_id % 3000 order by document_id, seq) as n, id, x0, y0, x1, (x0 + x1) / 2 as middle from blocks),
+@query("s2_6_10_two_lanes", _B + """, b as (select document_id // 5 as doc, row_number() over (partition by document_id // 5 order by document_id, seq) as n, id, x0, y0, x1, (x0 + x1) / 2 as middle from blocks),
  c as (select *, case when middle < 322 then 0 else 1 end as lane from b where x1 - x0 < 0.58 * 700 and (middle < 322 or middle > 378)), s as (select *, coalesce(lag(lane) over (partition by doc order by n) <> lane, false) as switch from c),
  d as (select doc, count(*) filter (where lane = 0) as a, count(*) filter (where lane = 1) as z, count(*) filter (where switch) as switches, arg_min(lane, n) as first from s group by 1),
  k as (select c.*, row_number() over (partition by doc order by n) as slot, row_number() over (partition by doc order by (lane <> first)::int, y0, x0, id) as rank from c join d using (doc) where a >= 8 and z >= 8 and switches >= 5)
@@ -37,11 +37,11 @@ def _(t):
 def _(t):
     """Text that bounces between two columns, at least five times and with eight blocks in each, is put into the order of its lanes; all else keeps its place."""
     n = F.row_number().over(Window.partitionBy("doc").orderBy("document_id", "seq"))
-    b = t.blocks.withColumn("doc", F.col("document_id") % 3000).withColumn("n", n)
+    b = t.blocks.withColumn("doc", F.floor(F.col("document_id") / 5)).withColumn("n", n)
     return y.lanes(b, "doc", "n", 700.0).select("id", "place")
 
 
-_NOTES = _B + """, b as (select document_id % 300 as doc, page_index, id, x0, y0, x1, y1, case when kind = 'list' then level || ' ' || text else text end as text from blocks where kind in ('list', 'paragraph') and y0 >= 0.69 * 720),
+_NOTES = _B + """, b as (select document_id // 50 as doc, page_index, id, x0, y0, x1, y1, case when kind = 'list' then level || ' ' || text else text end as text from blocks where kind in ('list', 'paragraph') and y0 >= 0.69 * 720),
  k as (select *, try_cast(nullif(regexp_extract(text, '^([1-9][0-9]*)\\s+\\S', 1), '') as int) as no from b), s as (select *, lag(no) over (partition by doc, page_index order by y0, id) as before from k where no is not null),
  g as (select doc, page_index, count(*) >= 2 and bool_and(before is null or no > before) as rising from s group by 1, 2), p as (select s.id, case when y0 >= 0.84 * 720 then 'bottom' else 'run' end as reason from s join g using (doc, page_index) where y0 >= 0.84 * 720 or rising),
  l as (select k.*, p.reason, lag(k.x0) over w as px, lag(k.y1) over w as py from k left join p using (id) window w as (partition by doc, page_index order by k.y0, k.x0, k.id)),
@@ -54,7 +54,7 @@ _NOTES = _B + """, b as (select document_id % 300 as doc, page_index, id, x0, y0
 def _(t):
     """Numbered notes at the bottom of a page, by place or by a rising run of at least two, with the lines that go on them."""
     text = F.when(F.col("kind") == "list", F.concat(F.col("level").cast("string"), F.lit(" "), "text")).otherwise(F.col("text"))
-    b = t.blocks.where("kind in ('list', 'paragraph')").withColumn("doc", F.col("document_id") % 300).withColumn("text", text)
+    b = t.blocks.where("kind in ('list', 'paragraph')").withColumn("doc", F.floor(F.col("document_id") / 50)).withColumn("text", text)
     return y.footnotes(b, ["doc", "page_index"], 720.0)
 
 
