@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factloom.llm.common import documents, id_crc, small_batches
+from factloom.llm.common import documents, give_back, id_crc, small_batches
 
 BUCKETS, DIM = 1 << 16, 16
 SUBWORDS = (1, 2, 3, 4)
@@ -79,9 +79,9 @@ def noise_like(b: np.ndarray, rng: np.random.Generator) -> np.ndarray:
 
 
 def _shares(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The different buckets of letters() and each one's share of them."""
+    """The different buckets of letters(), which 16 bits number, and each one's share of them."""
     at, count = np.unique(buckets(b), return_counts=True)
-    return at, (count / count.sum()).astype(np.float32)
+    return at.astype(np.uint16), (count / count.sum()).astype(np.float32)
 
 
 def has_letter(text: str | None) -> bool:
@@ -184,7 +184,9 @@ def train(labelled: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_
     share = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], each / r["n"])])
     lot = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
     drawn = rows.withColumn("lot", lot).where(F.col("lot") < F.element_at(share, F.col("lang"))).orderBy("lot", "text").limit(sample)
-    return fit([(r["text"], r["lang"]) for r in drawn.select("text", "lang").collect()])
+    model = fit([(r["text"], r["lang"]) for r in drawn.select("text", "lang").collect()])
+    give_back()
+    return model
 
 
 def identified(docs: DataFrame, model: Model, to: str = "lang_id") -> DataFrame:
