@@ -29,9 +29,9 @@ def _(t):
     return t.lineitem.join(t.part.where("p_size > 10"), F.col("l_partkey") == F.col("p_partkey"), "left_anti").select("l_partkey").distinct()
 
 
-@query("s2_4_4_references_by_page", _B + "select document_id, id, page_index, r as ref from (select *, unnest([page_index, page_index + 1]) as r from blocks) where r = 2")
+@query("s2_4_4_references_by_page", _B + "select document_id, id, page_index, r as ref from (select *, unnest([page_index, page_index + 1]) as r from blocks)")
 def _(t):
-    return t.blocks.select("document_id", "id", "page_index", F.explode(F.array("page_index", F.col("page_index") + 1)).alias("ref")).where("ref = 2")
+    return t.blocks.select("document_id", "id", "page_index", F.explode(F.array("page_index", F.col("page_index") + 1)).alias("ref"))
 
 
 @query("s2_4_5_exists_over_array", _B + "select document_id, count(*) as n from (select document_id, list(distinct page_index) as pages from blocks group by 1) where list_has_any(pages, [0, 2]) group by 1")
@@ -190,10 +190,10 @@ def _(t):
     return t.blocks.where(named).select("id", F.lit("mapped").alias("origin")).unionByName(t.blocks.where(~named).select("id", F.lit("residual").alias("origin")))
 
 
-@query("s2_4_26_conflict_routing", _B + """, c as (select document_id, id from blocks where page_index = 1 and kind = 'table'), p as (select o_orderkey as document_id from orders where o_orderstatus = 'O')
+@query("s2_4_26_conflict_routing", _B + """, c as (select document_id, id from blocks where kind = 'table'), p as (select o_orderkey as document_id from orders where o_orderstatus = 'O')
  select document_id, list(distinct id order by id)::varchar as conflicts from c where document_id not in (select document_id from p) group by 1""")
 def _(t):
-    c = t.blocks.where("page_index = 1 and kind = 'table'")
+    c = t.blocks.where("kind = 'table'")
     pending = t.orders.where("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("document_id"))
     rows = c.join(pending, "document_id", "left_anti").groupBy("document_id").agg(F.array_join(F.array_sort(F.collect_set("id")), ", ").alias("c"))
     return rows.select("document_id", F.concat(F.lit("["), "c", F.lit("]")).alias("conflicts"))

@@ -28,12 +28,10 @@ def _(t):
     return html.nodes(t.pages).where("tag = 'a'").groupBy("page_id", "tag").agg(F.count("*").alias("n"))
 
 
-@query("s2_1_6_html_headings", "select page_id, trim(regexp_extract(html, '<h1>([^<&]*)</h1>', 1)) as title from pages where regexp_matches(html, '<h1>[^<&]*</h1>')")
+@query("s2_1_6_html_headings", """select page_id, trim(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1), '&quot;?', '"', 'g'), '&amp;?', '&', 'g')) as title from pages where regexp_matches(html, '(?s)<h1[^>]*>.*?</h1>')""")
 def _(t):
-    """The first heading of each page that holds no character references, as the parser reads it."""
-    plain = t.pages.where(F.col("html").rlike("<h1>[^<&]*</h1>"))
-    first = html.nodes(plain).where("tag = 'h1'").groupBy("page_id").agg(F.min_by("text", "node").alias("title"))
-    return first
+    """The first heading of each page, as the parser reads it."""
+    return html.nodes(t.pages).where("tag = 'h1'").groupBy("page_id").agg(F.min_by("text", "node").alias("title"))
 
 
 @query("s2_1_9_table_geometry")
