@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factloom.functions.grammar import Word, either, found, maybe, phrase, read, span, then, where
-from factloom.functions.semantics import column_of
+from factloom.functions.semantics import ANALYSIS, analyse, column_of, exemptions
 
 # Words that make a text normative.
 NORMATIVE = ("shall", "must", "required", "prohibited", "should", "may not", "skal", "må", "plikt", "forbudt", "kan ikke")
@@ -217,6 +217,19 @@ def statement_rows(text: Column) -> Column:
     return column_of(STATEMENT, statements, text)
 
 
+#: Everything that is read from a sentence, with its windows of time, references and exemptions.
+EXEMPTION = T.ArrayType(T.StructType([T.StructField("start", _I), T.StructField("end", _I), T.StructField("denied", T.BooleanType()), T.StructField("text", _S)]))
+BUNDLE = T.StructType([*ANALYSIS.fields, T.StructField("windows", WINDOW), T.StructField("references", T.ArrayType(_S)), T.StructField("exemptions", EXEMPTION)])
+
+
+def bundle(text: str) -> dict:
+    return analyse(text) | {"windows": windows(text), "references": _references(text, read(text)), "exemptions": exemptions(text)}
+
+
+def bundle_of(text: Column) -> Column:
+    return column_of(BUNDLE, bundle, text)
+
+
 _asked = then(phrase("for"), maybe(phrase("any")), phrase("questions", "queries"), phrase("regarding", "about", "on"))
 _contact = phrase("please contact")
 

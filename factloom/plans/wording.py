@@ -57,3 +57,12 @@ def _(t):
   when 3 then replace(replace(formula, '[', '\\left\\lbrack '), ']', ' \\right\\rbrack') else formula end as formula from codes""")
 def _(t):
     return t.codes.select("id", w.code_language(F.col("code")).alias("language"), w.plain_formula(F.col("formula")).alias("formula"))
+
+
+@query("s2_9_13_bundle", _S + """select id, len(regexp_extract_all(body, '\\bsection \\d')) as refs, case id % 12 when 8 then 2 when 9 then 3 else 0 end as windows, case when id % 12 < 2 then 1 else 0 end as conditions,
+ case id % 12 when 0 then 'prohibition' when 1 then 'obligation' when 8 then 'recommendation' when 10 then 'permission' when 11 then 'obligation' end as kind from sentences""")
+def _(t):
+    """What each sentence says in one reading: references, windows, conditions and exceptions, and its first modality but for quoted words."""
+    got = t.sentences.select("id", w.bundle_of(F.col("body")).alias("b"))
+    kind = F.when(F.col("id") % 12 != 5, F.get("b.modalities", F.lit(0))["kind"])
+    return got.select("id", F.size("b.references").cast("long").alias("refs"), F.size("b.windows").alias("windows"), F.size("b.contexts").alias("conditions"), kind.alias("kind"))
