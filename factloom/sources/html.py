@@ -140,9 +140,13 @@ def chapters(found: DataFrame, key: str = "page_id") -> DataFrame:
     classes = F.coalesce(F.split("html_class", " "), F.array())
     chapter, paragraph = (F.col("tag") == "h2"), (F.col("tag") == "p") & F.array_contains(classes, "paragraph")
     stands = chapter | paragraph | F.col("tag").isin("li", "th", "td") | F.array_contains(classes, "footnote")
-    loose = (F.col("text") != "") & ~F.col("hidden") & F.col("path").contains("body:") & ~F.exists("tops", lambda p: (F.col("path") == p) | F.startswith(F.col("path"), F.concat(p, F.lit(" > "))))
-    tops = found.groupBy(key).agg(F.collect_list(F.when(stands, F.col("path"))).alias("tops"), F.count_if(chapter).alias("chapters"), F.count_if(paragraph).alias("paragraphs"))
-    return found.join(tops, key).groupBy(key, "chapters", "paragraphs").agg(F.count_if(loose).alias("unrepresented"))
+    counts = found.groupBy(key).agg(F.count_if(chapter).alias("chapters"), F.count_if(paragraph).alias("paragraphs"))
+    # a text belongs to what stands on its way down from the root, which is as long as the page is deep
+    texts = found.where((F.col("text") != "") & ~F.col("hidden") & F.col("path").contains("body:")).select(key, "node", F.split("path", " > ").alias("way"))
+    above = texts.select(key, "node", F.explode(F.transform(F.sequence(F.lit(1), F.size("way")), lambda k: F.array_join(F.slice("way", F.lit(1), k), " > "))).alias("path"))
+    held = above.join(found.where(stands).select(key, "path").distinct(), [key, "path"]).select(key, "node").distinct()
+    loose = texts.join(held, [key, "node"], "left_anti").groupBy(key).agg(F.count("*").alias("unrepresented"))
+    return counts.join(loose, key, "left").select(key, "chapters", "paragraphs", F.coalesce("unrepresented", F.lit(0)).alias("unrepresented"))
 
 
 #: Profiles of pages and the element, by tag and class, that tells each.
