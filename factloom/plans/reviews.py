@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from factloom.functions import rules
 from factloom.operators import boundaries as b
-from factloom.operators import diff, export, families, hierarchy, mentions, ordering, profiles, sync, tablegrid
+from factloom.operators import diff, export, families, hierarchy, mentions, ordering, profiles, sync, tablegrid, updates
 from factloom.plans.catalog import query
 from factloom.sources import packages
 from factloom.sources.derived import prefix
@@ -327,3 +329,37 @@ _ATTEMPTS = "select user_id as item, event_id as seq, case when event_id % 5 = 0
 def _(t):
     """Failures of each item that are kept, and those that a usable result has retired."""
     return failures.folded(t.spark.sql(_ATTEMPTS.replace("from events", "from {events}"), events=t.events))
+
+
+# ---- newer contents
+
+_HELD = "select doc_id as id, sha256(coalesce(lang, '')) as base, case when doc_id % 3 = 0 then sha256(coalesce(text, '')) else sha256(coalesce(lang, '')) end as current, 1 + doc_id % 4 as revision from documents where doc_id % 13 <> 5"
+_OFFERED = """select doc_id as id, case when doc_id % 5 = 0 then sha256(coalesce(lang, '')) when doc_id % 7 = 0 then sha256(coalesce(text, '')) else sha256(concat('x', doc_id)) end as digest, 1 + doc_id % 4 as revision from documents where doc_id % 6 <> 1
+ union all select doc_id, 'older', 0 from documents where doc_id % 2 = 0 union all select doc_id, 'ahead', 9 from documents where doc_id % 17 = 0"""
+
+
+def _hashed(t, text):
+    """A query of documents, with SHA-256 as Spark names it."""
+    return t.spark.sql(re.sub(r"sha256\(((?:[^()]|\([^()]*\))*)\)", r"sha2(\1, 256)", text).replace("from documents", "from {documents}"), documents=t.documents)
+
+
+@query("s2_10_7_reconciled_digests", f"""with h as ({_HELD}), o as ({_OFFERED}), b as (select id, arg_min(digest, (-revision, digest)) as offered, max(revision) as made from o group by 1)
+ select coalesce(h.id, b.id) as id, case when h.id is null then 'new' when offered is null or offered = current or offered = base then 'keep' when made <> revision then 'stale' when base = current then 'adopt' else 'merge' end as choice,
+  case when h.id is null or (offered <> current and offered <> base and made = revision and base = current) then offered else current end as digest from h full join b on h.id = b.id""")
+def _(t):
+    """Candidates against what is held, by digests: kept, adopted, stale, new, or for a person to merge."""
+    return updates.reconciled(_hashed(t, _HELD), _hashed(t, _OFFERED))
+
+
+@query("s2_10_24_fetched_digests", """with s as (select page_id as id, case when page_id % 9 = 0 then null when page_id % 4 = 0 then sha256(url) else sha256(html) end as digest, 5 as checked_at from pages where page_id % 10 <> 3),
+ f as (select page_id as id, 7 as at, case when page_id % 7 = 0 then 500 else 200 end as status, html as content from pages where page_id % 8 <> 2), b as (select id, status, sha256(content) as now, 7 as fetched from f)
+ select coalesce(s.id, b.id) as id, case when b.id is null then 'unasked' when status >= 400 or now is null then 'failed' when digest is null then 'first' when digest = now then 'unchanged' else 'changed' end as outcome,
+  case when b.id is not null and status < 400 and now is not null then now else digest end as digest, case when b.id is not null and status < 400 and now is not null then 7 else checked_at end as checked_at from s full join b on s.id = b.id""")
+def _(t):
+    """Each source's last fetch against the digest that is stored; a failed one changes nothing."""
+    k = F.col("page_id")
+    digest = F.when(k % 9 == 0, None).when(k % 4 == 0, F.sha2("url", 256)).otherwise(F.sha2("html", 256))
+    stored = t.pages.where("page_id % 10 <> 3").select(k.alias("id"), digest.alias("digest"), F.lit(5).alias("checked_at"))
+    fetch = lambda at, status, content: t.pages.where("page_id % 8 <> 2").select(k.alias("id"), F.lit(at).alias("at"), status.alias("status"), content.alias("content"))
+    both = fetch(7, F.when(k % 7 == 0, 500).otherwise(200), F.col("html")).unionByName(fetch(6, F.lit(200), F.col("url")))
+    return updates.checked(stored, both)

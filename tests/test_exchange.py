@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom.functions import rules
-from factloom.operators import export, families, profiles
+from factloom.operators import export, families, profiles, updates
 from factloom.operators import ledger as l
 from factloom.sources import packages
 from factloom.streaming import failures
@@ -191,3 +191,21 @@ def test_failures_as_stream_and_as_log(spark, tmp_path):
         events = spark.readStream.schema(failures.EVENT).parquet(f"{tmp_path}/in")
         failures.retained(events).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/at").trigger(availableNow=True).start().awaitTermination(60)
     assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").select(*failures.OUT.names).collect())) == want
+
+
+# ---- newer contents
+
+
+def test_candidates_by_digest(spark):
+    held = spark.createDataFrame([(1, "a", "a", 3), (2, "a", "b", 3), (3, "a", "a", 3), (4, "a", "b", 3), (5, "a", "b", 3), (6, None, None, 1), (8, "a", "a", 2)], "id long, base string, current string, revision long")
+    offers = spark.createDataFrame([(1, "c", 3), (2, "c", 3), (3, "c", 2), (4, "b", 1), (5, "a", 3), (6, "z", 1), (7, "n", 1), (8, "x", 2), (8, "y", 2), (8, "w", 1)], "id long, digest string, revision long")
+    got = {r["id"]: (r["choice"], r["digest"]) for r in updates.reconciled(held, offers).collect()}
+    assert got == {1: ("adopt", "c"), 2: ("merge", "b"), 3: ("stale", "a"), 4: ("keep", "b"), 5: ("keep", "b"), 6: ("adopt", "z"), 7: ("new", "n"), 8: ("adopt", "x")}
+
+
+def test_fetches_by_digest(spark):
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    stored = spark.createDataFrame([(1, sha("a"), 1), (2, sha("a"), 1), (3, sha("a"), 1), (4, None, None), (5, sha("a"), 1), (6, sha("a"), 1)], "id long, digest string, checked_at int")
+    fetches = spark.createDataFrame([(1, 2, 200, "a"), (1, 1, 200, "old"), (2, 2, 200, "b"), (3, 2, 404, "gone"), (4, 2, 200, ""), (5, 2, 200, None), (7, 2, 200, "n"), (2, 3, 200, "c")], "id long, at int, status int, content string")
+    got = {r["id"]: (r["outcome"], r["digest"], r["checked_at"]) for r in updates.checked(stored, fetches).collect()}
+    assert got == {1: ("unchanged", sha("a"), 2), 2: ("changed", sha("c"), 3), 3: ("failed", sha("a"), 1), 4: ("first", sha(""), 2), 5: ("failed", sha("a"), 1), 6: ("unasked", sha("a"), 1), 7: ("first", sha("n"), 2)}
