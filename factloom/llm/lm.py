@@ -1,6 +1,6 @@
 """N-gram language model as a weighted backoff automaton, counted and scored over the whole corpus in shards.
 
-States are the contexts: pairs of words that are frequent enough, words, the start of a text, and the root, the empty context. A context has an arc for each
+States are the contexts: all pairs of words that training holds, words, the start of a text, and the root, the empty context. A context has an arc for each
 word that has followed it in training, and a failure arc to its longest shorter context that is a state; the root has an arc for every word and one for unknown
 words. An arc leads to the longest context that ends in its word. Witten-Bell smoothing gives the weights: an arc (h, w) has
 log10((c(h,w) + T(h) p(w | h')) / (c(h) + T(h))) and the failure arc log10(T(h) / (c(h) + T(h))), c being counts, T(h) the number of different followers of h,
@@ -29,8 +29,6 @@ from factloom.llm.common import documents, id_crc, small_batches, written
 BATCH_BYTES, SHARE = 8 << 20, 2
 #: A context that makes up one in HOT training tokens or more has its followers spread over SLICES shards.
 HOT, SLICES = 2_000, 16
-#: A pair of words is a state where it makes up one in PAIRS training tokens (words, starts and ends) or more; the followers counted grow with the corpus.
-PAIRS = 50_000
 #: Tokens of a block in which words and pairs are first counted.
 BLOCK = 1 << 20
 ALPHA = 0.1
@@ -79,7 +77,7 @@ class Local:
     Contexts are numbered: words first, by their hashes, then the pairs of the batch that may be states. An n-gram is context * words + word.
     """
 
-    def __init__(self, texts: list[str | None], learned: np.ndarray, often: np.ndarray):
+    def __init__(self, texts: list[str | None], learned: np.ndarray, often: np.ndarray | None):
         ids, seq, self.lengths = _sequences(texts)
         h = _hashes(ids)
         order = np.argsort(h, kind="stable")
@@ -97,7 +95,7 @@ class Local:
         two, two_at = np.unique(self.seq[at - 1] * self.n + self.w, return_inverse=True)
         # the pairs among them that may be states, and the n-grams of three that go on from those
         pair_hash = _pair_hash(self.hash[two // self.n], self.hash[two % self.n])
-        frequent = np.isin(pair_hash, often) & (two % self.n != self.end)
+        frequent = (two % self.n != self.end) & (True if often is None else np.isin(pair_hash, often))
         self.two = np.nonzero(frequent)[0]
         number = np.cumsum(frequent) - 1
         before = np.nonzero(frequent[two_at] & (self.w != self.end))[0]
@@ -156,7 +154,7 @@ def _rows(rows: list[tuple], schema: pa.Schema) -> pa.Table:
     return pa.table([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
 
-def _local(table: pa.Table, often: np.ndarray) -> Local:
+def _local(table: pa.Table, often: np.ndarray | None) -> Local:
     return Local(table.column("text").to_pylist(), table.column("learned").to_numpy(), often)
 
 
@@ -342,29 +340,32 @@ def _frequent(batches, pairs: int, block_tokens: int):
     yield pa.record_batch([pa.array([None], pa.int64()), pa.array([tokens], pa.int64()), pa.array([size], pa.int64())], ["hash", "n", "size"])
 
 
-def scored(docs: DataFrame, batch_bytes: int = BATCH_BYTES, pairs: int = PAIRS, block_tokens: int = BLOCK) -> DataFrame:
+def scored(docs: DataFrame, batch_bytes: int = BATCH_BYTES, pairs: int | None = None, block_tokens: int = BLOCK) -> DataFrame:
     """One row (doc_id, n_tokens, n_known, train_tokens, base_score, score) per row of docs (doc_id, text, learned).
 
+    Every pair of words is a state; with pairs only those that make up one in so many training tokens (words, starts and ends) or more.
     The model learns from the rows where learned is true (null: false) and scores all rows; a null text counts as empty, which is one
     token, the end; very long texts are read whole. base_score is the additive unigram score, score the automaton's, both log10. Repeated rows are counted and
     scored as often, ties alike; a table without learned rows gives scores of an empty model; an empty table gives no rows. Other columns are not read.
     """
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.coalesce("learned", F.lit(False)).alias("learned"))
-    frequent = written(docs.select("text", "learned").mapInArrow(lambda batches: _frequent(batches, pairs, block_tokens), _FREQUENT).groupBy("hash").agg(F.sum("n").alias("n"), F.sum("size").alias("size")), "frequent")
+    # without a bound on states only hot pairs are asked for
+    rare = HOT if pairs is None else max(pairs, HOT)
+    frequent = written(docs.select("text", "learned").mapInArrow(lambda batches: _frequent(batches, rare, block_tokens), _FREQUENT).groupBy("hash").agg(F.sum("n").alias("n"), F.sum("size").alias("size")), "frequent")
     whole = frequent.where("hash is null").first()
     tokens, size = (whole["n"], whole["size"]) if whole else (0, 0)
     shards = max(1, -(-size // (batch_bytes * SHARE)))
     parts = max(1, -(-size // batch_bytes))
-    # what is frequent somewhere may be so in all; at most 2 * pairs and 2 * HOT of the tokens' hashes pass
-    near = frequent.where(F.col("hash").isNotNull() & (F.col("n") * 2 * pairs >= tokens)).select("hash", "n").toArrow()
+    # what is frequent somewhere may be so in all; at most 2 * rare and 2 * HOT of the tokens' hashes pass
+    near = frequent.where(F.col("hash").isNotNull() & (F.col("n") * 2 * rare >= tokens)).select("hash", "n").toArrow()
     often, held = near.column("hash").to_numpy().astype(np.int64).view(np.uint64), near.column("n").to_numpy()
-    shared = docs.sparkSession.sparkContext.broadcast((often[held * 2 * HOT >= tokens], often))
+    shared = docs.sparkSession.sparkContext.broadcast((often[held * 2 * HOT >= tokens], None if pairs is None else often))
     dealt = docs.withColumn("batch", F.pmod(F.xxhash64("doc_id", F.crc32(F.coalesce("text", F.lit("")).cast("binary"))), F.lit(parts)))
     asked = dealt.groupBy("batch").applyInArrow(_asking(shards, shared), _ASK)
     sums = written(asked.groupBy("shard").applyInArrow(_summing, _SUMS), "sums")
     total = sums.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v")).first()
-    return dealt.groupBy("batch").cogroup(sums.groupBy("batch")).applyInArrow(_scoring(shards, shared, -(-tokens // pairs), total["n"], total["v"]), _SCORES)
+    return dealt.groupBy("batch").cogroup(sums.groupBy("batch")).applyInArrow(_scoring(shards, shared, 1 if pairs is None else -(-tokens // pairs), total["n"], total["v"]), _SCORES)
 
 
 def op3_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
