@@ -36,8 +36,9 @@ ALPHA = 0.1
 START, END = b" start", b" end"
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+def words_of(text: str | None, lower: bool = True) -> list[bytes]:
+    raw = (text or "").encode("utf-8", "surrogatepass")
+    return (raw.lower() if lower else raw).split()
 
 
 class _Ids(dict):
@@ -57,12 +58,12 @@ def _pair_hash(u: np.ndarray, v: np.ndarray) -> np.ndarray:
     return h * np.uint64(0xD6E8FEB86659FD93)
 
 
-def _sequences(texts: list[str | None]) -> tuple[_Ids, np.ndarray, np.ndarray]:
+def _sequences(texts: list[str | None], lower: bool = True) -> tuple[_Ids, np.ndarray, np.ndarray]:
     """Word numbers, each text's numbers between those of START and END in one array, and how many each text has."""
     ids = _Ids({START: 0, END: 1})
     parts, lengths = [], []
     for text in texts:
-        words = words_of(text)
+        words = words_of(text, lower)
         a = np.empty(len(words) + 2, np.int64)
         a[0], a[-1] = 0, 1
         a[1:-1] = list(map(ids.__getitem__, words))
@@ -77,8 +78,8 @@ class Local:
     Contexts are numbered: words first, by their hashes, then the pairs of the batch that may be states. An n-gram is context * words + word.
     """
 
-    def __init__(self, texts: list[str | None], learned: np.ndarray, often: np.ndarray | None):
-        ids, seq, self.lengths = _sequences(texts)
+    def __init__(self, texts: list[str | None], learned: np.ndarray, often: np.ndarray | None, lower: bool = True):
+        ids, seq, self.lengths = _sequences(texts, lower)
         h = _hashes(ids)
         order = np.argsort(h, kind="stable")
         rank = np.empty(len(order), np.int64)
@@ -154,14 +155,14 @@ def _rows(rows: list[tuple], schema: pa.Schema) -> pa.Table:
     return pa.table([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
 
-def _local(table: pa.Table, often: np.ndarray | None) -> Local:
-    return Local(table.column("text").to_pylist(), table.column("learned").to_numpy(), often)
+def _local(table: pa.Table, often: np.ndarray | None, lower: bool = True) -> Local:
+    return Local(table.column("text").to_pylist(), table.column("learned").to_numpy(), often, lower)
 
 
-def _asking(shards: int, shared):
+def _asking(shards: int, shared, lower: bool = True):
     def ask(table: pa.Table) -> pa.Table:
         hot, often = shared.value
-        local, rows = _local(table, often), []
+        local, rows = _local(table, often, lower), []
         batch = table.column("batch")[0].as_py()
         count = np.concatenate((local.count, np.zeros(len(local.two), np.int64)))
         for shard, ctx, home, grams in local.asked(shards, hot):
@@ -309,13 +310,13 @@ def _scoring(shards: int, shared, least: int, total: int, distinct: int):
 _FREQUENT = T.StructType([T.StructField("hash", T.LongType()), T.StructField("n", T.LongType()), T.StructField("size", T.LongType())])
 
 
-def _frequent(batches, pairs: int, block_tokens: int):
+def _frequent(batches, pairs: int, block_tokens: int, lower: bool = True):
     """Hashes of words, the start, and pairs that are frequent in some block of training tokens, with their counts there; a null hash has the bytes read and tokens learned."""
     learned, held, tokens, size = [], 0, 0, 0
 
     def block() -> pa.RecordBatch:
         nonlocal tokens
-        ids, seq, _ = _sequences(learned)
+        ids, seq, _ = _sequences(learned, lower)
         tokens += len(seq)
         h, n = _hashes(ids), len(ids)
         one = np.bincount(seq, minlength=n)

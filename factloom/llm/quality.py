@@ -1,7 +1,7 @@
 """Quality by perplexity: an interpolated modified Kneser-Ney bigram model of trusted text, thresholds by language.
 
-Counts of bigrams, contexts and continuations are summed and joined in shards. The trusted sample is bounded, so that the model is, and the documents are scored
-against a broadcast of it: joining every document's bigrams instead would shuffle more than the text itself.
+All trusted documents teach the model or set thresholds, whole. Counts are summed in shards and sent to the batches of documents that ask (kneser_ney), so no machine holds the model.
+train() gives the same model in one piece, for corpora small enough for that, and tests hold the batches against it.
 """
 
 from __future__ import annotations
@@ -14,11 +14,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from factloom.llm import kneser_ney
 from factloom.llm.common import SPACE, documents, free, give_back, labels, small_batches, written
 from factloom.llm.feistel import numbered
 
-#: Bounds of the trusted sample: documents, and bytes of a document; so 98 MB of text at most, and about 200 MB of arcs in the driver and each executor.
-SAMPLE, SAMPLE_BYTES = 6_000, 1 << 14
 #: One trusted document in HELD sets thresholds instead of training.
 HELD = 3
 #: A language's threshold is this quantile of its held-out trusted documents' excess, and NORMAL is that of the normal distribution.
@@ -39,14 +38,26 @@ def _share(sizes: dict[int, int], sample: int) -> int:
     return max(sizes, default=1)
 
 
-def trusted(docs: DataFrame, judged: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
-    """At most sample rows (doc_id, text, lang) that are labelled quality 1 and not toxic; longer texts are not among them.
+def _good(judged: DataFrame) -> DataFrame:
+    """The ids that are labelled quality 1 and not toxic."""
+    return judged.groupBy("doc_id").agg(F.min("quality").alias("__quality"), F.max(F.coalesce("toxic", F.lit(0))).alias("__toxic")).where("__quality = 1 and __toxic = 0").select("doc_id")
 
-    Each language has an equal share, drawn by a hash; what small ones leave goes to the others, so that no language is lost for being rare.
+
+def _held() -> Column:
+    return F.pmod(F.xxhash64("doc_id", F.lit("held")), F.lit(HELD)) == 0
+
+
+def trusted(docs: DataFrame, judged: DataFrame, sample: int | None = None) -> DataFrame:
+    """All rows (doc_id, text, lang) that are labelled quality 1 and not toxic, or with sample at most so many.
+
+    Each language has an equal share of a sample, drawn by a hash; what small ones leave goes to the others, so that no language is lost for being rare.
     """
-    good = judged.groupBy("doc_id").agg(F.min("quality").alias("__quality"), F.max(F.coalesce("toxic", F.lit(0))).alias("__toxic")).where("__quality = 1 and __toxic = 0").select(F.col("doc_id").alias("__of"))
+    good = _good(judged).select(F.col("doc_id").alias("__of"))
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
-    rows = docs.where(F.col("text").isNotNull() & (F.octet_length("text") <= sample_bytes)).select("doc_id", "text", lang.cast("string").alias("lang"))
+    rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text", lang.cast("string").alias("lang"))
+    if sample is None:
+        kept = F.min(F.struct("text", "lang")).alias("kept")
+        return rows.join(good, F.col("doc_id") == F.col("__of"), "left_semi").groupBy("doc_id").agg(kept).select("doc_id", "kept.text", "kept.lang")
     # ids are drawn first, so that texts are not sorted
     ids = written(rows.select("doc_id", "lang").join(good, F.col("doc_id") == F.col("__of"), "left_semi").groupBy("doc_id").agg(F.min("lang").alias("lang")), "trusted_ids")
     # at most as many languages as documents are wanted, the largest first
@@ -124,11 +135,11 @@ def _of_count(c: str) -> list[Column]:
     return [F.sum(F.when(F.col(c) == k, 1).otherwise(0)) for k in (1, 2, 3, 4)]
 
 
-def train(docs: DataFrame, judged: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
-    """A model from a bounded sample of trusted rows. Counts of bigrams, of contexts and of continuations are made and joined in
-    shards; what is collected grows with the sample's bound alone. Without trusted rows the model rejects nothing."""
-    rows = written(trusted(docs, judged, sample, sample_bytes), "trusted")
-    held = F.pmod(F.xxhash64("doc_id", F.lit("held")), F.lit(HELD)) == 0
+def train(docs: DataFrame, judged: DataFrame, sample: int | None = None) -> Model:
+    """The model in one piece, of all trusted rows, or of at most sample of them. It is collected, so this is for small corpora;
+    keep_good and op9 use scored() instead. Without trusted rows the model rejects nothing."""
+    rows = written(trusted(docs, judged, sample), "trusted")
+    held = _held()
     pairs = written(_counts(rows.where(~held)), "bigrams")
     n = pairs.agg(*_of_count("c"), F.count("*")).first()
     if not n[4]:
@@ -209,20 +220,74 @@ def measured(docs: DataFrame, model: Model, to: str = "quality") -> DataFrame:
     return docs.withColumn(to, measure(F.col("text"), lang))
 
 
+_SEEN = ("__n", "__mean", "__square", "__sets")
+
+
+def _thresholds_of(seen: DataFrame) -> dict:
+    """What _thresholds gives, from any number of rows (lang, n, mean, square): exact quantiles, by aggregation; a row for each language is collected."""
+    seen = written(seen.select("lang", "n", "mean", "square"), "seen")
+    twice = seen.where("lang is not null").withColumn("all", F.lit(False)).unionByName(seen.withColumn("lang", F.lit(None).cast("string")).withColumn("all", F.lit(True)))
+    spark, key = seen.sparkSession, ["all", "lang"]
+
+    def joined(rows: list[tuple], names: str) -> DataFrame:
+        more = spark.createDataFrame(rows, f"of_all boolean, of_lang string, {names}")
+        return twice.join(F.broadcast(more), (F.col("all") == F.col("of_all")) & F.col("lang").eqNullSafe(F.col("of_lang")))
+
+    half = lambda c: F.percentile(c, F.lit(0.5))
+    tokens = F.sum("n")
+    sums = twice.groupBy(*key).agg(F.count("*").alias("docs"), (F.sum(F.col("square") * F.col("n")) / tokens - F.pow(F.sum(F.col("mean") * F.col("n")) / tokens, F.lit(2.0))).alias("within"), half("n").alias("least")).collect()
+    if not sums:
+        return {}
+    within = {r["lang"]: max(r["within"], 1e-6) for r in sums}
+    middles = joined([(r["all"], r["lang"], float(r["least"])) for r in sums], "least double").where("n >= least").groupBy("lang").agg(half("mean").alias("v")).collect()
+    middle = {r["lang"]: r["v"] for r in middles}
+    apart = joined([(r["all"], r["lang"], middle[r["lang"]], within[r["lang"]]) for r in sums], "middle double, within double")
+    apart = apart.groupBy("lang").agg(half(F.pow(F.col("mean") - F.col("middle"), F.lit(2.0)) / 0.455 - F.col("within") / F.col("n")).alias("v")).collect()
+    between = {r["lang"]: max(r["v"], 1e-4) for r in apart}
+    own = {r["lang"]: r["docs"] / (r["docs"] + PRIOR) for r in sums}
+    spread = {k: (middle[k], within[k], between[k]) for k in within}
+    told = {k: tuple(own[k] * x + (1 - own[k]) * y for x, y in zip(v, spread[None], strict=True)) for k, v in spread.items()}
+    z = (F.col("mean") - F.col("middle")) / F.sqrt(F.col("within") / F.col("n") + F.col("between"))
+    high = joined([(r["all"], r["lang"], *told[r["lang"]]) for r in sums], "middle double, within double, between double").groupBy("lang").agg(F.percentile(z, F.lit(QUANTILE)).alias("v")).collect()
+    high = {r["lang"]: r["v"] for r in high}
+    whole = own[None] * high[None] + (1 - own[None]) * NORMAL
+    return {k: (*told[k], whole if k is None else own[k] * high[k] + (1 - own[k]) * whole) for k in told}
+
+
+def scored(docs: DataFrame, judged: DataFrame, to: str = "quality") -> DataFrame:
+    """docs and a struct as measured() gives it, in a column named to, under the model of all trusted texts, whole, which is counted and read in shards.
+
+    Null text counts as empty, a null or unknown lang takes the threshold of all; very long texts are measured whole; ties and repeated rows are measured
+    alike; other columns pass through; without trusted rows nothing is rejected; an empty table gives no rows.
+    """
+    names = free(docs, *_SEEN)
+    n, mean, square, sets = map(F.col, names)
+    out = written(kneser_ney.measured(docs, _good(judged), _held(), _discounts, names), "measured")
+    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+    by_lang = _thresholds_of(out.where(sets).select(lang.alias("lang"), n.alias("n"), mean.alias("mean"), square.alias("square")))
+    if not by_lang:
+        of = F.struct(n.alias("n"), mean.alias("mean"), square.alias("square"), F.lit(0.0).alias("excess"), F.lit(float("inf")).alias("threshold"))
+        return out.withColumn(to, of).drop(*names)
+    it = free(out, "__of", "__middle", "__within", "__between", "__threshold")
+    own = [(k, *map(float, v)) for k, v in by_lang.items() if k is not None]
+    rows = docs.sparkSession.createDataFrame(own, ", ".join(f"`{c}` {'string' if c == it[0] else 'double'}" for c in it))
+    both = out.join(F.broadcast(rows), lang == F.col(it[0]), "left")
+    middle, within, between, threshold = (F.coalesce(F.col(c), F.lit(float(v))) for c, v in zip(it[1:], by_lang[None], strict=True))
+    of = F.struct(n.alias("n"), mean.alias("mean"), square.alias("square"), ((mean - middle) / F.sqrt(within / n + between)).alias("excess"), threshold.alias("threshold"))
+    return both.withColumn(to, of).drop(*names, *it)
+
+
 def keep_good(docs: DataFrame, judged: DataFrame) -> DataFrame:
     """The rows of docs whose excess perplexity is within their language's threshold; all columns as they were, whatever their names.
 
     Very long texts are measured whole. Null and empty texts have nothing against them and stay; repeated rows are treated alike; no labels, nothing rejected;
     an empty table gives no rows.
     """
-    model = train(docs, judged)
     (q,) = free(docs, "measured")
-    return measured(docs, model, q).where(F.col(f"{q}.excess") <= F.col(f"{q}.threshold")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return scored(docs, judged, q).where(F.col(f"{q}.excess") <= F.col(f"{q}.threshold")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op9_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
-    model = train(docs, labels(spark, sf_dir))
-    out = measured(docs, model)
+    out = scored(documents(spark, sf_dir).select("doc_id", "text", "lang"), labels(spark, sf_dir))
     q = F.col("quality")
     return out.select("doc_id", "lang", q["n"].alias("n_tokens"), F.pow(F.lit(10.0), q["mean"]).alias("perplexity"), q["excess"].alias("excess"), q["threshold"].alias("threshold"), (q["excess"] <= q["threshold"]).alias("keep"))
