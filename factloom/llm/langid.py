@@ -14,13 +14,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factloom.llm.common import documents, give_back, id_crc, small_batches
+from factloom.llm.common import documents, give_back, id_crc, small_batches, written
 
 BUCKETS, DIM = 1 << 16, 16
 SUBWORDS = (1, 2, 3, 4)
-#: Bounds of the sample that the model is fitted on: documents in all, and bytes of a document.
-SAMPLE, SAMPLE_BYTES = 4_000, 1 << 16
+#: Documents of a group, in the mean; each group trains by itself from the same start, and the model is the mean of all.
+GROUP = 4_000
+#: One labelled document in HELD, of languages with as many at least, sets temperature and threshold instead of training.
+HELD = 5
+#: Buckets of a piece of a model, and groups that are added up at a time.
+PIECE, ADDED = 1 << 12, 64
+TEMPERATURES = np.geomspace(0.05, 5, 60)
 EPOCHS, RATE = 6, 0.4
+#: A group of few documents reads them more often, until it has made so many steps.
+STEPS = 4_000
 #: Share of the calibration fold's right answers that rejection may cost; and the probability above which none is rejected:
 #: there an answer is more likely right than wrong.
 LOST, SURE = 0.002, 0.5
@@ -118,6 +125,27 @@ class Model:
         return self.langs[k], float(p[k])
 
 
+def _sgd(train: list, classes: int, rng: np.random.Generator, epochs: int) -> np.ndarray:
+    """Logits of all buckets, from (shares, class) pairs."""
+    e = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
+    w = np.zeros((DIM, classes), np.float32)
+    steps, step = epochs * len(train), 0
+    for _ in range(epochs):
+        for i in rng.permutation(len(train)):
+            (at, share), y = train[i]
+            h = share @ e[at]
+            z = h @ w
+            p = np.exp(z - z.max())
+            p /= p.sum()
+            p[y] -= 1
+            lr = np.float32(RATE * (1 - step / steps))
+            back = w @ p
+            w -= lr * np.outer(h, p)
+            e[at] -= (lr * len(at)) ** np.float32(0.5) * share[:, None] * back[None, :]
+            step += 1
+    return (e @ w).astype(np.float32)
+
+
 def fit(rows: list[tuple[str, str]], seed: int = 7) -> Model:
     """A model from (text, lang) pairs and noise made of them, as much as of a language: four fifths train it by SGD, the rest set temperature and threshold."""
     langs = sorted({y for _, y in rows})
@@ -133,23 +161,7 @@ def fit(rows: list[tuple[str, str]], seed: int = 7) -> Model:
     del kept, seen
     cut = max(1, len(data) * 4 // 5)
     train, held = data[:cut], data[cut:] or data
-    e = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
-    w = np.zeros((DIM, len(langs) + 1), np.float32)
-    steps, step = EPOCHS * len(train), 0
-    for _ in range(EPOCHS):
-        for i in rng.permutation(len(train)):
-            (at, share), y = train[i]
-            h = share @ e[at]
-            z = h @ w
-            p = np.exp(z - z.max())
-            p /= p.sum()
-            p[y] -= 1
-            lr = np.float32(RATE * (1 - step / steps))
-            back = w @ p
-            w -= lr * np.outer(h, p)
-            e[at] -= (lr * len(at)) ** np.float32(0.5) * share[:, None] * back[None, :]
-            step += 1
-    logits = (e @ w).astype(np.float32)
+    logits = _sgd(train, len(langs) + 1, rng, EPOCHS)
     z = np.array([share.astype(np.float64) @ logits[at].astype(np.float64) for (at, share), _ in held])
     y = np.array([k for _, k in held])
 
@@ -158,7 +170,7 @@ def fit(rows: list[tuple[str, str]], seed: int = 7) -> Model:
         s = s - s.max(axis=1, keepdims=True)
         return float((np.log(np.exp(s).sum(axis=1)) - s[np.arange(len(y)), y]).mean())
 
-    temperature = min(np.geomspace(0.05, 5, 60), key=loss)
+    temperature = min(TEMPERATURES, key=loss)
     s = z / temperature
     p = np.exp(s - s.max(axis=1, keepdims=True))
     p /= p.sum(axis=1, keepdims=True)
@@ -169,24 +181,119 @@ def fit(rows: list[tuple[str, str]], seed: int = 7) -> Model:
     return Model(langs, logits, float(temperature), threshold, noise)
 
 
-def train(labelled: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
-    """A model from (doc_id, text, lang): from at most sample rows, about as many of each language, by a hash of text and id; rows without
-    text or lang, and texts of more than sample_bytes, are not among them.
+_PART = T.StructType([T.StructField("piece", T.LongType()), T.StructField("part", T.LongType()), T.StructField("n", T.LongType()), T.StructField("logits", T.BinaryType())])
+
+
+def _group_model(langs: list[str]):
+    """Trains one group's documents, and noise made of them as much as of a language, and gives its logits in pieces."""
+    number = {y: k for k, y in enumerate(langs)}
+
+    def fitted(pdf: pd.DataFrame) -> pd.DataFrame:
+        # the order is that of the group's rows by content
+        pdf = pdf.sort_values(["lot", "text", "lang"], kind="stable")
+        group = int(pdf["group"].iloc[0])
+        rng = np.random.default_rng([7, group])
+        kept = [(letters(x), number[y]) for x, y in zip(pdf["text"], pdf["lang"], strict=True) if has_letter(x)]
+        if not kept:
+            return pd.DataFrame({f.name: [] for f in _PART})
+        data = [(_shares(b), y) for i, (c, k) in enumerate(kept) for b, y in ((c, k), *([(noise_like(c, rng), len(langs))] if i % len(langs) == 0 else ()))]
+        # all groups start alike, so that their means are means of like things
+        logits = _sgd(data, len(langs) + 1, np.random.default_rng(7), max(EPOCHS, -(-STEPS // len(data))))
+        return pd.DataFrame({"piece": np.arange(BUCKETS // PIECE), "part": group, "n": 1, "logits": [logits[i : i + PIECE].tobytes() for i in range(0, BUCKETS, PIECE)]})
+
+    return fitted
+
+
+def _added(pdf: pd.DataFrame) -> pd.DataFrame:
+    total = sum(np.frombuffer(x, np.float32 if n == 1 else np.float64).astype(np.float64) for n, x in zip(pdf.sort_values("part")["n"], pdf.sort_values("part")["logits"], strict=True))
+    return pd.DataFrame({"piece": [pdf["piece"].iloc[0]], "part": [pdf["part"].iloc[0] // ADDED], "n": [pdf["n"].sum()], "logits": [np.asarray(total, np.float32 if pdf["n"].sum() == 1 else np.float64).tobytes()]})
+
+
+_SEEN = T.StructType([T.StructField("y", T.LongType()), T.StructField("z", T.ArrayType(T.DoubleType()))])
 
-    Rows that tie in the hash are taken by text; repeated rows count as often as they are drawn; empty texts and those without a letter teach nothing; an empty
-    table, or one without languages, gives a model that answers UNKNOWN. Other columns are not read.
+
+def _logits(shared, langs: list[str]):
+    number = {y: k for k, y in enumerate(langs)}
+
+    def seen(batches):
+        model = shared.value
+        for pdf in batches:
+            rows = []
+            for x, lang, lot in zip(pdf["text"], pdf["lang"], pdf["lot"], strict=True):
+                if has_letter(x):
+                    b = letters(x)
+                    texts = [(b, number[lang]), *([(noise_like(b, np.random.default_rng(lot & (1 << 63) - 1)), len(langs))] if lot // HELD % len(langs) == 0 else [])]
+                    for c, y in texts:
+                        at, share = _shares(c)
+                        rows.append((y, (share.astype(np.float64) @ model[at].astype(np.float64)).tolist()))
+            yield pd.DataFrame(rows, columns=["y", "z"])
+
+    return seen
+
+
+def _losses(batches):
+    """The summed loss at each of TEMPERATURES."""
+    for pdf in batches:
+        if len(pdf):
+            z, y = np.stack(pdf["z"].to_numpy()), pdf["y"].to_numpy()
+            for k, t in enumerate(TEMPERATURES):
+                s = z / t
+                s = s - s.max(axis=1, keepdims=True)
+                yield pd.DataFrame({"k": [k], "loss": [float((np.log(np.exp(s).sum(axis=1)) - s[np.arange(len(y)), y]).sum())]})
+
+
+def train(labelled: DataFrame, group: int = GROUP) -> Model:
+    """A model from all rows of (doc_id, text, lang) that have both, whole texts: groups of about as many documents as told train side by side by SGD, and the model is their mean.
+
+    A language that is rare has its documents in several groups, so that half an equal share of each is its own where it has so many. One in HELD documents is kept
+    from training; temperature and threshold come from all of these, by aggregation. What is collected is the model and a row for each language.
+
+    Repeated rows count as often; empty texts and those without a letter teach nothing; an empty table, or one without languages, gives a model that answers UNKNOWN.
+    Other columns are not read.
     """
-    rows = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.octet_length("text") <= sample_bytes)).select("doc_id", "text", "lang")
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(sample).collect()
-    if not counts:
+    small_batches(labelled.sparkSession)
+    rows = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("text", "lang", F.xxhash64("doc_id", "text").alias("lot"))
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    langs = sorted(counts)
+    if not langs:
         return fit([])
-    each = sample / len(counts)
-    share = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], each / r["n"])])
-    lot = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
-    drawn = rows.withColumn("lot", lot).where(F.col("lot") < F.element_at(share, F.col("lang"))).orderBy("lot", "text").limit(sample)
-    model = fit([(r["text"], r["lang"]) for r in drawn.select("text", "lang").collect()])
+    spark = labelled.sparkSession
+    several = [k for k in langs if counts[k] >= HELD]
+    held = (F.pmod("lot", F.lit(HELD)) == 0) & F.col("lang").isin(several)
+    groups = -(-sum(counts.values()) // group)
+    copies = F.create_map(*[F.lit(v) for k in langs for v in (k, min(groups, max(1, -(-groups * group // (2 * len(langs) * counts[k])))))])
+    times = F.element_at(copies, F.col("lang"))
+    base = F.pmod(F.xxhash64("lot", F.lit("group")), F.lit(groups))
+    places = F.transform(F.sequence(F.lit(0), times - 1), lambda j: F.pmod(base + F.floor(j * groups / times), F.lit(groups)))
+    parts = rows.where(~held).withColumn("group", F.explode(places)).groupBy("group").applyInPandas(_group_model(langs), _PART)
+    parts = written(parts, "parts")
+    n = parts.where("piece = 0").count()
+    if not n:
+        return fit([])
+    total, left = parts, groups
+    while True:
+        total, left = total.groupBy("piece", F.floor(F.col("part") / ADDED)).applyInPandas(_added, _PART), -(-left // ADDED)
+        if left <= 1:
+            break
+    pieces = {r["piece"]: np.frombuffer(r["logits"], np.float32 if r["n"] == 1 else np.float64) for r in total.collect()}
+    logits = (np.concatenate([pieces[k] for k in sorted(pieces)]) / n).astype(np.float32).reshape(BUCKETS, len(langs) + 1)
+    shared = spark.sparkContext.broadcast(logits)
+    judge = lambda of: written(of.mapInPandas(_logits(shared, langs), _SEEN), "seen")
+    seen = judge(rows.where(held))
+    if seen.isEmpty():
+        seen = judge(rows)
+    loss = {r["k"]: r["loss"] for r in seen.mapInPandas(_losses, "k long, loss double").groupBy("k").agg(F.sum("loss").alias("loss")).collect()}
+    temperature = float(TEMPERATURES[min(sorted(loss), key=loss.get)])
+    top = F.array_max("z")
+    best = F.array_position("z", top) - 1
+    p = 1 / F.aggregate("z", F.lit(0.0), lambda s, x: s + F.exp((x - top) / temperature))
+    told = seen.select("y", best.alias("best"), p.alias("p"))
+    wrong = told.agg(F.count("*").alias("n"), F.sum((F.col("best") != F.col("y")).cast("long")).alias("wrong")).first()
+    noise = (wrong["wrong"] + 1) / (wrong["n"] + 2)
+    low = told.where((F.col("best") == F.col("y")) & (F.col("y") < len(langs))).agg(F.percentile("p", F.lit(LOST))).first()[0]
+    threshold = 0.0 if low is None else min((1 - noise) * low + noise / (len(langs) + 1), SURE)
     give_back()
-    return model
+    return Model(langs, logits, temperature, threshold, noise)
 
 
 def identified(docs: DataFrame, model: Model, to: str = "lang_id") -> DataFrame:
