@@ -106,12 +106,16 @@ class Model:
     threshold: float
     noise: float = 0.0
 
+    def __post_init__(self):
+        #: logits by class, each column's in one piece
+        self.columns = list(np.ascontiguousarray(self.logits.T))
+
     def scores(self, text: str) -> np.ndarray:
         at = subwords(text)
         total = np.zeros(self.logits.shape[1], np.float64)
         for i in range(0, len(at), 1 << 18):
-            part = at[i : i + (1 << 18)]
-            total += np.ones(len(part), np.float32) @ self.logits[part]
+            part = at[i : i + (1 << 18)].astype(np.intp)
+            total += [column.take(part).sum(dtype=np.float64) for column in self.columns]
         z = total / len(at) / self.temperature
         p = np.exp(z - z.max())
         return (1 - self.noise) * p / p.sum() + self.noise / len(p)
@@ -133,7 +137,10 @@ def _sgd(train: list, classes: int, rng: np.random.Generator, epochs: int) -> np
     for _ in range(epochs):
         for i in rng.permutation(len(train)):
             (at, share), y = train[i]
-            h = share @ e[at]
+            at = at.astype(np.intp)
+            # the rows are read once; buckets of a text differ, so they can be written back whole
+            rows = e.take(at, 0)
+            h = share @ rows
             z = h @ w
             p = np.exp(z - z.max())
             p /= p.sum()
@@ -141,7 +148,8 @@ def _sgd(train: list, classes: int, rng: np.random.Generator, epochs: int) -> np
             lr = np.float32(RATE * (1 - step / steps))
             back = w @ p
             w -= lr * np.outer(h, p)
-            e[at] -= (lr * len(at)) ** np.float32(0.5) * share[:, None] * back[None, :]
+            rows -= np.multiply.outer((lr * len(at)) ** np.float32(0.5) * share, back)
+            e[at] = rows
             step += 1
     return (e @ w).astype(np.float32)
 
