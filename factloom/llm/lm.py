@@ -8,15 +8,16 @@ h' the context that h fails to, and p(w) at the root the additive unigram distri
 
 A text is read once from left to right: the state is carried from word to word, and where it has no arc for a word its failure arcs are followed.
 
-No task holds the whole model. Documents are dealt into batches; each batch sends its distinct n-grams, once each, to shards by context;
-a shard adds up all batches' counts and sends each batch the sums of just the n-grams that it asked for, in the order of asking;
-the batch builds the part of the automaton that its texts can reach and runs them through it.
+No task holds the whole model. Rows that are read one after another make a batch; each batch sends its distinct n-grams, once each, to shards by their first word, as a tree:
+words, under them the words that follow, and under those the third ones, so that a pair is named once, as an n-gram and as a context. A shard adds up all batches' counts and
+sends each batch the sums of just the n-grams that it asked for, in the order of asking; the batch, read again, builds the part of the automaton that its texts can reach and runs them through it.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -27,7 +28,7 @@ from factloom.llm.common import documents, id_crc, small_batches, written
 
 #: Bytes of text of a batch of documents, in the mean; a shard has those of SHARE batches.
 BATCH_BYTES, SHARE = 8 << 20, 2
-#: A context that makes up one in HOT training tokens or more has its followers spread over SLICES shards.
+#: A context that makes up one in HOT training tokens or more has what follows it spread over SLICES shards.
 HOT, SLICES = 2_000, 16
 #: Tokens of a block in which words and pairs are first counted.
 BLOCK = 1 << 20
@@ -129,6 +130,37 @@ class Local:
             yield s, every[c], of_slice[c] == 0, by[a:b]
 
 
+    def tree(self, shards: int, hot: np.ndarray):
+        """For each shard that is asked: (shard, words, at home or not, pairs, own or not, n-grams of three), as indices in this batch's order; the pairs of a word, and what follows a pair, come in its order.
+
+        A hot word's pairs are spread by their second word, and it is named in all slices; a hot pair's followers by the third, and it is named in all slices, under its word, without a count.
+        """
+        slices, n = min(SLICES, shards), self.n
+        cut = np.searchsorted(self.grams, n * n)
+        u, w = self.grams[:cut] // n, self.grams[:cut] % n
+        three = self.grams[cut:]
+        slice_of = ((self.hash >> np.uint64(32)) % np.uint64(slices)).astype(np.int64)
+        home, is_hot = (self.hash % np.uint64(shards)).astype(np.int64), np.isin(self.contexts, hot)
+        at_two = (home[u] + np.where(is_hot[u], slice_of[w], 0)) % shards
+        of = three // n
+        parent = self.two[of - n]
+        at_three = (at_two[parent] + np.where(is_hot[of], slice_of[three % n], 0)) % shards
+        spread = lambda at, k: (np.repeat(at, slices - 1) + np.tile(np.arange(1, slices), k)) % shards
+        hot_two, hot_one = self.two[is_hot[n:]], np.nonzero(is_hot[:n])[0]
+        copies, at_copies = np.repeat(hot_two, slices - 1), spread(at_two[hot_two], len(hot_two))
+        pairs, pair_at, own = np.concatenate((np.arange(cut), copies)), np.concatenate((at_two, at_copies)), np.arange(cut + len(copies)) < cut
+        words = np.unique(np.concatenate((home * n + np.arange(n), spread(home[hot_one], len(hot_one)) * n + np.repeat(hot_one, slices - 1), at_copies * n + u[copies])))
+        word_at, words = words // n, words % n
+        by_two, by_three = np.argsort(pair_at * cut + pairs, kind="stable"), np.argsort(at_three, kind="stable")
+        pairs, pair_at, own, at_three = pairs[by_two], pair_at[by_two], own[by_two], at_three[by_three]
+        # only shards that hold a word of the batch, however many there are
+        found = np.unique(word_at)
+        edges = [np.stack((np.searchsorted(x, found), np.searchsorted(x, found, "right"))).T.tolist() for x in (word_at, pair_at, at_three)]
+        for s, (a, b), (c, d), (e, f) in zip(found.tolist(), *edges, strict=True):
+            x, y, z = words[a:b], pairs[c:d], by_three[e:f]
+            yield s, x, home[x] == s, y, own[c:d], z, np.bincount(np.searchsorted(x, u[y]), minlength=len(x)), np.bincount(np.searchsorted(y, parent[z]), minlength=len(y))
+
+
 _PACK = zstandard.ZstdCompressor(level=1)
 
 
@@ -155,6 +187,105 @@ def _rows(rows: list[tuple], schema: pa.Schema) -> pa.Table:
     return pa.table([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
 
+_TREE = ("ctx", "counts", "held", "followers", "pair_counts", "pair_held", "thirds", "third_counts")
+_TREE_ASK = T.StructType([T.StructField("batch", T.LongType()), T.StructField("shard", T.LongType()), *(T.StructField(n, T.BinaryType()) for n in _TREE)])
+_TREE_ASK_ARROW = pa.schema([("batch", pa.int64()), ("shard", pa.int64()), *((n, pa.binary()) for n in _TREE)])
+_TREE_SUM = ("counts", "types", "pair_counts", "pair_types", "third_counts")
+_TREE_SUMS = T.StructType([T.StructField("batch", T.LongType()), T.StructField("shard", T.LongType()), *(T.StructField(n, T.BinaryType()) for n in _TREE_SUM), T.StructField("n", T.LongType()), T.StructField("v", T.LongType())])
+_TREE_SUMS_ARROW = pa.schema([("batch", pa.int64()), ("shard", pa.int64()), *((n, pa.binary()) for n in _TREE_SUM), ("n", pa.int64()), ("v", pa.int64())])
+_BLOBS = T.StructType([T.StructField("batch", T.LongType()), T.StructField("rows", T.BinaryType())])
+
+
+def _cut(batches, batch_bytes: int):
+    """The rows of a partition in tables of about batch_bytes of text."""
+    held, size = [], 0
+    for b in batches:
+        start = 0
+        for i, x in enumerate(pc.fill_null(pc.binary_length(b.column("text")), 0).to_pylist()):
+            size += x + 1
+            if size >= batch_bytes:
+                yield pa.Table.from_batches([*held, b.slice(start, i + 1 - start)])
+                held, size, start = [], 0, i + 1
+        if start < b.num_rows:
+            held.append(b.slice(start))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _named(table: pa.Table) -> int:
+    """A name for a batch, by its rows and their order: rows that are the same are asked and answered alike."""
+    h = xxhash.xxh64()
+    for row in zip(*(table.column(n).to_pylist() for n in ("doc_id", "text", "learned")), strict=True):
+        h.update(repr(row).encode("utf-8", "surrogatepass"))
+    return h.intdigest() - (1 << 63)
+
+
+def _asking_trees(shards: int, shared, batch_bytes: int):
+    def ask(batches):
+        hot, often = shared.value
+        for table in _cut(batches, batch_bytes):
+            batch, local, rows = _named(table), _local(table, often), []
+            cut, follower = np.searchsorted(local.grams, local.n**2), lambda grams, h=local.hash, n=local.n: _forty(h[grams % n]).tobytes()
+            for shard, words, home, pairs, own, thirds, held, pair_held in local.tree(shards, hot):
+                two, three = local.grams[pairs], cut + thirds
+                packed = (np.where(home, local.count[words], 0), held.astype(np.uint32), np.where(own, local.gram_count[pairs], 0), pair_held.astype(np.uint32), local.gram_count[three])
+                counts, held, pair_counts, pair_held, third_counts = map(_pack, packed)
+                rows.append((batch, shard, local.hash[words].tobytes(), counts, held, follower(two), pair_counts, pair_held, follower(local.grams[three]), third_counts))
+            yield from _rows(rows, _TREE_ASK_ARROW).to_batches()
+
+    return ask
+
+
+def _under(owner: np.ndarray, held: np.ndarray, followers: list[bytes], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What followers (five bytes each, held of them under each owner in turn) sum up to: the owner of each different one, its sum, and which one each is."""
+    f = []
+    for x in followers:
+        wide = np.zeros((len(x) // 5, 8), np.uint8)
+        wide[:, :5] = np.frombuffer(x, np.uint8).reshape(5, -1).T
+        f.append(wide.view(np.uint64).ravel())
+    if owner.max(initial=0) >= 1 << 24:
+        raise ValueError("too many contexts in a shard: make batches smaller")
+    found, at = np.unique(np.repeat(owner, held).astype(np.uint64) << np.uint64(40) | np.concatenate(f), return_inverse=True)
+    return (found >> np.uint64(40)).astype(np.int64), np.bincount(at, counts, len(found)).astype(np.int64), at
+
+
+def _summing_trees(table: pa.Table) -> pa.Table:
+    """Adds up a shard's trees over all batches and answers each batch in the order of its asking."""
+    table = table.take(pa.array(np.argsort(table.column("batch").to_numpy(), kind="stable")))
+    batches, shard = table.column("batch").to_pylist(), table.column("shard")[0].as_py()
+    cols = {n: table.column(n).to_pylist() for n in _TREE}
+    ctx = [np.frombuffer(x, np.uint64) for x in cols["ctx"]]
+    held, pair_held = ([_unpack(x, np.uint32) for x in cols[n]] for n in ("held", "pair_held"))
+    summed = lambda n: np.concatenate([_unpack(x, np.int64) for x in cols[n]])
+    contexts, c_at = np.unique(np.concatenate(ctx), return_inverse=True)
+    counts = np.bincount(c_at, summed("counts"), len(contexts)).astype(np.int64)
+    owner, pairs, p_at = _under(c_at, np.concatenate(held), cols["followers"], summed("pair_counts"))
+    types = np.bincount(owner[pairs > 0], minlength=len(contexts))
+    owner, thirds, t_at = _under(p_at, np.concatenate(pair_held), cols["thirds"], summed("third_counts"))
+    pair_types = np.bincount(owner[thirds > 0], minlength=len(pairs))
+    words = counts[contexts != np.uint64(xxhash.xxh64_intdigest(START))]
+    rows, c, p, t = [], 0, 0, 0
+    for batch, x, y, z in zip(batches, ctx, held, pair_held, strict=True):
+        a, b, d = c_at[c : c + len(x)], p_at[p : p + len(z)], t_at[t : t + int(z.sum())]
+        c, p, t = c + len(a), p + len(b), t + len(d)
+        rows.append((batch, shard, *map(_pack, (counts[a], types[a], pairs[b], pair_types[b], thirds[d])), 0, 0))
+    rows[0] = (*rows[0][:7], int(words.sum()), int((words > 0).sum()))
+    return _rows(rows, _TREE_SUMS_ARROW)
+
+
+def _blobs(batch_bytes: int):
+    """Batches of rows, each as one row, compressed."""
+
+    def put(batches):
+        for table in _cut(batches, batch_bytes):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as out:
+                out.write_table(table.combine_chunks())
+            yield pa.record_batch([pa.array([_named(table)]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["batch", "rows"])
+
+    return put
+
+
 def _local(table: pa.Table, often: np.ndarray | None, lower: bool = True) -> Local:
     return Local(table.column("text").to_pylist(), table.column("learned").to_numpy(), often, lower)
 
@@ -284,19 +415,29 @@ _SCORES = T.StructType([T.StructField("doc_id", T.LongType()), *(T.StructField(n
 def _scoring(shards: int, shared, least: int, total: int, distinct: int):
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
-    def score(table: pa.Table, sums: pa.Table) -> pa.Table:
-        if not table.num_rows:
-            return schema.empty_table()
+    def score(blobs: pa.Table, sums: pa.Table) -> pa.Table:
+        answers = {r["shard"]: r for r in sums.to_pylist()}
+        if blobs.num_rows and not answers:
+            raise ValueError("the documents were read in another order the second time: write them first")
+        return pa.concat_tables([schema.empty_table(), *(score_one(pa.ipc.open_stream(x).read_all(), answers) for x in blobs.column("rows").to_pylist())])
+
+    def score_one(table: pa.Table, answers: dict) -> pa.Table:
         hot, often = shared.value
         local = _local(table, often)
-        answers = {r["shard"]: r for r in sums.to_pylist()}
         count, types, gram_count = np.zeros(local.n, np.int64), np.zeros(len(local.contexts), np.int64), np.zeros(len(local.grams), np.int64)
-        for shard, ctx, home, grams in local.asked(shards, hot):
+        cut = np.searchsorted(local.grams, local.n**2)
+        # pairs that are no contexts have no followers to be told of
+        number = np.full(cut, len(local.contexts))
+        number[local.two] = local.n + np.arange(len(local.two))
+        types = np.append(types, 0)
+        for shard, words, home, pairs, own, thirds, *_ in local.tree(shards, hot):
             r = answers[shard]
-            mine = home & (ctx < local.n)
-            count[ctx[mine]] = _unpack(r["counts"], np.int64)[mine]
-            types[ctx] += _unpack(r["types"], np.int64)
-            gram_count[grams] = _unpack(r["pair_counts"], np.int64)
+            count[words[home]] = _unpack(r["counts"], np.int64)[home]
+            types[words] += _unpack(r["types"], np.int64)
+            gram_count[pairs[own]] = _unpack(r["pair_counts"], np.int64)[own]
+            types[number[pairs]] += _unpack(r["pair_types"], np.int64)
+            gram_count[cut + thirds] = _unpack(r["third_counts"], np.int64)
+        types = types[:-1]
         a, start = automaton(local, least, total, distinct, count, types, gram_count)
         docs = len(local.lengths)
         known = np.bincount(local.doc, count[local.w] > 0, docs).astype(np.int64)
@@ -320,7 +461,10 @@ def _frequent(batches, pairs: int, block_tokens: int, lower: bool = True):
         tokens += len(seq)
         h, n = _hashes(ids), len(ids)
         one = np.bincount(seq, minlength=n)
-        two, c = np.unique(seq[:-1] * n + seq[1:], return_counts=True)
+        # both words of a frequent pair are as frequent as it
+        both = (one * pairs * 2 >= len(seq))[seq]
+        two = seq[:-1] * n + seq[1:]
+        two, c = np.unique(two[both[:-1] & both[1:]], return_counts=True)
         some, many = (one * HOT * 2 >= len(seq)) & (np.arange(n) != 1), (c * pairs * 2 >= len(seq)) & (two // n != 1) & (two % n != 1)
         hashes = np.concatenate((h[some], _pair_hash(h[two[many] // n], h[two[many] % n])))
         counts = np.concatenate((one[some], c[many]))
@@ -346,7 +490,7 @@ def scored(docs: DataFrame, batch_bytes: int = BATCH_BYTES, pairs: int | None =
 
     Every pair of words is a state; with pairs only those that make up one in so many training tokens (words, starts and ends) or more.
     The model learns from the rows where learned is true (null: false) and scores all rows; a null text counts as empty, which is one
-    token, the end; very long texts are read whole. base_score is the additive unigram score, score the automaton's, both log10. Repeated rows are counted and
+    token, the end; very long texts are read whole. docs is read again and has to come in the same order then, as stored tables do; if it does not, the job ends with an error. base_score is the additive unigram score, score the automaton's, both log10. Repeated rows are counted and
     scored as often, ties alike; a table without learned rows gives scores of an empty model; an empty table gives no rows. Other columns are not read.
     """
     small_batches(docs.sparkSession)
@@ -357,16 +501,14 @@ def scored(docs: DataFrame, batch_bytes: int = BATCH_BYTES, pairs: int | None =
     whole = frequent.where("hash is null").first()
     tokens, size = (whole["n"], whole["size"]) if whole else (0, 0)
     shards = max(1, -(-size // (batch_bytes * SHARE)))
-    parts = max(1, -(-size // batch_bytes))
     # what is frequent somewhere may be so in all; at most 2 * rare and 2 * HOT of the tokens' hashes pass
     near = frequent.where(F.col("hash").isNotNull() & (F.col("n") * 2 * rare >= tokens)).select("hash", "n").toArrow()
     often, held = near.column("hash").to_numpy().astype(np.int64).view(np.uint64), near.column("n").to_numpy()
     shared = docs.sparkSession.sparkContext.broadcast((often[held * 2 * HOT >= tokens], None if pairs is None else often))
-    dealt = docs.withColumn("batch", F.pmod(F.xxhash64("doc_id", F.crc32(F.coalesce("text", F.lit("")).cast("binary"))), F.lit(parts)))
-    asked = dealt.groupBy("batch").applyInArrow(_asking(shards, shared), _ASK)
-    sums = written(asked.groupBy("shard").applyInArrow(_summing, _SUMS), "sums")
+    sums = written(docs.mapInArrow(_asking_trees(shards, shared, batch_bytes), _TREE_ASK).groupBy("shard").applyInArrow(_summing_trees, _TREE_SUMS), "sums")
     total = sums.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v")).first()
-    return dealt.groupBy("batch").cogroup(sums.groupBy("batch")).applyInArrow(_scoring(shards, shared, 1 if pairs is None else -(-tokens // pairs), total["n"], total["v"]), _SCORES)
+    score = _scoring(shards, shared, 1 if pairs is None else -(-tokens // pairs), total["n"], total["v"])
+    return docs.mapInArrow(_blobs(batch_bytes), _BLOBS).groupBy("batch").cogroup(sums.groupBy("batch")).applyInArrow(score, _SCORES)
 
 
 def op3_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
