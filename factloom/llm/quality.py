@@ -254,15 +254,16 @@ def _thresholds_of(seen: DataFrame) -> dict:
     return {k: (*told[k], whole if k is None else own[k] * high[k] + (1 - own[k]) * whole) for k in told}
 
 
-def scored(docs: DataFrame, judged: DataFrame, to: str = "quality") -> DataFrame:
-    """docs and a struct as measured() gives it, in a column named to, under the model of all trusted texts, whole, which is counted and read in shards.
+def scored(docs: DataFrame, judged: DataFrame, to: str = "quality", texts: bool = True) -> DataFrame:
+    """docs (without texts the column text is dropped) and a struct as measured() gives it, in a column named to, under the model of all trusted texts, whole, which is counted and read in shards.
 
     Null text counts as empty, a null or unknown lang takes the threshold of all; very long texts are measured whole; ties and repeated rows are measured
     alike; other columns pass through; without trusted rows nothing is rejected; an empty table gives no rows.
     """
     names = free(docs, *_SEEN)
     n, mean, square, sets = map(F.col, names)
-    out = written(kneser_ney.measured(docs, _good(judged), _held(), _discounts, names), "measured")
+    out = kneser_ney.measured(docs, _good(judged), _held(), _discounts, names)
+    out = written(out if texts else out.drop("text"), "measured")
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     by_lang = _thresholds_of(out.where(sets).select(lang.alias("lang"), n.alias("n"), mean.alias("mean"), square.alias("square")))
     if not by_lang:
@@ -288,6 +289,6 @@ def keep_good(docs: DataFrame, judged: DataFrame) -> DataFrame:
 
 
 def op9_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = scored(documents(spark, sf_dir).select("doc_id", "text", "lang"), labels(spark, sf_dir))
+    out = scored(documents(spark, sf_dir).select("doc_id", "text", "lang"), labels(spark, sf_dir), texts=False)
     q = F.col("quality")
     return out.select("doc_id", "lang", q["n"].alias("n_tokens"), F.pow(F.lit(10.0), q["mean"]).alias("perplexity"), q["excess"].alias("excess"), q["threshold"].alias("threshold"), (q["excess"] <= q["threshold"]).alias("keep"))
