@@ -162,7 +162,8 @@ def measured(docs: DataFrame, good: DataFrame, held: Column, discounts: Callable
     m = continued.agg(*[times(F.col("k") == i) for i in (1, 2, 3, 4)], F.count("*"), times(F.col("k") > 2)).first()
     d, low_d = discounts(list(n[:4])), discounts(list(m[:4]))
     numbers = (d, low_d, n[4], m[4], m[0] * low_d[0] + m[1] * low_d[1] + m[5] * low_d[2])
-    mine = to_words(sums.where(~is_count)).select("batch", "word").join(continued, "word").select("batch", "word", "k").groupBy("batch").applyInArrow(_mine, _SUMS)
+    # written, so that what the words shuffle is gone before texts are shuffled again
+    mine = written(to_words(sums.where(~is_count)).select("batch", "word").join(continued, "word").select("batch", "word", "k").groupBy("batch").applyInArrow(_mine, _SUMS), "mine")
     answers = sums.where(~is_count).unionByName(mine)
     # trusted ids go with the answers, as one row for a batch
     listed = ids.groupBy(F.col(BATCH).alias("batch")).agg(F.collect_list("doc_id").alias("ids"))
