@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factloom.llm.common import small_batches, written
+from factloom.llm.common import small_batches, thrifty, written
 from factloom.llm.lm import _ASK, _ASK_ARROW, _FREQUENT, BATCH_BYTES, BLOCK, HOT, SHARE, Local, _asking, _forty, _frequent, _pack, _unpack
 
 _NONE = np.zeros(0, np.uint64)
@@ -152,8 +152,8 @@ def measured(docs: DataFrame, good: DataFrame, held: Column, discounts: Callable
     ids = good.select(F.col("doc_id").cast(kind).alias("doc_id")).where("doc_id is not null").distinct()
     ids = written(ids.withColumn(BATCH, F.pmod(F.xxhash64("doc_id"), F.lit(parts))), "trusted")
     slim = dealt.select("doc_id", "text", BATCH, HELD_OUT)
-    asked = slim.groupBy(BATCH).cogroup(ids.groupBy(BATCH)).applyInArrow(_asked(shards, shared), _ASK)
-    sums = written(asked.groupBy("shard").applyInArrow(_summing, _SUMS), "sums")
+    asked = slim.groupBy(BATCH).cogroup(ids.groupBy(BATCH)).applyInArrow(thrifty(_asked(shards, shared)), _ASK)
+    sums = written(asked.groupBy("shard").applyInArrow(thrifty(_summing), _SUMS), "sums")
     is_count = F.col("batch") == _CONTINUED
     n = sums.where(is_count).agg(*[F.coalesce(F.sum(f"n{i}"), F.lit(0)) for i in range(1, 6)]).first()
     to_words = lambda rows: rows.select("batch", "words", "counts").mapInArrow(_words, _WORDS)
@@ -184,4 +184,4 @@ def measured(docs: DataFrame, good: DataFrame, held: Column, discounts: Callable
                 mean, square = _measures(local, shards, shared.value[0], {r["shard"]: r for r in rows if r["shard"] is not None}, numbers)
         return pa.table([*table.columns[:columns], *(pa.array(x) for x in (tokens, mean, square, sets))], names=schema.names)
 
-    return dealt.groupBy(BATCH).cogroup(both.groupBy("batch")).applyInArrow(measure, schema)
+    return dealt.groupBy(BATCH).cogroup(both.groupBy("batch")).applyInArrow(thrifty(measure), schema)

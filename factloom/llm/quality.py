@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factloom.llm import kneser_ney
-from factloom.llm.common import SPACE, documents, free, give_back, labels, small_batches, written
+from factloom.llm.common import SPACE, documents, free, give_back, labels, meanwhile, small_batches, written
 from factloom.llm.feistel import numbered
 
 #: One trusted document in HELD sets thresholds instead of training.
@@ -262,8 +262,9 @@ def scored(docs: DataFrame, judged: DataFrame, to: str = "quality", texts: bool
     """
     names = free(docs, *_SEEN)
     n, mean, square, sets = map(F.col, names)
-    out = kneser_ney.measured(docs, _good(judged), _held(), _discounts, names)
-    out = written(out if texts else out.drop("text"), "measured")
+    with meanwhile(docs.sparkSession):
+        out = kneser_ney.measured(docs, _good(judged), _held(), _discounts, names)
+        out = written(out if texts else out.drop("text"), "measured", stays=True)
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     by_lang = _thresholds_of(out.where(sets).select(lang.alias("lang"), n.alias("n"), mean.alias("mean"), square.alias("square")))
     if not by_lang:
