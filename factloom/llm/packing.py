@@ -69,7 +69,8 @@ class Encoder:
             import public_tokenizers
             import tiktoken
 
-            self.merger = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+            # with no special token at all it looks for the empty one at every character; this one is never allowed, so texts that hold it are text
+            self.merger = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={"<\0none\0>": max(ranks.values()) + 1})
 
     @cached_property
     def tokenizer(self):
