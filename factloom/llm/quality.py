@@ -262,9 +262,10 @@ def scored(docs: DataFrame, judged: DataFrame, to: str = "quality", texts: bool
     """
     names = free(docs, *_SEEN)
     n, mean, square, sets = map(F.col, names)
-    with meanwhile(docs.sparkSession):
+    with meanwhile(docs.sparkSession) as passing:
         out = kneser_ney.measured(docs, _good(judged), _held(), _discounts, names)
-        out = written(out if texts else out.drop("text"), "measured", stays=True)
+        out = written(out if texts else out.drop("text"), "measured")
+        passing.pop()  # the last one stays
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     by_lang = _thresholds_of(out.where(sets).select(lang.alias("lang"), n.alias("n"), mean.alias("mean"), square.alias("square")))
     if not by_lang:
