@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factloom.llm.common import documents, id_crc, small_batches, written
+from factloom.llm.common import documents, give_back, id_crc, small_batches, thrifty, written
 
 #: Bytes of text of a batch of documents, in the mean; a shard has those of SHARE batches.
 BATCH_BYTES, SHARE = 8 << 20, 2
@@ -32,6 +32,8 @@ BATCH_BYTES, SHARE = 8 << 20, 2
 HOT, SLICES = 2_000, 16
 #: Tokens of a block in which words and pairs are first counted.
 BLOCK = 1 << 20
+#: Words of a stretch of a text, which the automaton reads beside others.
+STRETCH = 256
 ALPHA = 0.1
 #: Marks that no word can be, for they hold a space.
 START, END = b" start", b" end"
@@ -42,12 +44,6 @@ def words_of(text: str | None, lower: bool = True) -> list[bytes]:
     return (raw.lower() if lower else raw).split()
 
 
-class _Ids(dict):
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
-
-
 def _hashes(words) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
 
@@ -59,18 +55,47 @@ def _pair_hash(u: np.ndarray, v: np.ndarray) -> np.ndarray:
     return h * np.uint64(0xD6E8FEB86659FD93)
 
 
-def _sequences(texts: list[str | None], lower: bool = True) -> tuple[_Ids, np.ndarray, np.ndarray]:
-    """Word numbers, each text's numbers between those of START and END in one array, and how many each text has."""
-    ids = _Ids({START: 0, END: 1})
-    parts, lengths = [], []
+def _sequences(texts: list[str | None], lower: bool = True) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The different words by number, each text's numbers between those of START (0) and END (1) in one array, and how many each text has."""
+    # marked in front, so that START and END are the first two, also without texts; few words at a time are Python's
+    words, parts, lengths = [START, END], [], []
     for text in texts:
-        words = words_of(text, lower)
-        a = np.empty(len(words) + 2, np.int64)
-        a[0], a[-1] = 0, 1
-        a[1:-1] = list(map(ids.__getitem__, words))
-        parts.append(a)
-        lengths.append(len(a))
-    return ids, np.concatenate(parts) if parts else np.zeros(0, np.int64), np.array(lengths, np.int64)
+        found = words_of(text, lower)
+        lengths.append(len(found) + 2)
+        words += (START, *found, END)
+        if len(words) >= 1 << 15:
+            parts.append(pa.array(words, pa.binary()))
+            words = []
+    coded = pa.chunked_array([*parts, pa.array(words, pa.binary())]).dictionary_encode()
+    seq = np.concatenate([c.indices.to_numpy() for c in coded.chunks])[2:].astype(np.int64)
+    return coded.chunks[-1].dictionary.to_numpy(zero_copy_only=False).tolist(), seq, np.array(lengths, np.int64)
+
+
+def _unique(keys: np.ndarray, bound: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys (0 to bound - 1) in order and which one each is. Keys are sorted with their places in their low bits, where both fit in 63 bits."""
+    bits = max(1, len(keys)).bit_length()
+    if bound.bit_length() + bits > 63:
+        return np.unique(keys, return_inverse=True)
+    both = np.sort(keys << bits | np.arange(len(keys)))
+    key, place = both >> bits, both & (1 << bits) - 1
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    which = np.empty(len(key), np.int64)
+    which[place] = np.cumsum(new) - 1
+    return key[new], which
+
+
+def _among(a: np.ndarray, few: np.ndarray) -> np.ndarray:
+    """np.isin, for few values."""
+    if not len(few):
+        return np.zeros(len(a), bool)
+    few = np.sort(few)
+    return few[np.minimum(np.searchsorted(few, a), len(few) - 1)] == a
+
+
+def _by_shard(shard: np.ndarray) -> np.ndarray:
+    """A stable order by shard; numbers of 16 bits are sorted by radix."""
+    return np.argsort(shard.astype(np.uint16) if shard.max(initial=0) < 1 << 16 else shard, kind="stable")
 
 
 class Local:
@@ -94,14 +119,17 @@ class Local:
         self.doc = np.repeat(np.arange(len(self.lengths)), self.lengths - 1)
         learns = np.asarray(learned, bool)[self.doc]
         self.w = self.seq[at]
-        two, two_at = np.unique(self.seq[at - 1] * self.n + self.w, return_inverse=True)
+        two, two_at = _unique(self.seq[at - 1] * self.n + self.w, self.n**2)
         # the pairs among them that may be states, and the n-grams of three that go on from those
         pair_hash = _pair_hash(self.hash[two // self.n], self.hash[two % self.n])
-        frequent = (two % self.n != self.end) & (True if often is None else np.isin(pair_hash, often))
+        frequent = (two % self.n != self.end) & (True if often is None else _among(pair_hash, often))
         self.two = np.nonzero(frequent)[0]
         number = np.cumsum(frequent) - 1
         before = np.nonzero(frequent[two_at] & (self.w != self.end))[0]
-        three, three_at = np.unique((self.n + number[two_at[before]]) * self.n + self.w[before + 1], return_inverse=True)
+        three, three_at = _unique((self.n + number[two_at[before]]) * self.n + self.w[before + 1], (self.n + len(self.two)) * self.n)
+        # where each n-gram of three without its first word is among the pairs
+        self.shorter = np.empty(len(three), np.int64)
+        self.shorter[three_at] = two_at[before + 1]
         self.grams = np.concatenate((two, three))
         self.gram_count = np.concatenate((np.bincount(two_at, learns, len(two)), np.bincount(three_at, learns[before], len(three)))).astype(np.int64)
         self.contexts = np.concatenate((self.hash, pair_hash[frequent]))
@@ -111,12 +139,12 @@ class Local:
     def asked(self, shards: int, hot: np.ndarray):
         """For each shard that is asked: (shard, contexts, slice 0 or not, n-grams), both as indices in this batch's order."""
         slices = min(SLICES, shards)
-        is_hot = np.isin(self.contexts, hot)
+        is_hot = _among(self.contexts, hot)
         home = (self.contexts % np.uint64(shards)).astype(np.int64)
         ctx, word = self.grams // self.n, self.grams % self.n
         piece = np.where(is_hot[ctx], ((self.hash[word] >> np.uint64(32)) % np.uint64(slices)).astype(np.int64), 0)
         shard = (home[ctx] + piece) % shards
-        by = np.argsort(shard, kind="stable")
+        by = _by_shard(shard)
         heads = np.nonzero(is_hot)[0]
         every = np.concatenate((np.arange(len(self.contexts)), np.repeat(heads, slices - 1)))
         of_slice = np.concatenate((np.zeros(len(self.contexts), np.int64), np.tile(np.arange(1, slices), len(heads))))
@@ -140,7 +168,7 @@ class Local:
         u, w = self.grams[:cut] // n, self.grams[:cut] % n
         three = self.grams[cut:]
         slice_of = ((self.hash >> np.uint64(32)) % np.uint64(slices)).astype(np.int64)
-        home, is_hot = (self.hash % np.uint64(shards)).astype(np.int64), np.isin(self.contexts, hot)
+        home, is_hot = (self.hash % np.uint64(shards)).astype(np.int64), _among(self.contexts, hot)
         at_two = (home[u] + np.where(is_hot[u], slice_of[w], 0)) % shards
         of = three // n
         parent = self.two[of - n]
@@ -151,7 +179,7 @@ class Local:
         pairs, pair_at, own = np.concatenate((np.arange(cut), copies)), np.concatenate((at_two, at_copies)), np.arange(cut + len(copies)) < cut
         words = np.unique(np.concatenate((home * n + np.arange(n), spread(home[hot_one], len(hot_one)) * n + np.repeat(hot_one, slices - 1), at_copies * n + u[copies])))
         word_at, words = words // n, words % n
-        by_two, by_three = np.argsort(pair_at * cut + pairs, kind="stable"), np.argsort(at_three, kind="stable")
+        by_two, by_three = np.argsort(pair_at * cut + pairs, kind="stable") if len(copies) else _by_shard(pair_at), _by_shard(at_three)
         pairs, pair_at, own, at_three = pairs[by_two], pair_at[by_two], own[by_two], at_three[by_three]
         # only shards that hold a word of the batch, however many there are
         found = np.unique(word_at)
@@ -232,6 +260,8 @@ def _asking_trees(shards: int, shared, batch_bytes: int):
                 counts, held, pair_counts, pair_held, third_counts = map(_pack, packed)
                 rows.append((batch, shard, local.hash[words].tobytes(), counts, held, follower(two), pair_counts, pair_held, follower(local.grams[three]), third_counts))
             yield from _rows(rows, _TREE_ASK_ARROW).to_batches()
+            del table, local, rows, follower
+            give_back()
 
     return ask
 
@@ -348,6 +378,9 @@ class Automaton:
     def __init__(self, n: int, arcs: np.ndarray, weights: np.ndarray, targets: np.ndarray, fail: np.ndarray, failure: np.ndarray, root: np.ndarray, root_targets: np.ndarray):
         self.n, self.root_state = n, len(fail)
         self.arcs, self.weights, self.targets, self.fail, self.failure, self.root, self.root_targets = arcs, weights, targets, fail, failure, root, root_targets
+        # a state's arcs lie together: where they begin, and how many they are
+        self.many = np.bincount(arcs // n, minlength=self.root_state)
+        self.begin = np.minimum(np.cumsum(self.many) - self.many, max(len(arcs) - 1, 0))
 
     def read(self, states: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The log10 probability of one word for each state, and the states after it."""
@@ -359,8 +392,13 @@ class Automaton:
                 weight[left[down]] += self.root[words[left[down]]]
                 left, s = left[~down], s[~down]
             key = s * self.n + words[left]
-            at = np.minimum(np.searchsorted(self.arcs, key), len(self.arcs) - 1)
+            at, many = self.begin[s], self.many[s]
             own = self.arcs[at] == key if len(self.arcs) else np.zeros(len(key), bool)
+            # most states have one arc; only among several one is searched for
+            more = np.nonzero(~own & (many > 1))[0]
+            if len(more):
+                at[more] = np.minimum(np.searchsorted(self.arcs, key[more]), len(self.arcs) - 1)
+                own[more] = self.arcs[at[more]] == key[more]
             weight[left[own]] += self.weights[at[own]]
             after[left[own]] = self.targets[at[own]]
             left, s = left[~own], s[~own]
@@ -368,19 +406,28 @@ class Automaton:
             states[left] = self.fail[s]
         return weight, after
 
-    def scores(self, seq: np.ndarray, first: np.ndarray, lengths: np.ndarray, start: int) -> np.ndarray:
-        """Log10 probability of each text: seq[first + 1 :], of lengths - 1 words, read from the state start. All texts of a batch take their k-th step together,
-        each with the state that its words so far have led to."""
-        by = np.argsort(-lengths, kind="stable")
-        first, lengths = first[by], lengths[by]
-        states, out = np.full(len(by), start), np.zeros(len(by))
-        going = np.searchsorted(-lengths, -np.arange(1, int(lengths.max(initial=1))))
-        for k, m in enumerate(going.tolist(), 1):
-            weight, states = self.read(states[:m], seq[first[:m] + k])
-            out[:m] += weight
-        back = np.empty(len(by))
-        back[by] = out
-        return back
+    def scores(self, seq: np.ndarray, first: np.ndarray, lengths: np.ndarray, start: int, order: int = 3, stretch: int = STRETCH) -> np.ndarray:
+        """Log10 probability of each text: seq[first + 1 :], of lengths - 1 words, read from the state start.
+
+        Long texts are read in stretches side by side. The state after a word is the longest context that the text ends in there, which is order - 1 words at most;
+        so a later stretch reads so many words before its own from the root, without their weights, and is in the state that the text has led to.
+        All stretches of a batch take their k-th step together, each with the state that its words so far have led to.
+        """
+        before, stretch = order - 1, max(stretch, order - 1)
+        pieces = np.maximum(1, -(-(lengths - 1) // stretch))
+        of = np.repeat(np.arange(len(lengths)), pieces)
+        nth = np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        lead = np.where(nth > 0, before, 0)
+        words = np.minimum(stretch, lengths[of] - 1 - nth * stretch) + lead
+        begin = first[of] + 1 + nth * stretch - lead
+        by = np.argsort(-words, kind="stable")
+        words, begin, lead = words[by], begin[by], lead[by]
+        states, out = np.where(lead > 0, self.root_state, start), np.zeros(len(by))
+        going = np.searchsorted(-words, -np.arange(1, int(words.max(initial=0)) + 1), "right")
+        for k, m in enumerate(going.tolist()):
+            weight, states = self.read(states[:m], seq[begin[:m] + k])
+            out[:m] += np.where(k < lead[:m], 0, weight) if k < before else weight
+        return np.bincount(of[by], out, len(lengths))
 
 
 def automaton(local: Local, least: int, total: int, distinct: int, count: np.ndarray, types: np.ndarray, gram_count: np.ndarray) -> tuple[Automaton, int]:
@@ -390,15 +437,17 @@ def automaton(local: Local, least: int, total: int, distinct: int, count: np.nda
     held = np.concatenate((count, gram_count[local.two]))
     real = (types > 0) & np.concatenate((np.ones(n, bool), held[n:] >= least))
     mass, spared = np.where(real, held + types, 1), np.where(real, types, 1)
-    some = np.nonzero((gram_count > 0) & real[local.grams // n])[0]
+    kept = (gram_count > 0) & real[local.grams // n]
+    some = np.nonzero(kept)[0]
     arcs, c = local.grams[some], gram_count[some]
     ctx, w = arcs // n, arcs % n
     words = ctx < n
-    p = np.empty(len(arcs))
-    p[words] = (c[words] + types[ctx[words]] * 10.0 ** root[w[words]]) / mass[ctx[words]]
+    p, likely = np.empty(len(arcs)), 10.0**root
+    p[words] = (c[words] + types[ctx[words]] * likely[w[words]]) / mass[ctx[words]]
     # a pair's arcs rest on those of its second word
     last = local.grams[local.two] % n
-    up = np.searchsorted(arcs[words], last[ctx[~words] - n] * n + w[~words])
+    pairs = len(local.grams) - len(local.shorter)
+    up = (np.cumsum(kept[:pairs]) - 1)[local.shorter[some[~words] - pairs]]
     p[~words] = (c[~words] + types[ctx[~words]] * p[words][up]) / mass[ctx[~words]]
     after_word = np.where(real[:n], np.arange(n), n + m)
     pair_of = np.full(len(local.grams), -1)
@@ -505,10 +554,10 @@ def scored(docs: DataFrame, batch_bytes: int = BATCH_BYTES, pairs: int | None =
     near = frequent.where(F.col("hash").isNotNull() & (F.col("n") * 2 * rare >= tokens)).select("hash", "n").toArrow()
     often, held = near.column("hash").to_numpy().astype(np.int64).view(np.uint64), near.column("n").to_numpy()
     shared = docs.sparkSession.sparkContext.broadcast((often[held * 2 * HOT >= tokens], None if pairs is None else often))
-    sums = written(docs.mapInArrow(_asking_trees(shards, shared, batch_bytes), _TREE_ASK).groupBy("shard").applyInArrow(_summing_trees, _TREE_SUMS), "sums")
+    sums = written(docs.mapInArrow(_asking_trees(shards, shared, batch_bytes), _TREE_ASK).groupBy("shard").applyInArrow(thrifty(_summing_trees), _TREE_SUMS), "sums")
     total = sums.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v")).first()
     score = _scoring(shards, shared, 1 if pairs is None else -(-tokens // pairs), total["n"], total["v"])
-    return docs.mapInArrow(_blobs(batch_bytes), _BLOBS).groupBy("batch").cogroup(sums.groupBy("batch")).applyInArrow(score, _SCORES)
+    return docs.mapInArrow(_blobs(batch_bytes), _BLOBS).groupBy("batch").cogroup(sums.groupBy("batch")).applyInArrow(thrifty(score), _SCORES)
 
 
 def op3_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
