@@ -120,6 +120,8 @@ class Local:
         learns = np.asarray(learned, bool)[self.doc]
         self.w = self.seq[at]
         two, two_at = _unique(self.seq[at - 1] * self.n + self.w, self.n**2)
+        #: for each word after the first of a text, which of the pairs it ends
+        self.gram_at = two_at
         # the pairs among them that may be states, and the n-grams of three that go on from those
         pair_hash = _pair_hash(self.hash[two // self.n], self.hash[two % self.n])
         frequent = (two % self.n != self.end) & (True if often is None else _among(pair_hash, often))
@@ -140,7 +142,7 @@ class Local:
         """For each shard that is asked: (shard, contexts, slice 0 or not, n-grams), both as indices in this batch's order."""
         slices = min(SLICES, shards)
         is_hot = _among(self.contexts, hot)
-        home = (self.contexts % np.uint64(shards)).astype(np.int64)
+        home = (_middle(self.contexts) % np.uint64(shards)).astype(np.int64)
         ctx, word = self.grams // self.n, self.grams % self.n
         piece = np.where(is_hot[ctx], ((self.hash[word] >> np.uint64(32)) % np.uint64(slices)).astype(np.int64), 0)
         shard = (home[ctx] + piece) % shards
@@ -200,17 +202,16 @@ def _unpack(b: bytes, kind) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(b), kind)
 
 
+def _middle(h: np.ndarray) -> np.ndarray:
+    """The 40 bits of hashes that _forty sends."""
+    return h >> np.uint64(12) & np.uint64((1 << 40) - 1)
+
+
 def _forty(h: np.ndarray) -> np.ndarray:
     """The middle 40 bits of hashes, as five bytes each in planes: followers of one context differ by them."""
     return np.ascontiguousarray((h >> np.uint64(12)).view(np.uint8).reshape(-1, 8)[:, :5].T)
 
 
-_ASK = T.StructType([T.StructField("batch", T.LongType()), T.StructField("shard", T.LongType()), *(T.StructField(n, T.BinaryType()) for n in ("ctx", "counts", "followers", "held", "pair_counts"))])
-_SUMS = T.StructType([T.StructField("batch", T.LongType()), T.StructField("shard", T.LongType()), *(T.StructField(n, T.BinaryType()) for n in ("counts", "types", "pair_counts")), T.StructField("n", T.LongType()), T.StructField("v", T.LongType())])
-_ASK_ARROW = pa.schema([("batch", pa.int64()), ("shard", pa.int64()), *((n, pa.binary()) for n in ("ctx", "counts", "followers", "held", "pair_counts"))])
-_SUMS_ARROW = pa.schema([("batch", pa.int64()), ("shard", pa.int64()), *((n, pa.binary()) for n in ("counts", "types", "pair_counts")), ("n", pa.int64()), ("v", pa.int64())])
-
-
 def _rows(rows: list[tuple], schema: pa.Schema) -> pa.Table:
     return pa.table([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
@@ -320,55 +321,6 @@ def _local(table: pa.Table, often: np.ndarray | None, lower: bool = True) -> Loc
     return Local(table.column("text").to_pylist(), table.column("learned").to_numpy(), often, lower)
 
 
-def _asking(shards: int, shared, lower: bool = True):
-    def ask(table: pa.Table) -> pa.Table:
-        hot, often = shared.value
-        local, rows = _local(table, often, lower), []
-        batch = table.column("batch")[0].as_py()
-        count = np.concatenate((local.count, np.zeros(len(local.two), np.int64)))
-        for shard, ctx, home, grams in local.asked(shards, hot):
-            held = np.bincount(np.searchsorted(ctx, local.grams[grams] // local.n), minlength=len(ctx)).astype(np.uint32)
-            counts = np.where(home, count[ctx], 0).astype(np.uint64)
-            rows.append((batch, shard, local.contexts[ctx].tobytes(), _pack(counts), _forty(local.hash[local.grams[grams] % local.n]).tobytes(), _pack(held), _pack(local.gram_count[grams].astype(np.uint64))))
-        return _rows(rows, _ASK_ARROW)
-
-    return ask
-
-
-def _summing(table: pa.Table) -> pa.Table:
-    """Adds up a shard's n-grams over all batches and answers each batch in the order of its asking."""
-    order = np.argsort(table.column("batch").to_numpy(), kind="stable")
-    table = table.take(pa.array(order))
-    batches, shard = table.column("batch").to_pylist(), table.column("shard")[0].as_py()
-    cols = {n: table.column(n).to_pylist() for n in ("ctx", "counts", "followers", "held", "pair_counts")}
-    ctx = [np.frombuffer(x, np.uint64) for x in cols["ctx"]]
-    held = [_unpack(x, np.uint32) for x in cols["held"]]
-    contexts, c_at = np.unique(np.concatenate(ctx), return_inverse=True)
-    counts = np.zeros(len(contexts), np.int64)
-    np.add.at(counts, c_at, np.concatenate([_unpack(x, np.uint64) for x in cols["counts"]]).astype(np.int64))
-    keys = []
-    for x in cols["followers"]:
-        f = np.zeros((len(x) // 5, 8), np.uint8)
-        f[:, :5] = np.frombuffer(x, np.uint8).reshape(5, -1).T
-        keys.append(f.view(np.uint64).ravel())
-    if len(contexts) >= 1 << 24:
-        raise ValueError("too many contexts in a shard: make batches smaller")
-    owner = np.repeat(c_at, np.concatenate(held))
-    keys = owner.astype(np.uint64) << np.uint64(40) | np.concatenate(keys)
-    found, p_at = np.unique(keys, return_inverse=True)
-    pair_counts = np.bincount(p_at, np.concatenate([_unpack(x, np.uint64) for x in cols["pair_counts"]]), len(found)).astype(np.int64)
-    types = np.bincount((found[pair_counts > 0] >> np.uint64(40)).astype(np.int64), minlength=len(contexts))
-    start = np.uint64(xxhash.xxh64_intdigest(START))
-    words = counts[contexts != start]
-    rows, c, p = [], 0, 0
-    for batch, x, y in zip(batches, ctx, held, strict=True):
-        mine, pairs = c_at[c : c + len(x)], p_at[p : p + int(y.sum())]
-        c, p = c + len(x), p + len(pairs)
-        rows.append((batch, shard, _pack(counts[mine]), _pack(types[mine]), _pack(pair_counts[pairs]), 0, 0))
-    rows[0] = (*rows[0][:5], int(words.sum()), int((words > 0).sum()))
-    return _rows(rows, _SUMS_ARROW)
-
-
 class Automaton:
     """A weighted backoff automaton of any order over n words.
 

@@ -7,6 +7,7 @@ train() gives the same model in one piece, for corpora small enough for that, an
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -262,10 +263,13 @@ def scored(docs: DataFrame, judged: DataFrame, to: str = "quality", texts: bool
     """
     names = free(docs, *_SEEN)
     n, mean, square, sets = map(F.col, names)
-    with meanwhile(docs.sparkSession) as passing:
-        out = kneser_ney.measured(docs, _good(judged), _held(), _discounts, names)
-        out = written(out if texts else out.drop("text"), "measured")
-        passing.pop()  # the last one stays
+    parts = []
+    with meanwhile(docs.sparkSession):
+        for part in kneser_ney.measured(docs, _good(judged), _held(), _discounts, names):
+            with meanwhile(docs.sparkSession) as passing:
+                parts.append(written(part(texts), "measured"))
+                passing.pop()  # the last one stays
+    out = reduce(DataFrame.unionByName, parts)
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     by_lang = _thresholds_of(out.where(sets).select(lang.alias("lang"), n.alias("n"), mean.alias("mean"), square.alias("square")))
     if not by_lang:
